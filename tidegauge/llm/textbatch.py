@@ -110,3 +110,19 @@ def code_points(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     seen = np.zeros(len(buf) + 1, dtype=np.int64)
     np.cumsum((buf & 0xC0) != 0x80, out=seen[1:])
     return seen[off[1:]] - seen[off[:-1]]
+
+
+#: Everything but ASCII letters, digits, apostrophes and the bytes of longer characters.
+IS_BREAK = np.ones(256, dtype=bool)
+IS_BREAK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), 0x27, *range(0x80, 0x100)]] = False
+
+
+def runs(solid: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``words``, for any mask of the bytes that belong to words."""
+    padded = np.zeros(len(solid) + 2, dtype=bool)
+    padded[1:-1] = solid
+    cut = np.zeros(len(solid) + 1, dtype=bool)
+    cut[off] = True
+    starts = np.flatnonzero(solid & (~padded[:-2] | cut[:-1]))
+    ends = np.flatnonzero(solid & (~padded[2:] | cut[1:])) + 1
+    return starts, ends, np.searchsorted(starts, off)
