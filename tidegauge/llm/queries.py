@@ -45,6 +45,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_windows, read_back
 
@@ -60,7 +66,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op5_pii, op6_toxicity, op8_chat, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op5_pii, op6_toxicity, op7_substring_dedup, op8_chat, op9_quality)}
 
 ORACLES = {
     "op1_exact_dedup": """
