@@ -33,6 +33,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import linked
+
+    return linked(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digests, find_spans
 
@@ -66,7 +72,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op5_pii, op6_toxicity, op7_substring_dedup, op8_chat, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_ngram_join, op5_pii, op6_toxicity, op7_substring_dedup, op8_chat, op9_quality)}
 
 ORACLES = {
     "op1_exact_dedup": """
