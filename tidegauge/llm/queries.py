@@ -72,7 +72,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_ngram_join, op5_pii, op6_toxicity, op7_substring_dedup, op8_chat, op9_quality)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_ngram_join, op5_pii, op6_toxicity, op7_substring_dedup, op8_chat, op9_quality, op10_decontamination)}
 
 ORACLES = {
     "op1_exact_dedup": """
