@@ -27,6 +27,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_wrappers import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import roundtrip
 
@@ -78,7 +84,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe, op4_ngram_join, op5_pii, op6_toxicity, op7_substring_dedup, op8_chat, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html, op3_bpe, op4_ngram_join, op5_pii, op6_toxicity, op7_substring_dedup, op8_chat, op9_quality, op10_decontamination)}
 
 ORACLES = {
     "op1_exact_dedup": """
