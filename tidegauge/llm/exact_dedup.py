@@ -9,7 +9,7 @@ list of its chunks' identifiers, and texts are equal exactly when their recipes
 
 Defined results: null and empty texts, and texts of white space only, are equal to each other
 (the empty recipe); of equal texts the one with the most code points before normalisation
-stays, then the smallest id; rows that repeat an id count as rows of their own. An empty table
+stays, then the smallest id; rows that repeat an id count as rows of their own, and a null id as the largest. An empty table
 gives an empty table; extra columns are ignored. A text of any length is cut into chunks of at
 most ``MOST`` bytes.
 """
@@ -143,15 +143,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     width = verified_width(docs, text_col, width)
     rows = written(recipes(docs, width, id_col, text_col), "recipes")
     best = rows.groupBy("recipe").agg(
-        F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("back"))).alias("best"), F.count("*").alias("group_size")
+        F.max(F.struct("n_chars", (-F.col("doc_id")).alias("back"))).alias("best"), F.count("*").alias("group_size")
     )
     best = best.select("recipe", (-F.col("best.back")).alias("keep_id"), "group_size", F.col("best.n_chars").alias("keep_chars"))
     return rows.join(best, "recipe").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "n_chars"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chars"
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns; rows without an id stay too."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` that stay, with their own columns; of rows that repeat id and text one stays."""
+    groups = written(exact_groups(docs, id_col, text_col), "groups")
+    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
+    if groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").limit(1).count():
+        docs = docs.dropDuplicates([id_col, text_col])
+    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # an id with several texts: only the rows of the text that goes
+        sha = F.sha2(F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
+        return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (sha == gone["_sha"]), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
