@@ -42,6 +42,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(schema.col(c), digits).alias(c) if t in ("double", "float") else schema.col(c) for c, t in df.dtypes])
 
 
+def step(digits: int) -> float:
+    """What is added before rounding where values of whole cents end in ties that two engines may round apart."""
+    return 10.0 ** -(digits + 4)
+
+
 def r_sql(x: str, y: str, cond: str = "TRUE") -> str:
     """Correlation rounded, undefined as NULL."""
     return f"(SELECT CASE WHEN isnan(r) THEN NULL ELSE round(r, 6) END FROM (SELECT corr({x}, {y}) FILTER (WHERE {cond}) AS r FROM t))"
@@ -249,7 +254,8 @@ def box_sql(x: str, edges: str, whisker: float, y: str = PRICE, name: str | None
     r AS (SELECT least(len(list_filter(e, lambda v: v <= x)), len(e) - 1)::INT - 1 AS bin, y FROM src, ed WHERE x >= e[1] AND x <= e[len(e)]),
     s AS (SELECT bin, count(y) AS n, avg(y) AS mean, quantile_cont(y, 0.5) AS med, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM r GROUP BY bin)
     SELECT '{name or x}' AS x_col, bins.bin, round(x_lo, 6) AS x_lo, round(x_hi, 6) AS x_hi, round((x_lo + x_hi) / 2, 6) AS x_centre, round(x_width, 6) AS x_width, coalesce(n, 0) AS n,
-           round(mean, 2) AS mean, round(med, 2) AS med, round(q1, 2) AS q1, round(q3, 2) AS q3, round(q1 - {whisker} * (q3 - q1), 2) AS whislo, round(q3 + {whisker} * (q3 - q1), 2) AS whishi
+           round(mean + 1e-6, 2) AS mean, round(med + 1e-6, 2) AS med, round(q1 + 1e-6, 2) AS q1, round(q3 + 1e-6, 2) AS q3,
+           round(q1 - {whisker} * (q3 - q1) + 1e-6, 2) AS whislo, round(q3 + {whisker} * (q3 - q1) + 1e-6, 2) AS whishi
     FROM bins LEFT JOIN s ON bins.bin = s.bin)"""
 
 
@@ -257,9 +263,9 @@ def width_sql(n: int, lo: str = "lo", hi: str = "hi") -> str:
     return f"list_append([{lo}::DOUBLE + k * ({hi}::DOUBLE - {lo}::DOUBLE) / {n} FOR k IN range({n})], {hi}::DOUBLE)"
 
 
-def boxed(df: DataFrame, digits: int = 2) -> DataFrame:
+def boxed(df: DataFrame, digits: int = 2, n_zero: int = 0) -> DataFrame:
     edge = ("x_lo", "x_hi", "x_centre", "x_width")
-    return df.select(*[F.round(c, 6 if c in edge else digits).alias(c) if t == "double" else c for c, t in df.dtypes])
+    return df.select(*[(F.round(c, 6) if c in edge else F.round(F.col(c) + F.when(F.col("n") > n_zero, step(digits)).otherwise(0.0), digits)).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
 def _box(name: str, x: list[str], sql: str, **kw: object) -> None:
@@ -286,14 +292,14 @@ def metbox_sql(source: str, x: str, yt: str, yp: str, key: str, metric: str, n_b
     s AS (SELECT bin, avg(score) AS mean, quantile_cont(score, 0.5) AS med, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.75) AS q3 FROM m GROUP BY bin),
     a AS (SELECT '{x}' AS x_col, bins.bin, x_lo, x_hi, x_width, coalesce(n, 0) AS n, mean, med, q1, q3 FROM bins LEFT JOIN c ON bins.bin = c.bin LEFT JOIN s ON bins.bin = s.bin)
     SELECT x_col, bin, round(x_lo, 6) AS x_lo, round(x_hi, 6) AS x_hi, round((x_lo + x_hi) / 2, 6) AS x_centre, round(x_width, 6) AS x_width, n,
-    """ + ", ".join(f"CASE WHEN n <= 1 THEN 0.0 ELSE round({e}, {digits}) END AS {c}" for c, e in (("mean", "mean"), ("med", "med"), ("q1", "q1"), ("q3", "q3"), ("whislo", "q1 - 1.5 * (q3 - q1)"), ("whishi", "q3 + 1.5 * (q3 - q1)"))) + " FROM a"
+    """ + ", ".join(f"CASE WHEN n <= 1 THEN 0.0 ELSE round({e} + {step(digits)}, {digits}) END AS {c}" for c, e in (("mean", "mean"), ("med", "med"), ("q1", "q1"), ("q3", "q3"), ("whislo", "q1 - 1.5 * (q3 - q1)"), ("whishi", "q3 + 1.5 * (q3 - q1)"))) + " FROM a"
 
 
 def _metbox(name: str, metric: object, sql: str, bins: int = 5, folds: int = 5, xrange: tuple = (0, 50), digits: int = 2) -> None:
     @query(name, metbox_sql("(SELECT *, l_quantity * 1000 AS yp FROM lineitem)", "l_quantity", PRICE, "yp", LINE_HASH, sql, bins, xrange[0], xrange[1], folds, 0.5, digits))
     def _(spark, d):
         df = read(spark, d, "lineitem").withColumn("yp", F.col("l_quantity") * 1000.0)
-        return boxed(box.boxplot_metvx(df, ["l_quantity"], [PRICE], ["yp"], LINE_KEY, metric, kfolds=folds, bins=bins, xrange=list(xrange)), digits)
+        return boxed(box.boxplot_metvx(df, ["l_quantity"], [PRICE], ["yp"], LINE_KEY, metric, kfolds=folds, bins=bins, xrange=list(xrange)), digits, 1)
 
 
 _metbox("q_metbox_mse", lambda t, p: F.sqrt(M.mse(t, p)), "sqrt(avg((t - p) * (t - p)))")
@@ -302,12 +308,12 @@ _metbox("q_metbox_medae", M.medae, "quantile_cont(abs(t - p), 0.5)", bins=4, fol
 
 @query("q_metbox_acc", metbox_sql(f"({LABELLED})", "n_chars", "quality", "toxic", "doc_id", "avg((t = p)::INT)", 6, 0, 12000, 10, 0.5, 6))
 def _(spark, d):
-    return boxed(box.boxplot_metvx(labelled(spark, d), ["n_chars"], ["quality"], ["toxic"], ["doc_id"], kfolds=10, bins=6, xrange=[0, 12000]), 6)
+    return boxed(box.boxplot_metvx(labelled(spark, d), ["n_chars"], ["quality"], ["toxic"], ["doc_id"], kfolds=10, bins=6, xrange=[0, 12000]), 6, 1)
 
 
 @query("q_metbox_sparse", metbox_sql(f"({LABELLED})", "n_chars", "quality", "toxic", "doc_id", "avg((t = p)::INT)", 8, 30000, 400000, 10, 0.5, 6))
 def _(spark, d):
-    return boxed(box.boxplot_metvx(labelled(spark, d), ["n_chars"], ["quality"], ["toxic"], ["doc_id"], kfolds=10, bins=8, xrange=[30000, 400000]), 6)
+    return boxed(box.boxplot_metvx(labelled(spark, d), ["n_chars"], ["quality"], ["toxic"], ["doc_id"], kfolds=10, bins=8, xrange=[30000, 400000]), 6, 1)
 
 
 PRED_SQL = "p AS (SELECT ts, value AS y_true, lag(value) OVER (ORDER BY ts) AS y_pred FROM events), q AS (SELECT * FROM p WHERE y_pred IS NOT NULL)"
@@ -321,20 +327,19 @@ def predicted(spark, d):
     return r.select("ts", "y_true", F.col("_p.y_true").alias("y_pred")).where("y_pred IS NOT NULL")
 
 
-MAE_SQL, MSE_SQL = "round(avg(abs(y_true - y_pred)) OVER w, 6)", "round(avg((y_true - y_pred) * (y_true - y_pred)) OVER w + 1e-7, 4)"
-MED_SQL = "round(quantile_cont(abs(y_true - y_pred), 0.5) OVER w, 6)"
+MAE_SQL, MSE_SQL = "round(avg(abs(y_true - y_pred)) OVER w + 1e-10, 6)", "round(avg((y_true - y_pred) * (y_true - y_pred)) OVER w + 1e-8, 4)"
+MED_SQL = "round(quantile_cont(abs(y_true - y_pred), 0.5) OVER w + 1e-10, 6)"
 
 
-def _roll(name: str, frame: str, cols: dict[str, str], kwargs: dict | None, metric: object, digits: int = 6, step: int | None = None) -> None:
+def _roll(name: str, frame: str, cols: dict[str, str], kwargs: dict | None, metric: object, digits: int = 6, every: int | None = None) -> None:
     picked = ", ".join(f'{e} AS "{n}"' for n, e in cols.items())
     inner = f"WITH {PRED_SQL}, o AS (SELECT {picked}, ts, row_number() OVER (ORDER BY ts) AS rn FROM q WINDOW w AS (ORDER BY ts {frame}))"
     names = ", ".join(f'"{n}"' for n in cols)
 
-    @query(name, f"{inner} SELECT {names}, ts FROM o" + (f" WHERE (rn - 1) % {step} = 0" if step else ""))
+    @query(name, f"{inner} SELECT {names}, ts FROM o" + (f" WHERE (rn - 1) % {every} = 0" if every else ""))
     def _(spark, d):
         out = rolling.rolling_met(predicted(spark, d), on="ts", roll_kwargs=kwargs, roll_metric=metric)
-        # averages of squares end in 5 often enough to be rounded apart: a step away from the tie
-        return rounded(out.withColumn("MSE", F.col("MSE") + 1e-7) if "MSE" in cols else out, digits)
+        return rounded(out.select(*[(schema.col(c) + step(digits)).alias(c) for c in cols], "ts"), digits)
 
 
 def range_sql(lo: int, hi: int) -> str:
@@ -346,7 +351,7 @@ _roll("q_roll_mae_medae_90m", range_sql(2_699_999_999, 2_700_000_000), {"MAE": M
 _roll("q_roll_trailing", range_sql(5_399_999_999, 0), {"Metric 00": MAE_SQL, "Metric 01": MED_SQL}, {"window": "90min"}, [M.mae, M.medae])
 _roll("q_roll_rows_10", "ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING", {"Metric": MAE_SQL}, {"window": 10, "center": True}, M.mae)
 _roll("q_roll_rows_11", "ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING", {"Metric": MED_SQL}, {"window": 11, "center": True}, M.medae)
-_roll("q_roll_step", "ROWS BETWEEN 5 PRECEDING AND CURRENT ROW", {"Metric": MAE_SQL}, {"window": 6, "step": 4}, M.mae, step=4)
+_roll("q_roll_step", "ROWS BETWEEN 5 PRECEDING AND CURRENT ROW", {"Metric": MAE_SQL}, {"window": 6, "step": 4}, M.mae, every=4)
 _roll("q_roll_closed_left", "ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING", {"Metric": MAE_SQL}, {"window": 6, "closed": "left"}, M.mae)
 _roll("q_roll_closed_both", "ROWS BETWEEN 6 PRECEDING AND CURRENT ROW", {"Metric": MAE_SQL}, {"window": 6, "closed": "both"}, M.mae)
 _roll("q_roll_closed_neither", "ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING", {"Metric": MAE_SQL}, {"window": 6, "closed": "neither"}, M.mae)
@@ -363,9 +368,9 @@ def _(spark, d):
     return rounded(rolling.rolling_met(e, "value", "guess", "ts", {"window": "1day"}, {"MAE": M.mae}, partition_by=["user_id"]))
 
 
-@query("q_roll_mean_90m", f"SELECT event_id, round(avg(value) OVER (ORDER BY ts {range_sql(5_399_999_999, 0)}), 6) AS value_mean FROM events")
+@query("q_roll_mean_90m", f"SELECT event_id, round(avg(value) OVER (ORDER BY ts {range_sql(5_399_999_999, 0)}) + 1e-10, 6) AS value_mean FROM events")
 def _(spark, d):
-    return rounded(rolling.rolling_mean(read(spark, d, "events").select("event_id", "ts", "value"), "value", "ts", "90min").select("event_id", "value_mean"))
+    return rounded(rolling.rolling_mean(read(spark, d, "events").select("event_id", "ts", "value"), "value", "ts", "90min").select("event_id", (F.col("value_mean") + step(6)).alias("value_mean")))
 
 
 @query("q_metric_acc_count", "SELECT sum((quality = toxic)::INT)::DOUBLE AS m FROM labels")
