@@ -38,6 +38,8 @@ def commonest_gap(df: DataFrame, key: str) -> int | None:
 def matched_keys(targets: DataFrame, right: DataFrame, tolerance: int | None) -> DataFrame:
     """(k, payload) of each distinct target k: of (k, payload) rows the nearest, backward on ties.
 
+    Of rows with equal keys one ahead gives its first, one behind or equal its last.
+
     The payload is a struct, so a match with NULL values is a match.
     """
     both = targets.select("k", F.lit(1).alias("target"), F.lit(None).cast(right.schema["payload"].dataType).alias("payload"))
@@ -49,23 +51,25 @@ def matched_keys(targets: DataFrame, right: DataFrame, tolerance: int | None) ->
     r = nearest_known(r, ["k"], known, "back")
     r = nearest_known(r, ["k"], known, "fore", ahead=True)
     behind, ahead = F.col("k") - F.col("back.k"), F.col("fore.k") - F.col("k")
-    pick = F.when(ahead.isNull() | (behind <= ahead), F.col("back")).otherwise(F.col("fore"))
+    one = lambda side, end: F.when(F.col(side).isNotNull(), F.struct(F.col(f"{side}.k").alias("k"), F.col(f"{side}.payload.{end}").alias("payload")))
+    pick = F.when(ahead.isNull() | (behind <= ahead), one("back", "last")).otherwise(one("fore", "first"))
     got = r.where("target = 1").withColumn("pick", pick)
     near = F.abs(F.col("k") - F.col("pick.k"))
     within = F.lit(True) if tolerance is None else near <= tolerance
     return got.select("k", F.when(within, F.col("pick.payload")).alias("payload"), F.when(within, F.col("pick.k")).alias("matched"))
 
 
-def last_of_key(right: DataFrame, key: Column, payload: list[Column], seq: list[Column]) -> DataFrame:
-    """(k, payload): of rows with equal keys the last by ``seq``."""
-    return right.where(key.isNotNull()).groupBy(key.alias("k")).agg(F.max_by(F.struct(*payload), F.struct(*seq)).alias("payload"))
+def ends_of_key(right: DataFrame, key: Column, payload: list[Column], seq: list[Column]) -> DataFrame:
+    """(k, payload): of rows with equal keys the last and the first by ``seq``, as ``payload.last`` and ``payload.first``."""
+    own = F.struct(F.max_by(F.struct(*payload), F.struct(*seq)).alias("last"), F.min_by(F.struct(*payload), F.struct(*seq)).alias("first"))
+    return right.where(key.isNotNull()).groupBy(key.alias("k")).agg(own.alias("payload"))
 
 
 def nearest_asof(left: DataFrame, right: DataFrame, key: str, tolerance: int | None = None, seq: list[str] | None = None, suffix: str = "_y") -> DataFrame:
     """``left`` with the columns of the ``right`` row whose key is nearest, NULL beyond ``tolerance`` (inclusive).
 
-    Ties in distance go to the earlier key, of equal keys to the last row by ``seq`` (by default
-    all other columns). Rows of ``left`` are kept, also those without a key. Names that
+    Ties in distance go to the earlier key; of rows with equal keys it is the last by ``seq`` (by
+    default all other columns) if they are not ahead of the left key, else the first. Rows of ``left`` are kept, also those without a key. Names that
     both sides have get ``suffix``. Tolerance is in microseconds for times.
     """
     require(left, [key])
@@ -74,7 +78,7 @@ def nearest_asof(left: DataFrame, right: DataFrame, key: str, tolerance: int | N
         raise TypeError("keys must both be times or both be numbers")
     names = [c for c in right.columns if c != key]
     payload = [col(c).alias(f"p{k}") for k, c in enumerate(names)] or [F.lit(1).alias("p")]
-    rows = last_of_key(right, micros(right, key), payload, [col(c) for c in seq or names] or [F.lit(1)])
+    rows = ends_of_key(right, micros(right, key), payload, [col(c) for c in seq or names] or [F.lit(1)])
     own = left.withColumn("_k", micros(left, key))
     match = matched_keys(own.where("_k IS NOT NULL").select(F.col("_k").alias("k")).distinct(), rows, tolerance)
     match = match.select(F.col("k").alias("_mk"), F.col("payload").alias("_mp"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.ranged import nearest_known, numbered
 from ..plans.schema import col, duration, micros, require, value
-from .asof import last_of_key, matched_keys, resolution
+from .asof import ends_of_key, matched_keys, resolution
 from .corr import pearson
 
 
@@ -32,7 +32,7 @@ def default_tolerance(df: DataFrame, t_col: str) -> int:
 def _shifted(df: DataFrame, t_col: str, periods: list[int], unit: str, tolerance: object, names: list[str], seq: list[str] | None) -> DataFrame:
     """(t, lag, payload): for each time and period the row nearest to the time less the period, in one as-of join."""
     tol = default_tolerance(df, t_col) if tolerance is None else duration(tolerance, "s") if not isinstance(tolerance, int) else tolerance
-    rows = last_of_key(df, micros(df, t_col), [col(c).alias(f"p{k}") for k, c in enumerate(names)], [col(c) for c in seq or names])
+    rows = ends_of_key(df, micros(df, t_col), [col(c).alias(f"p{k}") for k, c in enumerate(names)], [col(c) for c in seq or names])
     times = df.select(micros(df, t_col).alias("t")).where("t IS NOT NULL").distinct()
     lags = F.explode(F.array(*[F.struct(F.lit(p).alias("lag"), F.lit(duration(p, unit)).cast("long").alias("d")) for p in periods]))
     wanted = times.select("t", lags.alias("l")).select("t", "l.lag", (F.col("t") - F.col("l.d")).alias("k"))

@@ -37,6 +37,8 @@ def read_hdf(spark: SparkSession, path: str, key: str | None = None) -> DataFram
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     writer = df.write.format(fmt).mode(mode)
+    if fmt == "csv":
+        writer = writer.option("header", "true")
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
