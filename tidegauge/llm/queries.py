@@ -92,4 +92,22 @@ ORACLES = {
         r AS (SELECT doc_id, sha256(u) AS text_sha256, first_value(doc_id) OVER (PARTITION BY u ORDER BY length(t) DESC, doc_id) AS keep_id,
                      count(*) OVER (PARTITION BY u) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r""",
+    "op4_ngram_join": """
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 85 * (p.n + q.n - o)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, e.y FROM reach JOIN e ON reach.r = e.x)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+        JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = d.doc_id""",
+    "op7_substring_dedup": """
+        WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        v AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+        f AS (SELECT k, min(doc_id) AS first FROM v GROUP BY k),
+        g AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT v.doc_id, v.i, unnest(range(13)) AS j FROM v JOIN f ON v.k = f.k WHERE f.first < v.doc_id)),
+        u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+        r AS (SELECT u.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY u.p) AS kept FROM u LEFT JOIN g ON u.doc_id = g.doc_id AND u.p = g.p WHERE g.p IS NULL GROUP BY u.doc_id)
+        SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r ON r.doc_id = w.doc_id""",
 }
