@@ -160,3 +160,15 @@ def test_lag_corr_equals_pandas(spark):
     p = pd.Series(v)
     for k in (0, 1, 3):
         assert got[k] == pytest.approx(p.shift(k).corr(p**2))
+
+
+def test_reshaping(spark):
+    from tidegauge.operators import reshape
+
+    df = spark.createDataFrame([("x", 1.0, 2), ("y", 3.0, 4)], "l string, a double, b int")
+    assert [tuple(r) for r in reshape.transposed(df, "l", ["a", "b"]).orderBy("name").collect()] == [("a", 1.0, 3.0), ("b", 2.0, 4.0)]
+    joined = reshape.joined_on(df, spark.createDataFrame([("x", 9.0)], "l string, a double"), ["l"]).orderBy("l")
+    assert joined.columns == ["l", "a", "b", "a_y"] and [r.a_y for r in joined.collect()] == [9.0, None]
+    assert reshape.stacked({"p": df, "q": df.select("l")}).count() == 4
+    assert [tuple(r) for r in reshape.limits(df, ["a"]).collect()] == [("a", 1.0, 3.0)]
+    assert reshape.scaled(df, {"b": 10}).agg({"b": "sum"}).first()[0] == 60.0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..operators import asof, box, corr, lag, ml, prep, rolling, sample
+from ..operators import asof, box, corr, lag, ml, prep, reshape, rolling, sample
 from ..sources import tables
 from . import schema
 from .ranged import nearest_known, ranged
@@ -433,6 +433,32 @@ def _(spark, d):
     return rounded(tables.describe(read(spark, d, "part"), ["p_size", "p_retailprice"]), 4)
 
 
+@query("q_scale", f"SELECT {KEY_SQL}, l_tax * 1000.0 AS l_tax FROM lineitem")
+def _(spark, d):
+    return rounded(reshape.scaled(read(spark, d, "lineitem").select(*KEY_SQL.split(", "), "l_tax"), {"l_tax": 1000}))
+
+
+@query("q_index_join", "SELECT d.doc_id, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def _(spark, d):
+    return reshape.joined_on(read(spark, d, "documents").select("doc_id", "n_chars"), read(spark, d, "labels"), ["doc_id"])
+
+
+@query("q_transpose", "SELECT 'n' AS name, " + ", ".join(f"count(*) FILTER (WHERE l_returnflag = '{f}')::DOUBLE AS \"{f}\"" for f in "ANR") + " FROM lineitem UNION ALL SELECT 'qty', " + ", ".join(f"sum(l_quantity) FILTER (WHERE l_returnflag = '{f}')" for f in "ANR") + " FROM lineitem")
+def _(spark, d):
+    t = read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
+    return reshape.transposed(t, "l_returnflag", ["n", "qty"])
+
+
+@query("q_stack", "SELECT 'part' AS part, count(*) AS n, max(p_size) AS size FROM part UNION ALL SELECT 'supplier', count(*), NULL FROM supplier")
+def _(spark, d):
+    return reshape.stacked({"part": read(spark, d, "part").agg(F.count("*").alias("n"), F.max("p_size").alias("size")), "supplier": read(spark, d, "supplier").agg(F.count("*").alias("n"))})
+
+
+@query("q_limits", "SELECT 'l_quantity' AS \"column\", min(l_quantity) AS least, max(l_quantity) AS largest FROM lineitem UNION ALL SELECT 'l_tax', min(l_tax), max(l_tax) FROM lineitem")
+def _(spark, d):
+    return reshape.limits(read(spark, d, "lineitem"), ["l_quantity", "l_tax"])
+
+
 SCORES = [(0, "a", 1.0), (1, "a", 3.0), (2, "a", 2.0), (0, "b", 0.5), (1, "b", 0.25), (2, "b", 0.5), (0, "c", 7.0), (1, "c", 7.0), (2, "c", 7.0)]
 
 
