@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -36,9 +37,26 @@ from .textbatch import gram_hashes, mix, slices, word_hashes, words
 K = 13
 MINIMISER = 4
 #: Bytes of the input table for each bucket, and of text that is settled together.
-BUCKET_BYTES, STRETCH = 3 << 20, 4 << 20
-SHUFFLED = "bucket long, ids binary, marks binary, firsts binary, packed binary, ranges binary"
-NAMES = ["bucket", "ids", "marks", "firsts", "packed", "ranges"]
+BUCKET_BYTES, STRETCH = 3 << 19, 4 << 20
+SHUFFLED = "bucket long, id long, mark long, ranges binary, packed binary"
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+NAMES = ["bucket", "id", "mark", "ranges", "packed"]
+
+
+def pack(ids: np.ndarray, marks: np.ndarray, firsts: np.ndarray, pieces: list[bytes]) -> bytes:
+    """Super-k-mers with their rows' ids and marks and their first words' places: byte planes, then the strings."""
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (ids, marks, firsts)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([len(ids).to_bytes(8, "little"), *planes, b"\n".join(pieces)]))
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    raw = zstandard.decompress(data)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    for kind, width in (("<i8", 8), ("<i8", 8), ("<i4", 4)):
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * width
+    return *out, raw[at:]
 
 
 def plain(buf: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -126,7 +144,7 @@ def stretch_rows(ids: np.ndarray, marks: np.ndarray, buf: np.ndarray, off: np.nd
     for r, x, y in zip(lost_row[begin].tolist(), lost[begin].tolist(), lost[finish].tolist(), strict=True):
         where.setdefault(r, []).extend((x - int(cut[r]), y - int(cut[r]) + k))
     for r, ranges in where.items():
-        yield (int(marks[r] % np.uint64(buckets)), ids[r : r + 1].tobytes(), marks[r : r + 1].tobytes(), None, None, np.array(ranges, np.int32).tobytes())
+        yield (int(ids[r] % buckets), int(ids[r]), int(marks[r]), np.array(ranges, np.int32).tobytes(), None)
     sent, key = valid[~gone], least[~gone]
     begin, finish = spans(sent, row[sent], key)
     bucket = (mix(key[begin]) % np.uint64(buckets)).astype(np.int64)
@@ -136,23 +154,26 @@ def stretch_rows(ids: np.ndarray, marks: np.ndarray, buf: np.ndarray, off: np.nd
     r = row[begin]
     id_of, mark_of, first = ids[r], marks[r], (begin - cut[r]).astype(np.int32)
     edge = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else []
-    press = zstandard.ZstdCompressor(level=3)
     for x, y in zip(edge, edge[1:], strict=False):
-        yield (int(bucket[x]), id_of[x:y].tobytes(), mark_of[x:y].tobytes(), first[x:y].tobytes(), press.compress(b"\n".join(pieces[x:y])), None)
+        yield (int(bucket[x]), None, None, None, pack(id_of[x:y], mark_of[x:y], first[x:y], pieces[x:y]))
 
 
 def settle(key: tuple, table: pa.Table, k: int) -> pa.Table:
-    """One bucket: (id, mark, ranges) of what is to be removed."""
-    ids, marks, firsts, data, out = [], [], [], [], []
-    for i, m, f, p, r in zip(*(table.column(c).to_pylist() for c in NAMES[1:]), strict=True):
+    """One bucket: (id, mark, first, last), one row for each run of words to be removed."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
+
+    def add(*columns: np.ndarray) -> None:
+        for c, x in zip(out, columns, strict=True):
+            c.append(x)
+
+    for i, m, r in zip(*(table.column(c).to_pylist() for c in NAMES[1:4]), strict=True):
         if r is not None:
-            out.append((np.frombuffer(i, np.int64)[0], np.frombuffer(m, np.int64)[0], r))
-        else:
-            ids.append(np.frombuffer(i, np.int64))
-            marks.append(np.frombuffer(m, np.int64))
-            firsts.append(np.frombuffer(f, np.int32))
-            data.append(zstandard.decompress(p))
-    if data:
+            pairs = np.frombuffer(r, np.int32).astype(np.int64)
+            add(np.full(len(pairs) // 2, i), np.full(len(pairs) // 2, m), pairs[0::2], pairs[1::2])
+    got = [unpack(x) for x in table.column("packed").to_pylist() if x is not None]
+    if got:
+        ids, marks, firsts, data = (list(x) for x in zip(*got, strict=True))
+        del got
         ids, marks, firsts = np.concatenate(ids), np.concatenate(marks), np.concatenate(firsts).astype(np.int64)
         raw = b"\n".join(data)
         del data
@@ -167,21 +188,19 @@ def settle(key: tuple, table: pa.Table, k: int) -> pa.Table:
         gone = owners(raw, starts, ends, valid, whole[valid], doc, k) != doc
         lost, lost_row = valid[gone], row[valid[gone]]
         begin, finish = spans(lost, lost_row)
-        where: dict[tuple[int, int], list[int]] = {}
-        for r, x, y in zip(lost_row[begin].tolist(), lost[begin].tolist(), lost[finish].tolist(), strict=True):
-            shift = int(firsts[r] - cut[r])
-            where.setdefault((int(ids[r]), int(marks[r])), []).extend((x + shift, y + shift + k))
-        out += [(i, m, np.array(r, np.int32).tobytes()) for (i, m), r in where.items()]
-    return pa.table({"id": pa.array([x[0] for x in out], pa.int64()), "mark": pa.array([x[1] for x in out], pa.int64()), "ranges": pa.array([x[2] for x in out], pa.binary())})
+        r = lost_row[begin]
+        add(ids[r], marks[r], lost[begin] + firsts[r] - cut[r], lost[finish] + firsts[r] - cut[r] + k)
+    columns = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in out]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["id", "mark", "first", "last"])
 
 
-def mark_of(raw: bytes) -> int:
-    """What tells rows of the same id apart."""
-    return xxhash.xxh3_64_intdigest(raw)
+def mark_of(raw: bytes, unique: bool) -> int:
+    """What tells rows of the same id apart, where ids repeat."""
+    return 0 if unique else xxhash.xxh3_64_intdigest(raw) >> 1
 
 
-def repeated_ranges(docs: DataFrame, k: int = K, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mark, ranges): for each row with something to remove, packed pairs of first word and last word + 1."""
+def repeated_ranges(docs: DataFrame, unique: bool, k: int = K, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, found): for each id with something to remove, structs of mark, first word and last word + 1."""
     buckets = buckets or max(16, input_bytes(docs.select(text_col)) // BUCKET_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,15 +209,15 @@ def repeated_ranges(docs: DataFrame, k: int = K, buckets: int | None = None, id_
             ids = b.column(0).cast(pa.int64()).to_numpy()
             for first, last, buf, off in slices(b.column(1), STRETCH):
                 raw = buf.tobytes()
-                marks = np.array([mark_of(raw[s:e]) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], dtype=np.uint64)
+                marks = np.array([mark_of(raw[s:e], unique) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], dtype=np.int64)
                 rows = list(stretch_rows(ids[first:last], marks, buf, off, k, buckets))
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, KINDS, strict=True)], names=NAMES)
 
     sent = docs.select(id_col, text_col).mapInArrow(run, SHUFFLED)
-    settled = sent.groupBy("bucket").applyInArrow(lambda key, table: settle(key, table, k), "id long, mark long, ranges binary")
-    return settled.groupBy("id", "mark").agg(F.collect_list("ranges").alias("ranges"))
+    settled = sent.groupBy("bucket").applyInArrow(lambda key, table: settle(key, table, k), "id long, mark long, first long, last long")
+    return settled.groupBy("id").agg(F.collect_list(F.struct("mark", "first", "last")).alias("found"))
 
 
 def without_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -207,15 +226,19 @@ def without_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_co
     The ranges are joined to the texts by a hash join whose build side is the ranges, so the
     texts are shuffled once and neither sorted nor spilled.
     """
-    found = repeated_ranges(docs, k, None, id_col, text_col)
-    found = found.select(F.col("id").alias("_id"), "mark", "ranges").groupBy("_id").agg(F.collect_list(F.struct("mark", "ranges")).alias("found"))
+    unique = not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
+    found = repeated_ranges(docs, unique, k, None, id_col, text_col)
+    found = found.withColumnRenamed("id", "_id")
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     joined = own.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "_text", "found")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found = b.column(0).to_pylist(), b.column(2)
+            ids, known = b.column(0).to_pylist(), b.column(2).is_valid()
+            flat_found = b.column(2).flatten()
+            at = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False))))
+            marks, firsts, lasts = (flat_found.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             rows = []
             for first, last, buf, off in slices(b.column(1)):
                 raw = buf.tobytes()
@@ -223,13 +246,11 @@ def without_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_co
                     text = raw[s:e]
                     each = text.split()
                     lost = np.zeros(len(each) + 1, dtype=np.int64)
-                    if found[r].is_valid:
-                        mark = np.uint64(mark_of(text)).astype(np.int64)
-                        for x in found[r].as_py():
-                            if x["mark"] == mark:
-                                pairs = np.frombuffer(b"".join(x["ranges"]), np.int32)
-                                np.add.at(lost, pairs[0::2], 1)
-                                np.add.at(lost, pairs[1::2], -1)
+                    if known[r].as_py():
+                        own = slice(at[r], at[r + 1])
+                        mine = marks[own] == mark_of(text, unique)
+                        np.add.at(lost, firsts[own][mine], 1)
+                        np.add.at(lost, lasts[own][mine], -1)
                     keep = np.cumsum(lost[:-1]) == 0
                     kept = each if keep.all() else [w for w, own in zip(each, keep.tolist(), strict=True) if own]
                     out = b" ".join(kept)
