@@ -115,8 +115,9 @@ def brute_classes(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_ngram_join(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, J.HOT), (2, 3)])
+def test_ngram_join(spark, seed, hot, monkeypatch):
+    monkeypatch.setattr(J, "HOT", hot)
     rows = corpus(seed)
     got = {i: (r.n_shingles, r.component_id) for i, r in by_id(J.linked(table(spark, rows))).items()}
     assert got == brute_classes(rows)
@@ -179,11 +180,11 @@ def brute_sets(ids, sets):
 
 def test_ngram_join_repeated_and_null_ids(spark):
     a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
-    rows = [(1, a), (2, a), (2, b), (3, b), (4, "c d"), (None, a)]
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, "c d"), (5, "e"), (5, "f"), (5, "f"), (None, a)]
     got = sorted((r.doc_id, r.component_id) for r in J.linked(table(spark, rows)).collect())
-    assert got == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4)]
+    assert got == [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (5, 5), (5, 5), (5, 5)]
     kept = J.one_of_each(table(spark, rows))
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 5, 5]
 
 
 def test_components(spark):
@@ -271,7 +272,7 @@ def test_decontamination_recall_against_brute_force(spark):
         rows.append((i, " ".join(host).upper() if i % 3 == 0 else ", ".join(host)))
     rows += [(90, None), (91, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.distance for r in D.find_leaks(table(spark, rows), bench).collect()}
+    got = {(r.doc_id, r.item_id): r.distance for r in D.find_leaks(table(spark, rows), bench).collect() if r.distance <= D.allowed(r.item_words)}
     want = {}
     for i, t in rows:
         for k, item in items[:12]:
@@ -285,6 +286,22 @@ def test_decontamination_recall_against_brute_force(spark):
     assert left == {i for i, _ in rows} - {i for i, _ in got}
 
 
+def test_misspelt_passages_are_found(spark):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(3, 9))) for _ in range(200)]
+    items = [(k, " ".join(rnd.choice(words) for _ in range(35))) for k in range(10)]
+    rows = []
+    for i in range(40):
+        t = list(items[i % 10][1])
+        for _ in range(len(t) // 15):
+            t[rnd.randrange(len(t))] = "x"
+        rows.append((i, " ".join(rnd.choice(words) for _ in range(30)) + " " + "".join(t)))
+    rows.append((99, " ".join(rnd.choice(words) for _ in range(400))))
+    got = {(r.doc_id, r.item_id): r.similarity for r in D.find_leaks(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(set(got) & {(i, i % 10) for i in range(40)}) >= 36 and set(got) <= {(i, i % 10) for i in range(40)}
+    assert all(0.8 <= s <= 1 for s in got.values())
+
+
 def test_benchmark_in_parts(spark):
     items = spark.createDataFrame([(k, f"alpha beta gamma delta epsilon zeta eta theta item{k}") for k in range(30)], "item_id long, text string")
     parts = list(D.indexes(items, part_bytes=1000))
