@@ -204,6 +204,7 @@ def test_extraction_of_other_layouts():
     get = lambda x: H.main_text(x, [])
     assert get('<header>Site</header><main><article><header><h1>T</h1></header><p>a<br>b</p><aside>s</aside></article><section class="comments"><p>c</section></main>') == "T\na b"
     assert get("<div class='sidebar'><p>side</div><div><p>body one</p><p>body <a href=x>two</a></p></div><form><p>f</form>") == "body one\nbody two"
+    assert get('<div class="post with-comments"><article><p>a</article><section class="comments"><article class="comment"><p>c</article></section></div>') == "a"
     assert get("<article><p>unclosed <!-- gone --> tail") == "unclosed tail"
 
 

@@ -47,6 +47,9 @@ SELF_ENDING = frozenset("p li dt dd tr td th option".split())
 FURNITURE = frozenset("nav footer aside form script style noscript template iframe head title button select textarea input label svg canvas object menu dialog fieldset".split())
 FURNITURE_HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus replies share sharing social related recommended newsletter subscribe signup popup modal overlay footer pagination widget toolbar".split())
 MAIN = ("article", "main")
+#: What makes an article of its own a piece beside the main one.
+BESIDE_HINTS = frozenset("comment comments replies related recommended ad ads advert advertisement sponsored promo".split())
+ABOUT = frozenset("with without has no is".split())
 OUTER = frozenset(["header"])
 OUTER_HINTS = frozenset(["header", "masthead"])
 #: Expressions are cut at this depth, and siblings folded in periods up to this length.
@@ -63,6 +66,13 @@ class Node:
         self.parts: list = []  # texts and nodes in page order
 
 
+def hints_of(attributes: str) -> frozenset[str]:
+    """The words of an element's class, id and role; what says ``with-...`` or ``no-...`` names something else."""
+    tokens = " ".join("".join(h[1:]) for h in HINT.findall(attributes)).lower().split()
+    pieces = (PIECE.findall(t) for t in tokens)
+    return frozenset(x for p in pieces if p and p[0] not in ABOUT for x in p)
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; inline tags are blanks of no width, other tags end what they must."""
     root = Node("#root", frozenset())
@@ -96,8 +106,12 @@ def parse(page: str) -> Node:
             continue
         if stack[-1].name == "p" or (name in SELF_ENDING and stack[-1].name == name):
             stack.pop()
-        hints = frozenset(PIECE.findall(" ".join("".join(h[1:]) for h in HINT.findall(m[3])).lower())) if m[3] else frozenset()
+        hints = hints_of(m[3]) if m[3] else frozenset()
         node = Node(name, hints)
+        if name in MAIN and not furniture(node.label, False):
+            for x in stack:  # what holds the article isn't furniture, whatever its class says
+                if not x.hints & BESIDE_HINTS:
+                    x.label = x.name
         stack[-1].parts.append(node)
         if name not in VOID and not m[3].endswith("/"):
             stack.append(node)
@@ -175,9 +189,14 @@ def written_out(e: list) -> str:
 
 
 def furniture(label: str, inside: bool) -> bool:
+    """Whether an element isn't main text; ``inside`` a main region, headers belong to it."""
     name, *hints = label.split(".")
+    if name in ("body", "html", "#root"):
+        return False
+    if name in MAIN:
+        return any(h in BESIDE_HINTS for h in hints)
     if name in FURNITURE or any(h in FURNITURE_HINTS for h in hints):
-        return name not in ("body", "html", *MAIN) or name in FURNITURE
+        return True
     return not inside and (name in OUTER or any(h in OUTER_HINTS for h in hints))
 
 
