@@ -5,7 +5,9 @@
 2. Shingles are counted over the whole corpus in hash buckets, where they arrive as packed,
    compressed columns. A shingle that only one set has can't be in any overlap, so what
    travels back to the documents are the repeated ones with their counts.
-3. The global order of shingles is by count, then hash. Two sets that link share a shingle in
+   A shingle that is frequent within one stretch of rows is known to be repeated: only a marker
+   travels to its bucket, and it comes last in the global order for everyone.
+3. The global order of shingles is by count (hot ones last), then hash. Two sets that link share a shingle in
    the first ``n - ceil(0.85 n) + 1`` of that order (their prefixes); a set whose prefix is all
    unique shingles links with nothing and is out. Sets that share prefix shingles,
    directly or in a chain, form a family, so no link leaves a family.
@@ -44,6 +46,8 @@ PART, OF = 100, 85
 TOKEN = np.uint64((1 << 48) - 1)
 BUCKET_BYTES, STRETCH, STRETCH_ROWS = 2 << 20, 4 << 20, 30_000
 BLOCK_TOKENS = 4_000_000
+#: A shingle of so many sets in one stretch is hot: its postings skip the counting (see ``postings``).
+HOT, MOST = 64, 2**31 - 1
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +123,11 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed (token, document) columns by token bucket; of equal sets in a stretch the least id's."""
+    """Packed (token, document) columns by token bucket; of equal sets in a stretch the least id's.
+
+    Kinds of rows: 0 postings to be counted; 1 markers, the hot tokens of a stretch; 2 a stretch's
+    postings of its hot tokens, dealt by document, which nobody has to count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,44 +138,60 @@ def postings(docs: DataFrame, buckets: int) -> DataFrame:
                 keep = np.zeros(len(ids), dtype=bool)
                 keep[list(first.values())] = True
                 row, token = row[keep[row]], token[keep[row]]
-                bucket = token % buckets
-                order = np.lexsort((token, bucket))
-                row, token, bucket = row[order], token[order], bucket[order]
-                cut = edges_of(bucket)
-                cols: list[list] = [[], [], [], []]
-                for x, y in zip(cut, cut[1:], strict=False):
-                    own, place = np.unique(row[x:y], return_inverse=True)
-                    for c, v in zip(cols, (int(bucket[x]), pack(token[x:y]), press(place.astype(np.uint16)), press(ids[own])), strict=True):
-                        c.append(v)
+                each, place, count = np.unique(token, return_inverse=True, return_counts=True)
+                hot = count >= HOT
+                cols: list[list] = [[], [], [], [], []]
+
+                def add(kind: int, bucket: np.ndarray, token: np.ndarray, row: np.ndarray | None, cols: list[list] = cols, ids: np.ndarray = ids) -> None:
+                    order = np.lexsort((token, bucket))
+                    bucket, token = bucket[order], token[order]
+                    row = None if row is None else row[order]
+                    for x, y in zip(cut := edges_of(bucket), cut[1:], strict=False):
+                        own, at = (None, None) if row is None else np.unique(row[x:y], return_inverse=True)
+                        packed = (None, None) if row is None else (press(at.astype(np.uint16)), press(ids[own]))
+                        for c, v in zip(cols, (int(bucket[x]), kind, pack(token[x:y]), *packed), strict=True):
+                            c.append(v)
+
+                cold, warm = ~hot[place], hot[place]
+                add(0, token[cold] % buckets, token[cold], row[cold])
+                add(1, each[hot] % buckets, each[hot], None)
+                add(2, ids[row[warm]] % buckets, token[warm], row[warm])
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "tokens", "places", "ids"])
+                    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "kind", "tokens", "places", "ids"])
 
-    return docs.mapInArrow(run, "bucket long, tokens binary, places binary, ids binary")
+    return docs.mapInArrow(run, "bucket long, kind int, tokens binary, places binary, ids binary")
 
 
 def repeated(posted: DataFrame, homes: int) -> DataFrame:
     """Packed (document, token, count) columns of the tokens that several documents have, by the document's home."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        token, doc = [], []
-        for a, b, c in zip(*(t.column(k).to_pylist() for k in ("tokens", "places", "ids")), strict=True):
-            token.append(unpack(a))
-            doc.append(unpress(c, "<i8")[unpress(b, "<u2")])
-        token, doc = np.concatenate(token), np.concatenate(doc)
+        none = np.zeros(0, np.int64)
+        hot, sides = [none], {0: ([none], [none]), 2: ([none], [none])}
+        for kind, a, b, c in zip(*(t.column(k).to_pylist() for k in ("kind", "tokens", "places", "ids")), strict=True):
+            if kind == 1:
+                hot.append(unpack(a))
+            else:
+                sides[kind][0].append(unpack(a))
+                sides[kind][1].append(unpress(c, "<i8")[unpress(b, "<u2")])
+        token, doc = (np.concatenate(x) for x in sides[0])
         order = np.lexsort((doc, token))
         token, doc = token[order], doc[order]
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
         token, doc = token[new], doc[new]
         cut = np.array(edges_of(token))
-        count = np.repeat(np.diff(cut), np.diff(cut))
+        count = np.where(np.isin(token, np.concatenate(hot)), MOST, np.repeat(np.diff(cut), np.diff(cut)))
         token, doc, count = token[count > 1], doc[count > 1], count[count > 1]
+        more_tokens, more_docs = (np.concatenate(x) for x in sides[2])
+        token, doc, count = np.concatenate((token, more_tokens)), np.concatenate((doc, more_docs)), np.concatenate((count, np.full(len(more_tokens), MOST)))
         home = doc % homes
         order = np.lexsort((token, doc, home))
         token, doc, count, home = token[order], doc[order], count[order], home[order]
         cols: list[list] = [[], [], [], []]
         for x, y in zip(edges := edges_of(home), edges[1:], strict=False):
-            for c, v in zip(cols, (int(home[x]), press(doc[x:y]), press(token[x:y]), press(np.minimum(count[x:y], 2**31 - 1).astype(np.int32))), strict=True):
+            for c, v in zip(cols, (int(home[x]), press(doc[x:y]), press(token[x:y]), press(np.minimum(count[x:y], MOST).astype(np.int32))), strict=True):
                 c.append(v)
         return pa.table([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["home", "docs", "tokens", "counts"])
 
@@ -401,8 +425,21 @@ def _split_family_links(members: DataFrame, heads: DataFrame, block_tokens: int)
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row for each document with an id: doc_id, n_shingles, component_id."""
+    """One row for each document row with an id: doc_id, n_shingles, component_id."""
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if not own.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _classes(own, block_tokens)
+    # ids repeat: each (id, text) gets a key of its own, and an id links what its texts link
+    rows = own.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    got = _classes(rows.select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"]), block_tokens)
+    got = written(rows.select("doc_id", "key").join(got.select(F.col("doc_id").alias("key"), "n_shingles", "component_id"), "key"), "keyed")
+    least = got.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    links = components(got.join(least, "component_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    return got.join(links, F.col("doc_id") == F.col("node")).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
+def _classes(own: DataFrame, block_tokens: int) -> DataFrame:
+    """The same for (doc_id, text) with ids that don't repeat."""
     buckets = max(16, input_bytes(own) // BUCKET_BYTES) | 1
     sized = written(sizes(own), "sizes")
     sets = sized.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"))
@@ -422,16 +459,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
         large = large.drop("label").join(first.withColumnRenamed("class", "label"), "doc")
         more = components(_split_family_links(written(large, "large"), heads, block_tokens))
         first = first.join(more, F.col("class") == F.col("node"), "left").select("doc", F.coalesce("component", "class").alias("class"))
-    # a document id with several texts links what its texts link
-    links = sized.where("n > 0").select("doc_id", "digest").join(unique.select("digest", "doc"), "digest").select("doc_id", "doc")
-    links = links.join(first, "doc", "left").select("doc_id", F.coalesce("class", "doc").alias("class"))
-    many = sized.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count()
-    if many:
-        found = components(links.select(F.col("doc_id").alias("a"), F.col("class").alias("b")))
-        links = found.select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
-        links = links.join(sized.select("doc_id").distinct(), "doc_id")
-    out = sized.select("doc_id", "n").join(links, "doc_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
+    out = sized.join(unique.select("digest", "doc"), "digest", "left").join(first, "doc", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
-LONG_WORD = 1024
+LONG_WORD, CHUNK_WORDS = 1024, 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,12 +84,15 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     padded[: len(buf)] = buf
     view = np.ndarray(shape=(len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     h = lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    live, k = np.flatnonzero(lens <= LONG_WORD), 0
-    while live.size:
-        left = lens[live] - 8 * k
-        piece = view[starts[live] + 8 * k] & LOW_BYTES[np.minimum(left, 8)]
-        h[live] = mix(h[live] ^ piece)
-        live, k = live[left > 8], k + 1
+    for at in range(0, len(starts), CHUNK_WORDS):  # keeps the temporary arrays small
+        part = slice(at, at + CHUNK_WORDS)
+        own, begin, size = h[part], starts[part], lens[part]
+        live, k = np.flatnonzero(size <= LONG_WORD), 0
+        while live.size:
+            left = size[live] - 8 * k
+            piece = view[begin[live] + 8 * k] & LOW_BYTES[np.minimum(left, 8)]
+            own[live] = mix(own[live] ^ piece)
+            live, k = live[left > 8], k + 1
     for i in np.flatnonzero(lens > LONG_WORD):
         h[i] = np.uint64(xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes()))
     return h
