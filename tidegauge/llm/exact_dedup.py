@@ -136,19 +136,17 @@ def recipes(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str =
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 16) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    A recipe's keeper and size come from a partial aggregate, so a recipe that a third of the
-    rows share is one row for each task; they are joined back on the recipe, where adaptive
-    execution may split the hot side.
+    The keeper and size of a repeated recipe come from a partial aggregate, so a recipe that a
+    third of the rows share is one row for each task. They are written, and joined back from
+    there, so that both sides of the join are plain shuffles whose hot side adaptive execution
+    may split; recipes that occur once aren't in that table.
     """
     width = verified_width(docs, text_col, width)
     rows = written(recipes(docs, width, id_col, text_col), "recipes")
-    best = rows.groupBy("recipe").agg(
-        F.max(F.struct("n_chars", (-F.col("doc_id")).alias("back"))).alias("best"), F.count("*").alias("group_size")
-    )
-    best = best.select("recipe", (-F.col("best.back")).alias("keep_id"), "group_size", F.col("best.n_chars").alias("keep_chars"))
-    return rows.join(best, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chars"
-    )
+    best = rows.groupBy("recipe").agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("back"))).alias("best"), F.count("*").alias("size"))
+    best = written(best.where("size > 1").select("recipe", (-F.col("best.back")).alias("keeper"), "size"), "keepers")
+    out = rows.join(best, "recipe", "left").withColumn("keep_id", F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keeper")))
+    return out.select("doc_id", "keep_id", F.coalesce("size", F.lit(1)).alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_chars")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
