@@ -208,6 +208,17 @@ def test_extraction_of_other_layouts():
     assert get("<article><p>unclosed <!-- gone --> tail") == "unclosed tail"
 
 
+def test_texts_that_a_host_repeats_are_constants_of_its_wrapper(spark):
+    note = "<p>Read our <b>terms</b> first</p>"
+    body = lambda i: f"<p>one {i}</p>{note if i % 4 else ''}<p>two {i}</p>" + ("<div>Join us</div>" if i % 2 else "")
+    rows = [(i, f"http://a.example/{i}", f"<article><h1>T {i}</h1>{body(i)}</article>") for i in range(12)]
+    rows += [(20 + i, "http://b.example/", f"<article><h1>T</h1>{note}</article>") for i in range(8)]  # equal pages are one
+    rows += [(30 + i, f"http://c.example/{i}", f"<article>{note}<p>c {i}</p></article>") for i in range(2)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"T {i}\none {i}\ntwo {i}" for i in range(12))
+    assert all(got[20 + i] == "T\nRead our terms first" for i in range(8)) and all(got[30 + i] == f"Read our terms first\nc {i}" for i in range(2))
+
+
 def documents(spark, n=400):
     rnd = random.Random(0)
     rows, labels = [], []

@@ -4,13 +4,17 @@ A page's token stream (tags and texts) is folded into a union-free regular expre
 tags, ``(...)+`` for a run of like siblings, ``#`` for a text slot. The expressions of one host
 are then aligned with each other, one after the other: labels that match are kept, a piece that
 only one side has becomes optional, ``(...)?``, and a piece that repeats on one side becomes a
-repeated group. The result is the host's wrapper; it decides which of its text slots are main
-text, and pages are read through it.
+repeated group. The result is the host's wrapper, and pages are read through it: each block of
+text falls into one of its slots, and texts are counted by slot. A text that stands in a slot on
+``CONSTANT_PAGES`` different pages or more, and on more than half of those that have the slot
+(which may be an optional piece or part of a repeated group), is a constant of the wrapper, a
+notice or advert of the host, and isn't main text; a page of constants only keeps them.
 
 Distinct expressions are counted by host first (a partial aggregate: a host that holds a third
 of all pages is a few rows), merged within salted parts of a host and then between them, and the
 wrappers are joined back to the pages by host, where Spark broadcasts them only if they are
-measured to be small and may split a hot host otherwise.
+measured to be small and may split a hot host otherwise. Texts are counted by their hashes, and
+equal pages of a host once.
 
 Main text is what stands in ``article`` or ``main`` of the wrapper (or else in the container with
 most unlinked text of the page), without the elements and classes listed below as furniture.
@@ -27,8 +31,11 @@ from __future__ import annotations
 import html as references
 import json
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,6 +62,8 @@ OUTER_HINTS = frozenset(["header", "masthead"])
 #: Expressions are cut at this depth, and siblings folded in periods up to this length.
 DEEPEST, PERIODS = 30, 4
 SALTS = 16
+#: A text is a constant of the wrapper from this number of different pages on.
+CONSTANT_PAGES = 3
 
 
 class Node:
@@ -216,20 +225,20 @@ def main_paths(e: list) -> list[list[str]]:
     return sorted(inner or found)
 
 
-def blocks(node: Node, inside: bool = True) -> list[str]:
-    """The texts of a region's blocks, without furniture."""
-    out: list[str] = []
+def blocks(node: Node, inside: bool = True) -> list[tuple[Node, str]]:
+    """A region's blocks, each the element it stands in and its text, without furniture."""
+    out: list[tuple[Node, str]] = []
     now: list[str] = []
 
     def end() -> None:
         text = " ".join(references.unescape("".join(now)).split())
         now.clear()
         if text:
-            out.append(text)
+            out.append((stack[-1][0], text))
 
-    stack = [iter(node.parts)]
+    stack = [(node, iter(node.parts))]
     while stack:
-        p = next(stack[-1], None)
+        p = next(stack[-1][1], None)
         if p is None:
             end()
             stack.pop()
@@ -239,8 +248,7 @@ def blocks(node: Node, inside: bool = True) -> list[str]:
         else:
             end()
             if not furniture(p.label, inside):
-                stack.append(iter(p.parts))
-    end()
+                stack.append((p, iter(p.parts)))
     return out
 
 
@@ -282,13 +290,61 @@ def regions(root: Node, paths: list[list[str]]) -> list[Node]:
     return found
 
 
-def main_text(page: str, paths: list[list[str]]) -> str:
-    root = parse(page)
+def number(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def compiled(e: list) -> tuple[dict[str, list[int]], list]:
+    """A wrapper node for reading: places of its children by label, and the children."""
+    places: dict[str, list[int]] = {}
+    for k, c in enumerate(e[2]):
+        places.setdefault(c[0], []).append(k)
+    return places, [compiled(c) for c in e[2]]
+
+
+def slots(root: Node, wrapper: tuple[dict[str, list[int]], list] | None) -> dict[int, int]:
+    """Each element's slot by ``id``: its place in the wrapper.
+
+    Siblings take the wrapper's pieces from left to right, and begin anew where a group repeats. What
+    the wrapper doesn't reach (below ``DEEPEST``) goes by its labels.
+    """
+    out, stack = {id(root): 1}, [(root, wrapper, 1)]
+    while stack:
+        node, at, slot = stack.pop()
+        now = 0
+        for p in node.parts:
+            if isinstance(p, str):
+                continue
+            places = at[0].get(p.label) if at else None
+            if places:
+                k = bisect_left(places, now)
+                now = places[k if k < len(places) else 0]
+                inner, step = at[1][now], now
+            else:
+                inner, step = None, zlib.crc32(p.label.encode()) | 1 << 32
+            own = (slot * 0x9E3779B97F4A7C15 + step + 1) % (1 << 63)
+            own ^= own >> 29
+            out[id(p)] = own
+            stack.append((p, inner, own))
+    return out
+
+
+def main_blocks(root: Node, paths: list[list[str]]) -> list[tuple[Node, str]]:
     got = regions(root, paths) or regions(root, main_paths(expression(root)))
     if not got:
         one = densest(root)
         got = [one] if one else []
-    return "\n".join(x for node in got for x in blocks(node))
+    return [x for node in got for x in blocks(node)]
+
+
+def main_text(page: str, paths: list[list[str]], wrapper: tuple[dict[str, list[int]], list] | None = None, constants: frozenset[tuple[int, int]] = frozenset()) -> str:
+    """The page's main text, without the wrapper's constants: (slot, text's number)."""
+    root = parse(page)
+    got = main_blocks(root, paths)
+    if constants:
+        slot = slots(root, wrapper)
+        got = [x for x in got if (slot[id(x[0])], number(x[1])) not in constants] or got
+    return "\n".join(text for _, text in got)
 
 
 @lru_cache(maxsize=4096)
@@ -296,6 +352,11 @@ def wrapper_paths(wrapper: str) -> list[list[str]]:
     return main_paths(json.loads(wrapper))
 
 
+@lru_cache(maxsize=1024)
+def wrapper_places(wrapper: str) -> tuple[dict[str, list[int]], list]:
+    return compiled(json.loads(wrapper))
+
+
 def host(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
@@ -325,17 +386,51 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").applyInArrow(lambda t: merged(t), schema)
 
 
+def with_wrappers(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """The pages, each with the columns of its host's row."""
+    own = pages.select("page_id", "url", "html", host(F.col("url")).alias("_own"))
+    return own.join(wrappers.withColumnRenamed("host", "_host"), F.col("_own") == F.col("_host"), "left")
+
+
+def find_constants(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """(host, slots, texts): the constants of each host's wrapper, for hosts that have any; parallel arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                rows = set()
+                for h, page, w in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    root = parse(page)
+                    slot, fingerprint = slots(root, wrapper_places(w)), number(page)
+                    for node, text in main_blocks(root, wrapper_paths(w)):
+                        rows.add((h, slot[id(node)], number(text), fingerprint))
+                        rows.add((h, slot[id(node)], None, fingerprint))
+                if rows:
+                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "slot", "text", "page"])
+
+    read = with_wrappers(pages, wrappers).where(F.col("html").isNotNull() & F.col("wrapper").isNotNull()).select("_own", "html", "wrapper")
+    seen = read.mapInArrow(run, "host string, slot long, text long, page long").groupBy("host", "slot", "text").agg(F.count_distinct("page").alias("n"))
+    seen = written(seen.where(F.col("n") >= CONSTANT_PAGES), "slots")
+    own, all_ = seen.where("text IS NOT NULL"), seen.where("text IS NULL").select("host", "slot", F.col("n").alias("of"))
+    return own.join(all_, ["host", "slot"]).where("2 * n > of").groupBy("host").agg(F.collect_list("slot").alias("slots"), F.collect_list("text").alias("texts"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row for each page: page_id, url, text, n_chars."""
-    wrappers = written(infer_wrappers(pages), "wrappers").select(F.col("host").alias("_host"), "wrapper")
-    own = pages.select("page_id", "url", "html", host(F.col("url")).alias("_own"))
-    joined = own.join(wrappers, F.col("_own") == F.col("_host"), "left").select("page_id", "url", "html", "wrapper")
+    wrappers = written(infer_wrappers(pages), "wrappers").select("host", "wrapper")
+    constants = written(find_constants(pages, wrappers), "constants")
+    joined = with_wrappers(pages, wrappers.join(constants, "host", "left")).select("page_id", "url", "html", "wrapper", "slots", "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                texts = [main_text(h or "", wrapper_paths(w) if w else []) for h, w in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                texts = []
+                for page, w, s, t in zip(*(part.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                    known = frozenset(zip(s, t, strict=True)) if s else frozenset()
+                    texts.append(main_text(page or "", wrapper_paths(w) if w else [], wrapper_places(w) if w and known else None, known))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
                 )
