@@ -219,6 +219,16 @@ def test_texts_that_a_host_repeats_are_constants_of_its_wrapper(spark):
     assert all(got[20 + i] == "T\nRead our terms first" for i in range(8)) and all(got[30 + i] == f"Read our terms first\nc {i}" for i in range(2))
 
 
+def test_extraction_loses_no_block_of_the_main_text():
+    get = lambda x: H.main_text(x, None)
+    assert get("<body><header>Site</header><div><section><p>one</p></section><section><p>two</p><ul><li><a href=x>link</a></ul></section></div><ul><li><a href=y>other</a></ul></body>") == "one\ntwo\nlink"
+    assert get("<table><tr><td>a<td>b<tr><td>c</table>") == "a\nb\nc"
+    assert get("<p>aside</p>" + "<div>" * 60 + "<article><p>deep</p></article>") == "deep"
+    assert get("<main><article>text text</article></main><section class='more'><article>teaser</article></section>") == "text text"
+    assert get("<main><h1>text</h1><p>more text</p></main><div><article>teaser</article></div>") == "text\nmore text"
+    assert get("<main><p>x</p></main><article>the longer text</article>") == "x\nthe longer text"
+
+
 def documents(spark, n=400):
     rnd = random.Random(0)
     rows, labels = [], []

@@ -16,8 +16,10 @@ wrappers are joined back to the pages by host, where Spark broadcasts them only
 measured to be small and may split a hot host otherwise. Texts are counted by their hashes, and
 equal pages of a host once.
 
-Main text is what stands in ``article`` or ``main`` of the wrapper (or else in the container with
-most unlinked text of the page), without the elements and classes listed below as furniture.
+Main text is what stands in the page's outermost ``article`` and ``main`` regions, at any depth (beside
+a ``main`` element, articles outside only if they hold more text), or else in the smallest container
+that holds all blocks with more text outside links than in them, without the elements and classes
+listed below as furniture.
 Character references are decoded, white space within a block becomes one blank, blocks
 are joined by one newline.
 
@@ -59,6 +61,9 @@ BESIDE_HINTS = frozenset("comment comments replies related recommended ad ads ad
 ABOUT = frozenset("with without has no is".split())
 OUTER = frozenset(["header"])
 OUTER_HINTS = frozenset(["header", "masthead"])
+#: Elements that hold one block, and those whose headers are the site's.
+TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre".split())
+TOP = frozenset(["#root", "html", "body"])
 #: Expressions are cut at this depth, and siblings folded in periods up to this length.
 DEEPEST, PERIODS = 30, 4
 SALTS = 16
@@ -209,24 +214,8 @@ def furniture(label: str, inside: bool) -> bool:
     return not inside and (name in OUTER or any(h in OUTER_HINTS for h in hints))
 
 
-def main_paths(e: list) -> list[list[str]]:
-    """Where the wrapper's main regions are: paths of labels from the root, outermost regions only."""
-    found, stack = [], [(e, [])]
-    while stack:
-        node, path = stack.pop()
-        name, *hints = node[0].split(".")
-        if furniture(node[0], False):
-            continue
-        if name in MAIN or "main" in hints:
-            found.append([*path, node[0]])
-            continue
-        stack += [(c, [*path, node[0]]) for c in node[2] if c[0] != "#"]
-    inner = [p for p in found if p[-1].split(".")[0] == "article"]
-    return sorted(inner or found)
-
-
 def blocks(node: Node, inside: bool = True) -> list[tuple[Node, str]]:
-    """A region's blocks, each the element it stands in and its text, without furniture."""
+    """A region's blocks, each the element it stands in and its text, without furniture; unless ``inside``, headers at the top are the site's."""
     out: list[tuple[Node, str]] = []
     now: list[str] = []
 
@@ -247,49 +236,78 @@ def blocks(node: Node, inside: bool = True) -> list[tuple[Node, str]]:
                 now.append(p)
         else:
             end()
-            if not furniture(p.label, inside):
+            if not furniture(p.label, inside or stack[-1][0].name not in TOP):
                 stack.append((p, iter(p.parts)))
     return out
 
 
-def densest(root: Node) -> Node | None:
-    """The container with most text of its own blocks outside links, for pages that no wrapper region fits."""
-    best, most = None, 0
-    stack = [root]
+def unlinked(node: Node) -> tuple[int, int]:
+    """Characters of an element's own text outside links and in them."""
+    out, within, linked = 0, 0, False
+    for p in node.parts:
+        if not isinstance(p, str):
+            linked = False
+        elif p in (OPEN_LINK, CLOSE_LINK):
+            linked = p == OPEN_LINK
+        elif linked:
+            within += len(p.strip())
+        else:
+            out += len(p.strip())
+    return out, within
+
+
+def text_size(node: Node) -> int:
+    """Characters outside links in a region."""
+    size, stack = 0, [node]
     while stack:
-        node = stack.pop()
-        size, linked = 0, False
-        for p in node.parts:
-            if isinstance(p, str):
-                linked = p == OPEN_LINK or (linked and p != CLOSE_LINK)
-                size += 0 if linked or p == CLOSE_LINK else len(p.strip())
-            elif not furniture(p.label, False):
-                stack.append(p)
-                if p.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "li"):
-                    linked = False
-                    for x in p.parts:
-                        if isinstance(x, str):
-                            linked = x == OPEN_LINK or (linked and x != CLOSE_LINK)
-                            size += 0 if linked or x == CLOSE_LINK else len(x.strip())
-        if size > most and node.name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"):
-            best, most = node, size
-    return best
-
-
-def regions(root: Node, paths: list[list[str]]) -> list[Node]:
-    """The page's nodes on the wrapper's main paths, in page order."""
-    found, stack = [], [(root, [root.label])]
+        x = stack.pop()
+        size += unlinked(x)[0]
+        stack += [p for p in x.parts if not isinstance(p, str) and not furniture(p.label, True)]
+    return size
+
+
+def regions(root: Node) -> list[Node]:
+    """The page's main regions, outermost ones, in page order."""
+    found, stack = [], [root]
     while stack:
-        node, path = stack.pop()
-        if path in paths:
+        node = stack.pop()
+        name, *hints = node.label.split(".")
+        if furniture(node.label, False):
+            continue
+        if name in MAIN or "main" in hints:
             found.append(node)
             continue
-        for p in reversed(node.parts):
-            if not isinstance(p, str) and any(q[: len(path)] == path and len(q) > len(path) and q[len(path)] == p.label for q in paths):
-                stack.append((p, [*path, p.label]))
+        stack += [p for p in reversed(node.parts) if not isinstance(p, str)]
+    if len(found) > 1 and any(x.name == "main" for x in found):
+        most = sum(text_size(x) for x in found if x.name == "main")
+        if sum(text_size(x) for x in found if x.name == "article") <= most:
+            found = [x for x in found if x.name != "article"]
     return found
 
 
+def container(root: Node) -> Node | None:
+    """The smallest element that holds all blocks with more text outside links than in them, for pages without a main region."""
+    order, parent = [root], [-1]
+    for k, node in enumerate(order):  # grows while it is read
+        for p in node.parts:
+            if not isinstance(p, str) and not furniture(p.label, False):
+                order.append(p)
+                parent.append(k)
+    sizes = [unlinked(x) for x in order]
+    dense = [k for k, (out, within) in enumerate(sizes) if out > within] or [k for k, (out, _) in enumerate(sizes) if out]
+    if not dense:
+        return None
+    held = [0] * len(order)
+    for k in dense:
+        held[k] = 1
+    for k in range(len(order) - 1, 0, -1):
+        held[parent[k]] += held[k]
+    best = max(k for k in range(len(order)) if held[k] == len(dense))  # these are a path from the root
+    while best and order[best].name in TEXT_ELEMENTS:
+        best = parent[best]
+    return order[best]
+
+
 def number(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
@@ -329,29 +347,24 @@ def slots(root: Node, wrapper: tuple[dict[str, list[int]], list] | None) -> dict
     return out
 
 
-def main_blocks(root: Node, paths: list[list[str]]) -> list[tuple[Node, str]]:
-    got = regions(root, paths) or regions(root, main_paths(expression(root)))
+def main_blocks(root: Node) -> list[tuple[Node, str]]:
+    got = regions(root)
     if not got:
-        one = densest(root)
-        got = [one] if one else []
+        one = container(root)
+        return blocks(one, False) if one else []
     return [x for node in got for x in blocks(node)]
 
 
-def main_text(page: str, paths: list[list[str]], wrapper: tuple[dict[str, list[int]], list] | None = None, constants: frozenset[tuple[int, int]] = frozenset()) -> str:
+def main_text(page: str, wrapper: tuple[dict[str, list[int]], list] | None = None, constants: frozenset[tuple[int, int]] = frozenset()) -> str:
     """The page's main text, without the wrapper's constants: (slot, text's number)."""
     root = parse(page)
-    got = main_blocks(root, paths)
+    got = main_blocks(root)
     if constants:
         slot = slots(root, wrapper)
         got = [x for x in got if (slot[id(x[0])], number(x[1])) not in constants] or got
     return "\n".join(text for _, text in got)
 
 
-@lru_cache(maxsize=4096)
-def wrapper_paths(wrapper: str) -> list[list[str]]:
-    return main_paths(json.loads(wrapper))
-
-
 @lru_cache(maxsize=1024)
 def wrapper_places(wrapper: str) -> tuple[dict[str, list[int]], list]:
     return compiled(json.loads(wrapper))
@@ -403,7 +416,7 @@ def find_constants(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                 for h, page, w in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     root = parse(page)
                     slot, fingerprint = slots(root, wrapper_places(w)), number(page)
-                    for node, text in main_blocks(root, wrapper_paths(w)):
+                    for node, text in main_blocks(root):
                         rows.add((h, slot[id(node)], number(text), fingerprint))
                         rows.add((h, slot[id(node)], None, fingerprint))
                 if rows:
@@ -430,7 +443,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = []
                 for page, w, s, t in zip(*(part.column(k).to_pylist() for k in range(2, 6)), strict=True):
                     known = frozenset(zip(s, t, strict=True)) if s else frozenset()
-                    texts.append(main_text(page or "", wrapper_paths(w) if w else [], wrapper_places(w) if w and known else None, known))
+                    texts.append(main_text(page or "", wrapper_places(w) if w and known else None, known))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
                 )
