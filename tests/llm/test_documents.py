@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from tidegauge.llm import decontaminate as D
 from tidegauge.llm import exact_dedup as E
 from tidegauge.llm import ngram_join as J
 from tidegauge.llm import substring_dedup as S
+from tidegauge.llm.textbatch import flat
 
 SCHEMA = "doc_id long, text string, lang string, recipe string, n long, mark long, _id long"
 
@@ -302,6 +304,29 @@ def test_misspelt_passages_are_found(spark):
     assert all(0.8 <= s <= 1 for s in got.values())
 
 
+def test_items_of_few_words_are_found():
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    for n in range(1, 10):
+        items = [" ".join(rnd.sample(words, n)) for _ in range(20)]
+        texts, want = [], {}
+        for i, item in enumerate(items * 3):
+            w = item.split()
+            if n >= 5 and i >= 20:  # the one edit that is allowed
+                x = rnd.randrange(n)
+                w[x : x + 1] = rnd.choice([[], ["new"], [w[x], "more"]])
+            host = [rnd.choice(words) for _ in range(rnd.randint(20, 200))]
+            at = rnd.randint(0, len(host))
+            host[at:at] = w
+            texts.append(" ".join(host))
+            for k, own in enumerate(items):
+                d = dynamic(own.split(), host)
+                if d <= D.allowed(n):
+                    want[i, k] = d
+        got = {(r, k): d for r, k, d, *_ in D.Index(list(range(20)), items).matches(*flat(pa.array(texts, pa.string())))}
+        assert set(want) <= set(got) and {k for k, d in got.items() if d <= D.allowed(n)} <= set(want) and {(i, i % 20) for i in range(60)} <= set(want)
+
+
 def test_benchmark_in_parts(spark):
     items = spark.createDataFrame([(k, f"alpha beta gamma delta epsilon zeta eta theta item{k}") for k in range(30)], "item_id long, text string")
     parts = list(D.indexes(items, part_bytes=1000))
