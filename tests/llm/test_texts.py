@@ -163,6 +163,19 @@ def test_chat(spark):
     assert chat.read_back(chat.format_windows(conversations(spark, rows).where("false"), tokenizer_path())).count() == 0
 
 
+def test_every_window_has_the_system_turn():
+    def heads(turns, budget=1024):
+        w = chat.Windows(budget, 2, 0.25)
+        rows = [x for role, n in turns for x in w.add(1, role, f"{role}{n}", n)] + list(w.flush())
+        return [([r for r, _ in chat.parse(x["text"])][: x["n_repeated"]], x["n_turns"], x["n_tokens"]) for x in rows]
+
+    assert heads([("system", 60), ("user", 700), ("assistant", 200), ("user", 900), ("assistant", 30)]) == [([], 3, 960), (["system"], 2, 990)]
+    assert heads([("system", 60), ("user", 800), ("assistant", 50), ("user", 150), ("assistant", 830)]) == [([], 3, 910), (["system", "assistant"], 1, 260), (["system"], 1, 890)]
+    assert heads([("system", 60), ("user", 900), ("assistant", 3000), ("user", 10)]) == [([], 2, 960), (["system"], 1, 3060), (["system"], 1, 70)]
+    assert heads([("system", 600), ("user", 400), ("assistant", 400)]) == [([], 2, 1000), (["system"], 1, 1000)]
+    assert heads([("user", 900), ("assistant", 100), ("user", 120), ("assistant", 950)]) == [([], 2, 1000), (["assistant"], 1, 220), ([], 1, 950)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<|>\\n im_end\n", max_size=30))
 def test_escaping_is_reversible(t):

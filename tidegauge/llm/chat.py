@@ -3,8 +3,10 @@
 The turns of a conversation are laid into windows of at most ``budget`` tokens: prefix sums of
 the turns' token counts decide where a window ends, always between turns (a turn beyond the
 budget is a window of its own and stays whole). Each later window repeats the system turn the
-conversation begins with and a limited history; whatever is repeated is outside the loss
-mask, so each assistant text is a target exactly once.
+conversation begins with, whatever its length, and a limited history, of which the oldest turns
+go where the next turn needs the room. A window is over budget only if its one turn and the system turn
+don't fit together. Whatever is repeated is outside the loss mask, so each assistant text is a
+target exactly once.
 
 A window's text is ``<|im_start|>role\\ncontent<|im_end|>\\n`` for each turn. Inside roles and
 contents a backslash doubles and ``<|`` becomes ``<\\|`` (in roles a newline becomes ``\\n``
@@ -74,7 +76,7 @@ class Windows:
         if self.number == 0 and self.own[0][0] == "system":
             self.system = self.own[0]
         rest = self.own[1:] if self.number == 0 and self.system else self.own
-        self.head = [self.system] if self.system and self.system[2] <= self.budget // 2 else []
+        self.head = [self.system] if self.system else []
         room, kept = self.budget * self.share, []
         for turn in reversed(rest[-self.history :] if self.history else []):
             room -= turn[2]
@@ -92,8 +94,8 @@ class Windows:
             self.begin(conv)
         if self.own and self.sum + tokens > self.budget:
             yield self.close()
-        if not self.own and self.sum + tokens > self.budget:
-            self.head, self.sum = [], 0  # the repeated turns leave no room for this one
+        while not self.own and self.sum + tokens > self.budget and len(self.head) > (self.system is not None):
+            self.sum -= self.head.pop(1 if self.system else 0)[2]  # the history leaves no room for this turn
         self.own.append((role, text, tokens))
         self.sum += tokens
 
