@@ -14,6 +14,9 @@ from tidegauge.llm.queries import table, tokenizer_path
 from tidegauge.llm.scratch import written
 from tidegauge.session import reachable
 
+#: The near-duplicate stage's shingles and similarity (op4's own query has 4 and 85).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold go."""
@@ -27,9 +30,9 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays."""
+    """Of each class of near duplicates the document with the least id stays: shingles of five words, a similarity of 0.8 or more."""
     reachable(spark)
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, n_words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

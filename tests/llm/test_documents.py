@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidegauge.llm import components as C
 from tidegauge.llm import decontaminate as D
 from tidegauge.llm import exact_dedup as E
@@ -149,6 +150,28 @@ def test_families_beyond_a_block_lose_no_link(spark, block):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("block", [4_000_000, 900])
+def test_ngram_join_with_other_shingles_and_similarity(spark, block):
+    rows = near_copies()
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    parent = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and parent[a] != parent[b]:
+                x, y = sorted((parent[a], parent[b]))
+                parent = {i: x if c == y else c for i, c in parent.items()}
+    got = {i: (r.n_shingles, r.component_id) for i, r in by_id(J.linked(table(spark, rows), block_tokens=block, n_words=5, percent=80)).items()}
+    assert got == {i: (len(s), parent[i]) for i, s in sets.items()}
+
+
+def test_near_duplicate_stage_takes_five_words_and_80_percent(spark):
+    base = [f"b{k}" for k in range(100)]
+    copy = lambda n: " ".join([f"n{k}" if 40 <= k < 40 + n else w for k, w in enumerate(base)])
+    rows = [(1, " ".join(base)), (2, copy(6)), (3, copy(9).replace("b", "c")), (4, copy(20).replace("b", "c"))]
+    # 1 and 2: 86 of 106 shingles are shared, 0.81; of four words 88 of 106, 0.83; 3 and 4: less
+    assert {r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, table(spark, rows), "").collect()} == {1, 3, 4}
+
+
 def test_trie_equals_brute_force():
     for seed in range(150):
         rnd = random.Random(seed)

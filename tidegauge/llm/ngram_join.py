@@ -1,6 +1,6 @@
 """N-gram Jaccard join through prefix trees, giving each document its class.
 
-1. A document is the set of its distinct ``N``-word shingles as 48-bit hashes. Documents with
+1. A document is the set of its distinct shingles of ``n_words`` words as 48-bit hashes. Documents with
    equal sets are one from here on.
 2. Shingles are counted over the whole corpus in hash buckets, where they arrive as packed,
    compressed columns. A shingle that only one set has can't be in any overlap, so what
@@ -8,7 +8,7 @@
    A shingle that is frequent within one stretch of rows is known to be repeated: only a marker
    travels to its bucket, and it comes last in the global order for everyone.
 3. The global order of shingles is by count (hot ones last), then hash. Two sets that link share a shingle in
-   the first ``n - ceil(0.85 n) + 1`` of that order (their prefixes); a set whose prefix is all
+   the first ``n - ceil(percent n / 100) + 1`` of that order (their prefixes); a set whose prefix is all
    unique shingles links with nothing and is out. Sets that share prefix shingles,
    directly or in a chain, form a family, so no link leaves a family.
 4. Each family's sets are stored in a path-compressed trie, most frequent shingle first. One set
@@ -20,7 +20,7 @@
    whose sets are in several classes) are joined shingle by shingle, in pairs of blocks.
 
 Defined results: null and empty texts have no shingles and link with nothing; texts of fewer
-than ``N`` words are one shingle, the whole sequence; rows that repeat an id are one document to
+than ``n_words`` words are one shingle, the whole sequence; rows that repeat an id are one document to
 the links, which have the texts of all its rows; rows without an id are left out; an empty table
 gives an empty table; extra columns are ignored.
 """
@@ -40,8 +40,8 @@ from .components import components
 from .scratch import input_bytes, written
 from .textbatch import LOWER, gram_hashes, mix, slices, word_hashes, words
 
+#: Defaults, those of op4: words of a shingle, and sets link when PART * overlap >= OF * union.
 N = 4
-#: Sets link when PART * overlap >= OF * union.
 PART, OF = 100, 85
 TOKEN = np.uint64((1 << 48) - 1)
 BUCKET_BYTES, STRETCH, STRETCH_ROWS = 2 << 20, 4 << 20, 30_000
@@ -70,14 +70,14 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarr
     return (key >> np.uint64(48)).astype(np.int64), (key & TOKEN).astype(np.int64)
 
 
-def stretches(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+def stretches(b: pa.RecordBatch, n_words: int = N) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
     """(ids, row, token, sizes, set digests) of stretches of a batch (id, text)."""
     b = b.filter(b.column(0).is_valid())
     ids = b.column(0).cast(pa.int64()).to_numpy()
     for at in range(0, b.num_rows, STRETCH_ROWS):
         part = b.slice(at, STRETCH_ROWS)
         for first, last, buf, off in slices(part.column(1), STRETCH):
-            row, token = shingle_sets(buf, off)
+            row, token = shingle_sets(buf, off, n_words)
             cut = np.searchsorted(row, np.arange(last - first + 1))
             raw = token.tobytes()
             digests = [xxhash.xxh3_128_digest(raw[8 * s : 8 * e]) for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
@@ -111,18 +111,18 @@ def edges_of(sorted_keys: np.ndarray) -> list[int]:
     return [0, *(np.flatnonzero(np.diff(sorted_keys)) + 1).tolist(), len(sorted_keys)] if len(sorted_keys) else [0]
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, n_words: int = N) -> DataFrame:
     """(doc_id, n, digest) of each row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, _, _, n, digests in stretches(b):
+            for ids, _, _, n, digests in stretches(b, n_words):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n", "digest"])
 
     return docs.mapInArrow(run, "doc_id long, n long, digest binary")
 
 
-def postings(docs: DataFrame, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, buckets: int, n_words: int = N) -> DataFrame:
     """Packed (token, document) columns by token bucket; of equal sets in a stretch the least id's.
 
     Kinds of rows: 0 postings to be counted; 1 markers, the hot tokens of a stretch; 2 a stretch's
@@ -131,7 +131,7 @@ def postings(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, row, token, _, digests in stretches(b):
+            for ids, row, token, _, digests in stretches(b, n_words):
                 first: dict[bytes, int] = {}
                 for r in np.argsort(ids, kind="stable").tolist():
                     first.setdefault(digests[r], r)
@@ -198,12 +198,12 @@ def repeated(posted: DataFrame, homes: int) -> DataFrame:
     return posted.groupBy("bucket").applyInArrow(run, "home long, docs binary, tokens binary, counts binary")
 
 
-def candidates(pieces: DataFrame, sets: DataFrame, homes: int) -> DataFrame:
+def candidates(pieces: DataFrame, sets: DataFrame, homes: int, percent: int = OF) -> DataFrame:
     """(doc, n, tokens, prefix): the sets that may link, with repeated tokens in the global order.
 
     ``sets`` has (doc, n) of one document for each distinct set.
     """
-    need = lambda n: -(-OF * n // PART)
+    need = lambda n: -(-percent * n // PART)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
@@ -227,10 +227,10 @@ def candidates(pieces: DataFrame, sets: DataFrame, homes: int) -> DataFrame:
 class Trie:
     """A path-compressed trie of ascending token lists, with the bounds that walks prune by."""
 
-    def __init__(self, lists: list[np.ndarray], sizes: np.ndarray):
+    def __init__(self, lists: list[np.ndarray], sizes: np.ndarray, percent: int = OF):
         keys = [x.astype(">u4").tobytes() for x in lists]
         self.order = sorted(range(len(lists)), key=keys.__getitem__)
-        self.lists, self.sizes = lists, sizes
+        self.lists, self.sizes, self.percent = lists, sizes, percent
         self.parent = list(range(len(lists)))
         self.place = {d: k for k, d in enumerate(self.order)}
         common = [0] * len(lists)
@@ -326,6 +326,7 @@ class Trie:
 
     def walk(self, q: int, own: np.ndarray, n: int, mask: np.ndarray) -> None:
         """Unites ``q`` with every linked set that comes after it in the trie's order."""
+        percent = self.percent
         at, stack = self.place[q], [(r, 0, False) for r in reversed(self.roots)]
         while stack:
             k, overlap, done = stack.pop()
@@ -334,7 +335,7 @@ class Trie:
                 self.settled(node)
                 continue
             tokens, depth, children, doc, _, last, least, largest, longest, _ = node
-            if last <= at or PART * largest < OF * n or PART * n < OF * least:
+            if last <= at or PART * largest < percent * n or PART * n < percent * least:
                 continue
             if self.settled(node) == self.find(q):
                 continue
@@ -342,16 +343,16 @@ class Trie:
             if len(tokens):
                 overlap += int(np.count_nonzero(mask[tokens]))
                 rest -= int(np.searchsorted(own, tokens[-1], side="right"))
-            if (PART + OF) * (overlap + min(rest, max(longest, depth) - depth)) < OF * (n + least):
+            if (PART + percent) * (overlap + min(rest, max(longest, depth) - depth)) < percent * (n + least):
                 continue
-            if doc >= 0 and self.place[doc] > at and (PART + OF) * overlap >= OF * (n + int(self.sizes[doc])):
+            if doc >= 0 and self.place[doc] > at and (PART + percent) * overlap >= percent * (n + int(self.sizes[doc])):
                 self.unite(q, doc)
             if children:
                 stack.append((k, 0, True))
                 stack += [(c, overlap, False) for c in reversed(children)]
 
 
-def classes(docs: list[int], n: np.ndarray, tokens: list[np.ndarray], known: list[int] | None = None) -> list[int]:
+def classes(docs: list[int], n: np.ndarray, tokens: list[np.ndarray], known: list[int] | None = None, percent: int = OF) -> list[int]:
     """For each of some sets the document of least id in its class, by a trie of them all."""
     order = sorted(range(len(docs)), key=docs.__getitem__)
     each, count = np.unique(np.concatenate(tokens), return_counts=True)
@@ -363,17 +364,17 @@ def classes(docs: list[int], n: np.ndarray, tokens: list[np.ndarray], known: lis
         first: dict[int, int] = {}
         held = [first.setdefault(known[k], i) for i, k in enumerate(order)]
     out = [0] * len(docs)
-    for i, c in enumerate(Trie(lists, n[order]).join(held)):
+    for i, c in enumerate(Trie(lists, n[order], percent).join(held)):
         out[order[i]] = docs[order[c]]
     return out
 
 
-def _joined(rows: DataFrame, *keys: str) -> DataFrame:
+def _joined(rows: DataFrame, *keys: str, percent: int = OF) -> DataFrame:
     """(doc, label, class): trie joins of groups of (doc, n, tokens, label)."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         docs, label = t.column("doc").to_pylist(), t.column("label").to_pylist()
-        got = classes(docs, t.column("n").to_numpy(), [np.frombuffer(x, np.int64) for x in t.column("tokens").to_pylist()], label)
+        got = classes(docs, t.column("n").to_numpy(), [np.frombuffer(x, np.int64) for x in t.column("tokens").to_pylist()], label, percent)
         return pa.table({"doc": pa.array(docs, pa.int64()), "label": pa.array(label, pa.int64()), "class": pa.array(got, pa.int64())})
 
     return rows.groupBy(*keys).applyInArrow(run, "doc long, label long, class long")
@@ -393,7 +394,7 @@ def prefixes(cands: DataFrame) -> DataFrame:
     return cands.select("doc", "tokens", "prefix").mapInArrow(run, "token long, doc long")
 
 
-def _split_family_links(members: DataFrame, heads: DataFrame, block_tokens: int) -> DataFrame:
+def _split_family_links(members: DataFrame, heads: DataFrame, block_tokens: int, percent: int = OF) -> DataFrame:
     """Links between the block classes of families that fill more than one block (see step 5)."""
     spark = members.sparkSession
     found = None
@@ -404,7 +405,7 @@ def _split_family_links(members: DataFrame, heads: DataFrame, block_tokens: int)
         now = members.drop("label").join(labels.where("doc = label"), "doc")
         weight = now.groupBy("family").agg(F.ceil(F.sum(F.length("tokens") / 8) / block_tokens).alias("blocks"))
         now = now.drop("blocks", "block").join(weight, "family").withColumn("block", F.pmod(F.xxhash64("doc", F.lit(n)), F.col("blocks")))
-        merged = written(_joined(now, "family", "block").where("label <> class").select(F.col("label").alias("a"), F.col("class").alias("b")), "merged")
+        merged = written(_joined(now, "family", "block", percent=percent).where("label <> class").select(F.col("label").alias("a"), F.col("class").alias("b")), "merged")
         found = add(merged)
         comp = components(found)
         labels = written(
@@ -420,31 +421,31 @@ def _split_family_links(members: DataFrame, heads: DataFrame, block_tokens: int)
     # each block meets each other one: the pair (i, j) gets the rows of i and of j
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = rest.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "n", "tokens", "label")
-    last = _joined(rest, "token", "i", "j").where("label <> class").select(F.col("label").alias("a"), F.col("class").alias("b"))
+    last = _joined(rest, "token", "i", "j", percent=percent).where("label <> class").select(F.col("label").alias("a"), F.col("class").alias("b"))
     return spark.createDataFrame([], "a long, b long").union(found).union(last.distinct())
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row for each document row with an id: doc_id, n_shingles, component_id."""
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, n_words: int = N, percent: int = OF) -> DataFrame:
+    """One row for each document row with an id: doc_id, n_shingles, component_id; shingles have ``n_words`` words, sets link from ``percent`` on."""
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if not own.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        return _classes(own, block_tokens)
+        return _classes(own, block_tokens, n_words, percent)
     # ids repeat: each (id, text) gets a key of its own, and an id links what its texts link
     rows = own.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
-    got = _classes(rows.select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"]), block_tokens)
+    got = _classes(rows.select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"]), block_tokens, n_words, percent)
     got = written(rows.select("doc_id", "key").join(got.select(F.col("doc_id").alias("key"), "n_shingles", "component_id"), "key"), "keyed")
     least = got.groupBy("component_id").agg(F.min("doc_id").alias("least"))
     links = components(got.join(least, "component_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
     return got.join(links, F.col("doc_id") == F.col("node")).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
-def _classes(own: DataFrame, block_tokens: int) -> DataFrame:
+def _classes(own: DataFrame, block_tokens: int, n_words: int = N, percent: int = OF) -> DataFrame:
     """The same for (doc_id, text) with ids that don't repeat."""
     buckets = max(16, input_bytes(own) // BUCKET_BYTES) | 1
-    sized = written(sizes(own), "sizes")
+    sized = written(sizes(own, n_words), "sizes")
     sets = sized.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"))
     unique = written(sets, "sets")
-    cands = written(candidates(repeated(postings(own, buckets), buckets), unique, buckets), "candidates")
+    cands = written(candidates(repeated(postings(own, buckets, n_words), buckets), unique, buckets, percent), "candidates")
     heads = written(prefixes(cands), "heads")
     leader = heads.groupBy("token").agg(F.min("doc").alias("leader"), F.count("*").alias("members")).where("members > 1")
     family = components(heads.join(leader, "token").where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct())
@@ -453,17 +454,17 @@ def _classes(own: DataFrame, block_tokens: int) -> DataFrame:
     weight = members.groupBy("family").agg(F.ceil(F.sum(F.length("tokens") / 8) / block_tokens).alias("blocks"))
     members = members.join(weight, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("label", F.col("doc"))
     members = written(members.select("doc", "n", "tokens", "family", "blocks", "block", "label"), "members")
-    first = written(_joined(members, "family", "block").select("doc", "class"), "classes")
+    first = written(_joined(members, "family", "block", percent=percent).select("doc", "class"), "classes")
     large = members.where("blocks > 1")
     if large.limit(1).count():
         large = large.drop("label").join(first.withColumnRenamed("class", "label"), "doc")
-        more = components(_split_family_links(written(large, "large"), heads, block_tokens))
+        more = components(_split_family_links(written(large, "large"), heads, block_tokens, percent))
         first = first.join(more, F.col("class") == F.col("node"), "left").select("doc", F.coalesce("component", "class").alias("class"))
     out = sized.join(unique.select("digest", "doc"), "digest", "left").join(first, "doc", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N, percent: int = OF) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its class; rows without an id stay too."""
-    gone = linked(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = linked(docs, id_col, text_col, n_words=n_words, percent=percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["_gone"], "left_anti")
