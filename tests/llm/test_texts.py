@@ -121,6 +121,20 @@ def test_pii(spark):
     assert pii.find_spans(df.where("doc_id < 0")).count() == 0
 
 
+def test_wide_patterns_take_whole_spans():
+    def wide(t):
+        return [(k, t[s:e]) for k, s, e in pii.wide_spans(t, pii.base_spans(t))]
+
+    jwt = "eyJ" + "a1B2" * 150 + "." + "c3D4" * 100
+    assert wide(f"token: {jwt} end") == [("secret", jwt)]
+    assert wide("call 555-867-5309 or 030-1234-5678.") == [("phone", "555-867-5309"), ("phone", "030-1234-5678")]
+    assert wide("(030) 1234 5678 90") == [("phone", "(030) 1234 5678 90")] and wide("030/1234 5678") == [("phone", "030/1234 5678")]
+    long = "x" * 100 + "(at)a(dot)b(dot)c.d.e.f.example.com"
+    assert wide(f"to {long} now") == [("email", long)]
+    for t in ("x" * 200_000 + "(at", "a(at)b" + " (dot) b" * 50_000, "token=" * 40_000, "555-" * 50_000):
+        pii.wide_spans(t, pii.base_spans(t))
+
+
 def test_expectation_maximisation_learns_reliabilities():
     good, bad = (2, 2, 2, 2, 1, 1), (1, 0, 0, 1, 0, 0)
     codes = np.array([pii.encode("card", good, (1, 2)), pii.encode("card", bad, (1, 2)), pii.encode("phone", (1, 1, 2, 2, 1, 1), (1, 1))])

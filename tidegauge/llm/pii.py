@@ -36,11 +36,11 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WIDE = (
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{1,63}){1,4}"), "(["),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++"), "(["),
     ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"), ":"),
-    ("phone", re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|0[0-9]{1,4}|[0-9]{3})[ .-/]{1,2}[0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z-])"), ""),
+    ("phone", re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|0[0-9]{1,4}|[0-9]{3})[ ./-]{1,2}[0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z-])"), ""),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"), ""),
-    ("secret", re.compile(r"(?<![A-Za-z])(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{8,200})", re.I), "=:"),
+    ("secret", re.compile(r"(?<![A-Za-z])(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{8,}+)", re.I), "=:"),
 )
 #: Fixed values of the gazetteer labelers.
 TOP_DOMAINS = frozenset("com net org edu gov io info biz de fr es it uk us eu ch at be nl pl pt ru jp cn in br ca au mx co me dev app".split())
