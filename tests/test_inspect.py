@@ -1,5 +1,7 @@
 """Bins, boxes, rolling windows, sampling, metrics and training."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import metrics as M
 from tidegauge.operators import bins, box, ml, rolling, sample
+from tidegauge.plans.catalogue import QUERIES
 from tidegauge.plans.schema import duration
 
 
@@ -84,6 +87,24 @@ def test_metric_boxes(spark):
     assert [r.med for r in mine] == pytest.approx([r.med for r in out])
 
 
+def test_metric_boxes_with_default_folds_over_all_rows(spark, tmp_path):
+    rows = [(i, (i * i) % 9001, i % 2, (i // 3) % 2) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long, quality int, toxic int").select("doc_id", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.bin: r for r in QUERIES["q_metbox_default"](spark, str(tmp_path)).collect()}
+    edges = np.linspace(min(r[1] for r in rows), max(r[1] for r in rows), 11)
+    where = [min(int((edges <= r[1]).sum()), 10) - 1 for r in rows]
+    assert sum(r.n for r in got.values()) == 300 and len(got) == 10
+    for b in range(10):
+        own = [r for r, w in zip(rows, where, strict=True) if w == b]
+        scores = []
+        for fold in range(100):
+            drawn = sorted(own, key=lambda r: (hashlib.md5(f"{r[0]}:{fold}".encode()).hexdigest(), str(r[0])))[: round(len(own) / 2)]
+            scores.append(np.mean([r[2] == r[3] for r in drawn]))
+        assert got[b].n == len(own)
+        assert [got[b].mean, got[b].q1, got[b].med, got[b].q3] == pytest.approx([np.mean(scores), *np.quantile(scores, [0.25, 0.5, 0.75])], abs=2e-6)
+
+
 def frames(spark, kwargs, n=7):
     df = spark.createDataFrame([(i, float(i), 0.0) for i in range(n)], "i int, t double, p double").repartition(3)
     on = "i"

@@ -316,6 +316,11 @@ def _(spark, d):
     return boxed(box.boxplot_metvx(labelled(spark, d), ["n_chars"], ["quality"], ["toxic"], ["doc_id"], kfolds=10, bins=8, xrange=[30000, 400000]), 6, 1)
 
 
+@query("q_metbox_default")
+def _(spark, d):
+    return boxed(box.boxplot_metvx(labelled(spark, d), ["n_chars"], ["quality"], ["toxic"], ["doc_id"]), 6, 1)
+
+
 PRED_SQL = "p AS (SELECT ts, value AS y_true, lag(value) OVER (ORDER BY ts) AS y_pred FROM events), q AS (SELECT * FROM p WHERE y_pred IS NOT NULL)"
 
 
