@@ -6,9 +6,11 @@ logistic loss, and are flattened into arrays of equal shape, so that scoring wal
 through all trees at once.
 
 Defined results: null and empty texts have statistics of zeros and a score like any other
-text; without labels of both kinds the score is the labels' mean (1.0 without labels). Rows are
-scored where they are, nothing is shuffled; repeated rows score alike; an empty table gives
-an empty table; extra columns are ignored.
+text; without labels of both kinds every score is the labels' mean, kept a millionth away from 0
+and 1 (0.999999 without labels). Rows are scored where they are, and only the training sample is
+shuffled; repeated rows score alike, and an id of several texts is learnt from once; an empty
+table gives an empty table; extra columns are ignored, whatever their names; texts of any length
+are worked off in bounded slices, a longer one alone.
 """
 
 from __future__ import annotations
