@@ -9,8 +9,11 @@ partition (the memory of finished chunks holds ``CACHE_WORDS`` and one slice's,
 
 Semantics: ids equal those of the ``tokenizers`` library for the same file with
 ``add_special_tokens=False`` and no truncation or padding; an added token's string inside a
-text becomes that token's id, as there. Null and empty texts have no ids. Any text length,
-repeated rows and extra columns are fine; rows keep their partition, nothing is shuffled.
+text becomes that token's id, as there. Files that ask for anything else than byte-level BPE in its
+published form (a normalizer, another pre-tokenizer, dropout, added tokens that strip or stand
+alone) are refused. Null and empty texts have no ids. Any text length, repeated rows and extra
+columns are fine; rows keep their partition, nothing is shuffled. The vocabulary file is read by
+the driver, at most ``MOST_BYTES`` of it, and shipped to the executors.
 """
 
 from __future__ import annotations
@@ -18,15 +21,16 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: The published GPT-2 pre-tokenizer pattern of byte-level tokenizers.
@@ -34,6 +38,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The characters with Unicode's White_Space property, as a class of ``re``.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CACHE_WORDS = 400_000
+#: A vocabulary file may have so many bytes, for it is shipped to every executor.
+MOST_BYTES = 64 << 20
 #: Characters that are encoded together; a longer text is encoded alone.
 SLICE_CHARS = 5 << 20
 
@@ -156,12 +162,23 @@ class PairIndex:
         return symbol[symbol >= 0], alive[starts + sizes] - alive[starts]
 
 
+def unsupported(spec: dict) -> list[str]:
+    """What a vocabulary file asks for and this codec doesn't do."""
+    model, split = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    wrong = [f"model.{k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += ["model.type"] * (model.get("type", "BPE") != "BPE") + ["normalizer"] * bool(spec.get("normalizer"))
+    wrong += ["pre_tokenizer"] * (split.get("type") != "ByteLevel" or bool(split.get("add_prefix_space", True)) or not split.get("use_regex", True))
+    wrong += [f"added_tokens.{k}" for k in ("single_word", "lstrip", "rstrip") if any(t.get(k) for t in spec.get("added_tokens") or [])]
+    return wrong
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary file of the ``tokenizers`` library."""
+    """Encoder and decoder of one vocabulary file (its content) of the ``tokenizers`` library."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, content: bytes):
+        spec = json.loads(content)
+        if wrong := unsupported(spec):
+            raise ValueError(f"not plain byte-level BPE: {', '.join(wrong)}")
         vocab = spec["model"]["vocab"]
         char_of = byte_alphabet()
         byte_of = {c: b for b, c in char_of.items()}
@@ -273,10 +290,47 @@ class Codec:
         return out
 
 
+def content_of(path: str) -> bytes:
+    if os.path.getsize(path) > MOST_BYTES:
+        raise ValueError(f"{path} has more than {MOST_BYTES} bytes")
+    with open(path, "rb") as f:
+        return f.read()
+
+
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def _kept(digest: bytes, get: Callable[[], bytes]) -> Codec:
+    return Codec(get())
+
+
+class Shipped:
+    """A vocabulary file on its way to the executors: a broadcast of its bytes, and their digest."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        content = content_of(path)
+        self.digest, self.bytes = hashlib.sha256(content).digest(), spark.sparkContext.broadcast(content)
+
+    def __hash__(self) -> int:
+        return hash(self.digest)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Shipped) and self.digest == other.digest
+
+    def __call__(self) -> bytes:
+        return self.bytes.value
+
+
+def ship(spark: SparkSession, path: str) -> Shipped:
+    return Shipped(spark, path)
+
+
+def codec_of(shipped: Shipped) -> Codec:
     """One codec for each worker process and file."""
-    return Codec(path)
+    return _kept(shipped.digest, shipped)
+
+
+def codec(path: str) -> Codec:
+    """The codec of a file on this machine."""
+    return Codec(content_of(path))
 
 
 def text_slices(column: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, list[str]]]:
@@ -297,8 +351,10 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     kept = [c for c in docs.columns if c != ids_col]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
 
+    shipped = ship(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec_of(shipped)
         for b in batches:
             for at, texts in text_slices(b.column(kept.index(text_col))):
                 ids = pa.array(own.encode(texts), type=pa.list_(pa.int32()))
@@ -312,8 +368,10 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
     kept = [c for c in docs.columns if c != text_col]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(text_col, T.StringType(), False)])
 
+    shipped = ship(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec_of(shipped)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -330,8 +388,10 @@ def roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
     schema = f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
+    shipped = ship(docs.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec_of(shipped)
         for b in batches:
             for at, texts in text_slices(b.column(1)):
                 n, ids, decoded = zip(*own.digests(texts), strict=True)

@@ -10,7 +10,10 @@ target exactly once.
 
 A window's text is ``<|im_start|>role\\ncontent<|im_end|>\\n`` for each turn. Inside roles and
 contents a backslash doubles and ``<|`` becomes ``<\\|`` (in roles a newline becomes ``\\n``
-too), so no text can imitate a control string and ``unescape`` gives back what was there.
+too), so no text can imitate a control string and ``unescape`` gives back what was there. What is
+counted is the turn as it stands in the window, escaped and framed. A turn ends with a newline and
+the next one begins with ``<``, where every byte-level pre-tokenizer cuts, so a window's tokens are
+exactly the sum of its turns'.
 
 Defined results: null roles and texts are empty; turns are ordered by (turn, role, text), nulls
 first; repeated rows are turns of their own; rows of the null conversation form one
@@ -29,13 +32,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import codec
+from .bpe import codec_of, ship, text_slices
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY_TURNS, HISTORY_SHARE = 1024, 2, 0.25
-#: Tokens of a turn's frame.
-FRAME = 6
-WINDOW = "conv_id long, window int, first_turn long, n_repeated int, n_turns int, n_tokens long, text string, loss array<struct<start:int,end:int>>"
+WINDOW = "conv_id long, window int, last boolean, first_turn long, n_repeated int, n_turns int, n_tokens long, text string, loss array<struct<start:int,end:int>>"
 
 
 def escape(s: str) -> str:
@@ -51,73 +52,75 @@ def framed(role: str, text: str) -> tuple[str, str, str]:
     return f"{START}{escape(role).replace(chr(10), chr(92) + 'n')}\n", escape(text), f"{END}\n"
 
 
+Turn = tuple[str, str, int, int, int]  # role, framed text, where its content starts and ends, tokens
+
+
 class Windows:
-    """Windows of a stream of turns in order."""
+    """Windows of a stream of turns in order; rows are tuples in the order of ``WINDOW``."""
 
     def __init__(self, budget: int, history: int, share: float):
         self.budget, self.history, self.share = budget, history, share
         self.conv: object = self  # no conversation yet
 
     def begin(self, conv: int | None) -> None:
-        self.conv, self.number, self.first, self.system = conv, 0, 0, None
-        self.head: list[tuple[str, str, int]] = []
-        self.own: list[tuple[str, str, int]] = []
-        self.sum = 0
-
-    def close(self) -> dict:
-        text, spans, at = [], [], 0
-        for k, (role, content, _) in enumerate(self.head + self.own):
-            a, b, c = framed(role, content)
-            if k >= len(self.head) and role == "assistant" and b:
-                spans.append({"start": at + len(a), "end": at + len(a) + len(b)})
-            at += len(a) + len(b) + len(c)
-            text += [a, b, c]
-        row = {"conv_id": self.conv, "window": self.number, "first_turn": self.first, "n_repeated": len(self.head), "n_turns": len(self.own), "n_tokens": self.sum, "text": "".join(text), "loss": spans}
+        self.conv, self.number, self.first, self.sum = conv, 0, 0, 0
+        self.system: Turn | None = None
+        self.head: list[Turn] = []
+        self.own: list[Turn] = []
+
+    def close(self, last: bool) -> tuple:
+        turns, spans, at = self.head + self.own, [], 0
+        for k, (role, framed_text, start, end, _) in enumerate(turns):
+            if role == "assistant" and end > start and k >= len(self.head):
+                spans.append({"start": at + start, "end": at + end})
+            at += len(framed_text)
+        row = (self.conv, self.number, last, self.first, len(self.head), len(self.own), self.sum, "".join([t[1] for t in turns]), spans)
         if self.number == 0 and self.own[0][0] == "system":
             self.system = self.own[0]
         rest = self.own[1:] if self.number == 0 and self.system else self.own
         self.head = [self.system] if self.system else []
         room, kept = self.budget * self.share, []
         for turn in reversed(rest[-self.history :] if self.history else []):
-            room -= turn[2]
+            room -= turn[4]
             if room < 0:
                 break
             kept.insert(0, turn)
         self.head += kept
         self.first += len(self.own)
-        self.number, self.own, self.sum = self.number + 1, [], sum(t[2] for t in self.head)
+        self.number, self.own, self.sum = self.number + 1, [], sum(t[4] for t in self.head)
         return row
 
-    def add(self, conv: int | None, role: str, text: str, tokens: int) -> Iterator[dict]:
+    def add(self, conv: int | None, turn: Turn) -> Iterator[tuple]:
         if self.conv is self or conv != self.conv:
             yield from self.flush()
             self.begin(conv)
-        if self.own and self.sum + tokens > self.budget:
-            yield self.close()
-        while not self.own and self.sum + tokens > self.budget and len(self.head) > (self.system is not None):
-            self.sum -= self.head.pop(1 if self.system else 0)[2]  # the history leaves no room for this turn
-        self.own.append((role, text, tokens))
-        self.sum += tokens
-
-    def flush(self) -> Iterator[dict]:
+        if self.own and self.sum + turn[4] > self.budget:
+            yield self.close(False)
+        while not self.own and self.sum + turn[4] > self.budget and len(self.head) > (self.system is not None):
+            self.sum -= self.head.pop(1 if self.system else 0)[4]  # the history leaves no room for this turn
+        self.own.append(turn)
+        self.sum += turn[4]
+
+    def flush(self) -> Iterator[tuple]:
         if self.conv is not self and self.own:
-            yield self.close()
+            yield self.close(True)
 
 
-def batches_of(rows: Iterator[dict], schema: pa.Schema, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(rows: Iterator[tuple], schema: pa.Schema, text: int | None = None, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about ``most`` bytes; ``text`` is the place of the column that is long."""
     got, size = [], 0
     for r in rows:
         got.append(r)
-        size += len(r.get("text") or "") + 100
+        size += 200 + (len(r[text]) if text is not None else 0)
         if size >= most:
-            yield pa.RecordBatch.from_pylist(got, schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
             got, size = [], 0
     if got:
-        yield pa.RecordBatch.from_pylist(got, schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
 
 
 ARROW_WINDOW = pa.schema([
-    ("conv_id", pa.int64()), ("window", pa.int32()), ("first_turn", pa.int64()), ("n_repeated", pa.int32()), ("n_turns", pa.int32()), ("n_tokens", pa.int64()),
+    ("conv_id", pa.int64()), ("window", pa.int32()), ("last", pa.bool_()), ("first_turn", pa.int64()), ("n_repeated", pa.int32()), ("n_turns", pa.int32()), ("n_tokens", pa.int64()),
     ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
 ])
 ARROW_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_windows", pa.int64())])
@@ -125,20 +128,23 @@ ARROW_DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("tu
 
 def format_windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY_TURNS, share: float = HISTORY_SHARE) -> DataFrame:
     """The windows of all conversations (columns of ``WINDOW``), each conversation's in order in one partition."""
+    shipped = ship(turns.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, windows = codec(tokenizer), Windows(budget, history, share)
+        own, windows = codec_of(shipped), Windows(budget, history, share)
 
-        def rows() -> Iterator[dict]:
+        def rows() -> Iterator[tuple]:
             for b in batches:
-                for at in range(0, b.num_rows, 500):
-                    conv, role, text = (b.column(k).slice(at, 500).to_pylist() for k in range(3))
-                    role, text = [x or "" for x in role], [x or "" for x in text]
-                    for c, r, t, n in zip(conv, role, text, own.counts(text), strict=True):
-                        yield from windows.add(c, r, t, n + FRAME)
+                for at, text in text_slices(b.column(2)):
+                    conv, role = (b.column(k).slice(at, len(text)).to_pylist() for k in range(2))
+                    role = [x or "" for x in role]
+                    parts = [framed(r, t) for r, t in zip(role, text, strict=True)]
+                    whole = ["".join(p) for p in parts]
+                    for c, r, w, p, n in zip(conv, role, whole, parts, own.counts(whole), strict=True):
+                        yield from windows.add(c, (r, w, len(p[0]), len(w) - len(p[2]), n))
             yield from windows.flush()
 
-        yield from batches_of(rows(), ARROW_WINDOW)
+        yield from batches_of(rows(), ARROW_WINDOW, 7)
 
     ordered = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(run, WINDOW)
@@ -154,35 +160,41 @@ def parse(text: str) -> Iterator[tuple[str, str]]:
         at = end + len(END) + 1
 
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """One row for each conversation, from its windows as ``format_windows`` left them.
+def read_back(windows: DataFrame, in_order: bool = False) -> DataFrame:
+    """One row for each conversation, from its windows.
 
-    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows.
+    conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows. Windows are
+    dealt by conversation and sorted, unless ``in_order`` says that they are as ``format_windows``
+    left them; either way a missing, repeated or misplaced window raises ValueError.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[dict]:
-            now: dict | None = None
+        def rows() -> Iterator[tuple]:
+            conv, number, ended = None, -1, True
             for b in batches:
-                for w in b.to_pylist():
-                    if now is None or w["window"] == 0:
-                        if now:
-                            yield now
-                        now = {"conv_id": w["conv_id"], "n_turns": 0, "turns_sha256": hashlib.sha256(), "loss_chars": 0, "loss_sha256": hashlib.sha256(), "formatted_chars": 0, "n_windows": 0}
-                    for k, (role, text) in enumerate(parse(w["text"])):
-                        if k >= w["n_repeated"]:
-                            now["n_turns"] += 1
-                            now["turns_sha256"].update(f"{role}\n{text}\n".encode())
-                    for span in w["loss"]:
-                        target = unescape(w["text"][span["start"] : span["end"]])
-                        now["loss_chars"] += len(target)
-                        now["loss_sha256"].update(target.encode())
-                    now["formatted_chars"] += len(w["text"])
-                    now["n_windows"] += 1
-            if now:
-                yield now
-
-        done = ({k: v.hexdigest() if k.endswith("sha256") else v for k, v in r.items()} for r in rows())
-        yield from batches_of(done, ARROW_DIGEST)
-
-    return windows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+                for c, w, last, repeated, text, loss in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                    if w != (0 if ended else number + 1) or not ended and c != conv:
+                        raise ValueError(f"window {w} of conversation {c} comes after window {number} of conversation {conv}")
+                    if ended:
+                        n_turns, n_loss, n_chars, turns, targets = 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+                    for k, (role, content) in enumerate(parse(text)):
+                        if k >= repeated:
+                            n_turns += 1
+                            turns.update(f"{role}\n{content}\n".encode())
+                    for span in loss:
+                        target = unescape(text[span["start"] : span["end"]])
+                        n_loss += len(target)
+                        targets.update(target.encode())
+                    n_chars += len(text)
+                    conv, number, ended = c, w, last
+                    if last:
+                        yield c, n_turns, turns.hexdigest(), n_loss, targets.hexdigest(), n_chars, w + 1
+            if not ended:
+                raise ValueError(f"windows of conversation {conv} after window {number} are missing")
+
+        yield from batches_of(rows(), ARROW_DIGEST)
+
+    own = windows.select("conv_id", "window", "last", "n_repeated", "text", "loss")
+    if not in_order:
+        own = own.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return own.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
