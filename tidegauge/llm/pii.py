@@ -1,23 +1,25 @@
 """Personal data by weak-supervision aggregation.
 
-Candidate spans are what base patterns (e-mail, IP, card, phone) and wider ones (spelled-out
-e-mails, IPv6, national phone numbers, IBANs, secrets) find. Labelers of three sorts, regular
-expressions with checksums, gazetteers and context words, vote yes, no or nothing on each.
+Candidate spans are what base patterns (e-mail, IP, card, phone) and wider ones find: spelled-out
+e-mails, IPv6, national phone numbers, IBANs, secrets behind a keyword, and, on purpose much too
+wide, any long run of digits and any long token of letters and digits. Labelers of three sorts,
+regular expressions with checksums, gazetteers and context words, vote yes, no or nothing on each.
 The numbers of vote patterns over all documents (a table bounded by the patterns, not by the
 data) go to the driver, where expectation-maximisation estimates each labeler's reliability
 without labels, and a logistic span classifier is trained on the resulting probabilities. It
 decides which wider spans are added; base spans always stay.
 
 Defined results: a null or empty text has no spans; offsets are code points, end exclusive;
-within a kind spans never overlap (base spans go first, then the leftmost); rows repeat as they
-are; an empty table gives an empty table; extra columns are ignored. All searches are linear
-in the text.
+spans never overlap those of a kind, and wider ones none at all (base spans go first, then the
+leftmost of the pattern that comes first); rows repeat as they are; an empty table gives an empty
+table; extra columns are ignored. All searches are linear in the text but for the logarithm of the
+number of spans.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,18 +37,23 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+DIGITS = frozenset("0123456789")
+#: (kind, pattern, characters one of which it needs, whether the pattern alone is a yes).
 WIDE = (
-    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++"), "(["),
-    ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"), ":"),
-    ("phone", re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|0[0-9]{1,4}|[0-9]{3})[ ./-]{1,2}[0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z-])"), ""),
-    ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"), ""),
-    ("secret", re.compile(r"(?<![A-Za-z])(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{8,}+)", re.I), "=:"),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++"), "([", False),
+    ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"), ":", False),
+    ("secret", re.compile(r"(?<![A-Za-z])(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{8,}+)", re.I), "=:", True),
+    ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"), "", True),
+    ("phone", re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|0[0-9]{1,4}|[0-9]{3})[ ./-]{1,2}[0-9]{3,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9A-Za-z-])"), "", False),
+    ("card", re.compile(r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"), "", False),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"), "0123456789", False),
 )
 #: Fixed values of the gazetteer labelers.
 TOP_DOMAINS = frozenset("com net org edu gov io info biz de fr es it uk us eu ch at be nl pl pt ru jp cn in br ca au mx co me dev app".split())
 CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "351", "352", "353", "358", "420")
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "30", "36", "38", "22", "23", "24", "25", "26", "27")
 COUNTRIES = frozenset("AD AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK SM TR".split())
+TOKEN_HEADS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "rk_live_", "xoxb-", "xoxp-", "eyJ", "ya29", "npm_", "pypi-")
 FOR = {
     "email": re.compile(r"mail|contact|kontakt|correo|courriel|write to|e-?post", re.I),
     "ip": re.compile(r"\bip\b|host|server|addr|client|servidor|serveur", re.I),
@@ -103,18 +110,26 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def wide_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
-    """Spans of the wider patterns that touch no base span."""
+def wide_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, bool]]:
+    """(kind, start, end, whether the pattern is a yes) of the wider patterns' spans that touch no other span."""
     taken = sorted(s for spans in base.values() for s in spans)
+    reach, most = [], 0  # base spans of two kinds may overlap: ends as far as any span up to here
+    for _, e in taken:
+        most = max(most, e)
+        reach.append(most)
+    own: list[tuple[int, int]] = []
     out, digits = [], DIGIT.search(text) is not None
-    for kind, pattern, needs in WIDE:
-        if (needs and not any(c in text for c in needs)) or (kind in ("ip", "phone", "iban") and not digits):
+    for kind, pattern, needs, strong in WIDE:
+        if (needs and not any(c in text for c in needs)) or (kind in ("ip", "phone", "iban", "card") and not digits):
             continue
         for m in pattern.finditer(text):
             s, e = m.span(1) if pattern.groups else m.span()
-            if not any(x < e and s < y for x, y in taken):
-                out.append((kind, s, e))
-                taken.append((s, e))
+            if kind == "secret" and not strong and (m[0].isalpha() or m[0].isdigit() or not any(c in DIGITS for c in m[0])):
+                continue
+            k, j = bisect_left(taken, (e, 0)), bisect_left(own, (e, 0))
+            if not (k and reach[k - 1] > s or j and own[j - 1][1] > s):
+                out.append((kind, s, e, strong))
+                insort(own, (s, e))
     return out
 
 
@@ -123,11 +138,12 @@ def iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def votes(text: str, kind: str, s: int, e: int, base: bool) -> tuple[int, ...]:
+def votes(text: str, kind: str, s: int, e: int, strong: bool) -> tuple[int, ...]:
     """The labelers' votes, 0 no, 1 nothing, 2 yes: pattern, checksum, gazetteer, context for, context against, edges."""
     span = text[s:e]
-    digits = "".join(c for c in span if c in "0123456789")
-    check = {"card": lambda: luhn(digits), "iban": lambda: iban_ok(span), "ip": lambda: base or span.count(":") == 7}.get(kind)
+    digits = "".join(c for c in span if c in DIGITS)
+    check = {"card": lambda: luhn(digits), "iban": lambda: iban_ok(span), "ip": lambda: strong or span.count(":") == 7}.get(kind)
+    known = None
     if kind == "email":
         known = re.split(r"[.\])]", span.rstrip(" "))[-1].strip().lower() in TOP_DOMAINS
     elif kind == "phone":
@@ -137,13 +153,12 @@ def votes(text: str, kind: str, s: int, e: int, base: bool) -> tuple[int, ...]:
     elif kind == "iban":
         known = span[:2] in COUNTRIES
     elif kind == "secret":
-        known = True if len(set(span)) >= 8 and digits and any(c.isalpha() for c in span) else False if span.isalpha() else None
-    else:
-        known = None
+        mixed = len(set(span)) >= 8 and digits and any(c.isalpha() for c in span)
+        known = True if span.startswith(TOKEN_HEADS) or strong and mixed else False if span.isalpha() or span.isdigit() else None
     near = text[max(0, s - REACH) : s]
     edge = (s > 0 and text[s - 1].isalnum()) or (e < len(text) and text[e].isalnum())
     return (
-        2 if base or kind in ("iban", "secret") else 1,
+        2 if strong else 1,
         1 if check is None else 2 if check() else 0,
         1 if known is None else 2 if known else 0,
         2 if FOR[kind].search(near) else 1,
@@ -234,8 +249,11 @@ def classifier(codes: np.ndarray, counts: np.ndarray, p: np.ndarray, rounds: int
     return beta
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, spans): spans as structs of kind, start, end, base and probability, by kind and start."""
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("code", pa.int32())]))
+
+
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, spans): all candidate spans as structs of kind, start, end, base and code, by kind and start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -245,27 +263,47 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for x in part.column(1):
                     text = x.as_py() or ""
                     base = base_spans(text)
-                    rows = [(k, s, e, True) for k in BASE for s, e in base[k]] + [(k, s, e, False) for k, s, e in wide_spans(text, base)]
+                    rows = [(k, s, e, True, True) for k in BASE for s, e in base[k]] + [(k, s, e, False, strong) for k, s, e, strong in wide_spans(text, base)]
                     rows.sort(key=lambda r: (KINDS.index(r[0]), r[1]))
-                    found.append([{"kind": k, "start": s, "end": e, "base": own, "code": encode(k, votes(text, k, s, e, own), shape(text, s, e))} for k, s, e, own in rows])
-                kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("code", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found, kind)], names=["doc_id", "spans"])
+                    found.append([{"kind": k, "start": s, "end": e, "base": own, "code": encode(k, votes(text, k, s, e, strong), shape(text, s, e))} for k, s, e, own, strong in rows])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(found, SPANS)], names=["doc_id", "spans"])
 
-    spans = "array<struct<kind:string,start:int,end:int,base:boolean,code:int>>"
-    rows = written(docs.select(id_col, text_col).mapInArrow(run, f"doc_id long, spans {spans}"), "spans")
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int,base:boolean,code:int>>")
+
+
+def probabilities(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, counts, the span classifier's probability of each code), codes ascending; learnt from ``candidates``."""
     seen = rows.select(F.explode("spans.code").alias("code")).groupBy("code").count().collect()  # bounded by the codes
-    codes, counts = np.array(sorted((r["code"], r["count"]) for r in seen)).reshape(-1, 2).T
-    beta = classifier(codes, counts, reliabilities(codes, counts)) if len(codes) else np.zeros(0)
-    score = dict(zip(codes.tolist(), (1 / (1 + np.exp(-design(codes) @ beta))).tolist(), strict=True)) if len(codes) else {}
-    table = F.create_map(*[F.lit(x) for pair in score.items() for x in pair]) if score else F.create_map(F.lit(-1), F.lit(0.0))
-    judged = F.transform("spans", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "base")], F.element_at(table, s["code"]).alias("p")))
-    return rows.select("doc_id", F.filter(judged, lambda s: s["base"] | (s["p"] >= threshold)).alias("spans"))
+    codes, counts = np.array(sorted((r["code"], r["count"]) for r in seen), dtype=np.int64).reshape(-1, 2).T
+    if not len(codes):
+        return codes, counts, np.zeros(0)
+    beta = classifier(codes, counts, reliabilities(codes, counts))
+    return codes, counts, 1 / (1 + np.exp(-design(codes) @ beta))
+
+
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, spans): spans as structs of kind, start, end, base and probability, by kind and start."""
+    rows = written(candidates(docs, id_col, text_col), "spans")
+    codes, _, p = probabilities(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column(1)
+            own = spans.flatten()
+            sizes = np.diff(spans.offsets.to_numpy())
+            score = p[np.searchsorted(codes, own.field("code").to_numpy())] if len(own) else np.zeros(0)
+            keep = own.field("base").to_numpy(zero_copy_only=False) | (score >= threshold)
+            left = np.bincount(np.repeat(np.arange(b.num_rows), sizes)[keep], minlength=b.num_rows)
+            kept = pa.StructArray.from_arrays([*[own.field(c).filter(pa.array(keep)) for c in ("kind", "start", "end", "base")], pa.array(score[keep], pa.float64())], names=["kind", "start", "end", "base", "p"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left))), pa.int32()), kept)], names=["doc_id", "spans"])
+
+    return rows.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int,base:boolean,p:double>>")
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of the spans found."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, the spans found and their number."""
     base = F.filter("spans", lambda s: s["base"])
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(k) for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
