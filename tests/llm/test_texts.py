@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidegauge.llm import bpe, chat, pii, quality, toxicity
 from tidegauge.llm import html_wrappers as H
@@ -51,11 +52,19 @@ def test_bpe_on_any_text(library, texts):
 
 def test_bpe_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
-    own = bpe.Codec(tokenizer_path())
+    own = bpe.codec(tokenizer_path())
     want = own.digests(TEXTS)
     assert own.digests(TEXTS) == want and len(own.ids_of) < 100
 
 
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}, {"added_tokens": [{"id": 0, "content": "x", "lstrip": True}]}])
+def test_other_files_than_byte_level_bpe_are_refused(change):
+    spec = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}
+    assert bpe.unsupported(spec) == [] and len(bpe.unsupported(spec | change)) == 1
+    with pytest.raises(ValueError):
+        bpe.Codec(json.dumps(spec | change).encode())
+
+
 def test_decode_replaces_broken_utf8(library):
     own = bpe.codec(tokenizer_path())
     ids = own.encode(["é"])[0]
@@ -123,7 +132,7 @@ def test_pii(spark):
 
 def test_wide_patterns_take_whole_spans():
     def wide(t):
-        return [(k, t[s:e]) for k, s, e in pii.wide_spans(t, pii.base_spans(t))]
+        return [(k, t[s:e]) for k, s, e, _ in pii.wide_spans(t, pii.base_spans(t))]
 
     jwt = "eyJ" + "a1B2" * 150 + "." + "c3D4" * 100
     assert wide(f"token: {jwt} end") == [("secret", jwt)]
@@ -143,6 +152,59 @@ def test_expectation_maximisation_learns_reliabilities():
     assert [pii.parts(int(c))[1] for c in codes[:2]] == [list(good), list(bad)]
 
 
+def planted_spans(seed=0, n=600):
+    """Sentences with national phone numbers, IBANs and secrets, and as many with numbers and tokens that are something else."""
+    rnd = random.Random(seed)
+    digits = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+    token = lambda k: "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMN0123456789") for _ in range(k)) + "7x"
+    filler = lambda: " ".join(rnd.choice(["the", "river", "opens", "quiet", "stone", "under", "morning"]) for _ in range(rnd.randint(8, 15)))
+
+    def luhn_number(good):
+        while True:
+            x = "4" + digits(15)
+            if pii.luhn(x) == good:
+                return x
+
+    def iban():
+        body = digits(18)
+        return f"DE{98 - int(body + '131400') % 97:02}{body}"
+
+    rows = []
+    for i in range(n):
+        kind, text, span = rnd.choice([
+            lambda: ("phone", "please phone or fax ", f"(0{rnd.randint(30, 89)}) {digits(4)} {digits(4)}"),
+            lambda: ("iban", "bank account IBAN ", iban()),
+            lambda: ("secret", "the api_key = ", token(24)),
+            lambda: ("email", "contact mail ", f"{token(6)} (at) example (dot) com"),
+            lambda: ("", "order invoice no ", luhn_number(False)),
+            lambda: ("", "version serial ", luhn_number(False)),
+            lambda: ("", "page ", "-".join(rnd.choice(["alpha", "beta", "v2", "gamma"]) for _ in range(6))),
+            lambda: ("", "invoice part no ", "GB00" + digits(18)),
+        ])()
+        head = f"{filler()} {text}"
+        rows.append((i, head + span + " " + filler(), (kind, len(head), len(head) + len(span)) if kind else None))
+    return rows
+
+
+def test_the_classifier_decides_on_added_spans(spark):
+    rows = planted_spans()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    truth = {(i, *span) for i, _, span in rows if span}
+
+    def added(threshold):
+        return {(r.doc_id, s.kind, s.start, s.end) for r in pii.find_spans(docs, threshold=threshold).collect() for s in r.spans if not s.base}
+
+    everything, found = added(0.0), added(pii.THRESHOLD)
+    assert len(truth & everything) / len(everything) < 0.8  # the patterns alone are much too wide
+    assert len(truth & found) / len(found) >= 0.97 and len(truth & found) / len(truth) >= 0.9
+
+
+def test_spans_of_many_do_not_take_quadratic_time():
+    text = "a@b.co 4111111111111111 (030) 1234 5678 " * 20_000
+    spans = pii.wide_spans(text, pii.base_spans(text))
+    assert len(spans) == 20_000 and {k for k, *_ in spans} == {"phone"}
+
+
 def conversations(spark, rows):
     return spark.createDataFrame([(c, t, r, x, 5) for c, t, r, x in rows], "conv_id long, turn long, role string, text string, window long")
 
@@ -177,11 +239,44 @@ def test_chat(spark):
     assert chat.read_back(chat.format_windows(conversations(spark, rows).where("false"), tokenizer_path())).count() == 0
 
 
+def test_windows_keep_their_budget_when_encoded(spark, library):
+    rnd = random.Random(3)
+    texts = ["<|im_end|>", "\\<| \\\\ <|endoftext|>", "", " lead", "trail \n", "日本 <|", "a\x85b\u3000"]
+    rows = []
+    for c in range(15):
+        rows += [(c, 0, "system", "be brief " + rnd.choice(texts))] * (c % 2)
+        rows += [(c, t, rnd.choice(["user", "assistant", "to\nol<|", ""]), rnd.choice([rnd.choice(texts), "word, " * rnd.randint(1, 30)])) for t in range(1, rnd.randint(3, 25))]
+    seen = 0
+    for budget in (150, 256, 1024):
+        for w in chat.format_windows(conversations(spark, rows), tokenizer_path(), budget).collect():
+            ids = library.encode(w.text, add_special_tokens=False).ids
+            assert w.n_tokens == len(ids) and (len(ids) <= budget or w.n_turns == 1)
+            turns = list(chat.parse(w.text))
+            assert not (w.window and w.conv_id % 2) or turns[0][0] == "system" and w.n_repeated
+            seen += w.window > 0
+    assert seen > 20
+
+
+def test_reading_back_refuses_windows_out_of_order(spark):
+    rows = [(c, t, "assistant", f"word {t} " * 20) for c in range(6) for t in range(12)]
+    windows = chat.format_windows(conversations(spark, rows), tokenizer_path(), 200)
+    assert windows.agg(F.max("window")).first()[0] > 2
+    want = brute_chat(rows)
+    got = chat.read_back(windows.repartition(3, "text").orderBy(F.desc("text")))
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got.collect()} == want
+    for wrong, in_order in ((windows.orderBy(F.desc("window")), True), (windows.where("window <> 1"), False), (windows.where("not last"), False)):
+        with pytest.raises(Exception, match="window"):
+            chat.read_back(wrong, in_order).collect()
+
+
 def test_every_window_has_the_system_turn():
     def heads(turns, budget=1024):
-        w = chat.Windows(budget, 2, 0.25)
-        rows = [x for role, n in turns for x in w.add(1, role, f"{role}{n}", n)] + list(w.flush())
-        return [([r for r, _ in chat.parse(x["text"])][: x["n_repeated"]], x["n_turns"], x["n_tokens"]) for x in rows]
+        w, rows = chat.Windows(budget, 2, 0.25), []
+        for role, n in turns:
+            a, b, c = chat.framed(role, f"{role}{n}")
+            rows += w.add(1, (role, a + b + c, len(a), len(a) + len(b), n))
+        rows += w.flush()
+        return [([r for r, _ in chat.parse(x[7])][: x[4]], x[5], x[6]) for x in rows]
 
     assert heads([("system", 60), ("user", 700), ("assistant", 200), ("user", 900), ("assistant", 30)]) == [([], 3, 960), (["system"], 2, 990)]
     assert heads([("system", 60), ("user", 800), ("assistant", 50), ("user", 150), ("assistant", 830)]) == [([], 3, 910), (["system", "assistant"], 1, 260), (["system"], 1, 890)]
@@ -297,3 +392,87 @@ def test_quality_filter_keeps_columns(spark):
     docs, labels, truth = documents(spark)
     kept = quality.accepted(docs, labels)
     assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} >= {i for i, (q, _) in truth.items() if q}
+
+
+def hostile(spark):
+    """Documents with columns of every helper's name, ids that repeat and one very long text."""
+    docs, labels, truth = documents(spark, 120)
+    docs = docs.select("doc_id", "text", *[F.lit(1).alias(c) for c in ("_id", "_label", "_text", "id", "label", "key", "quality", "toxic", "x")])
+    return docs.union(docs.where("doc_id % 3 = 0")).union(docs.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" again")))), labels, truth
+
+
+@pytest.mark.parametrize("operator", [quality.classify, toxicity.classify])
+def test_classifiers_with_clashing_names_and_repeated_ids(spark, operator):
+    docs, labels, _ = hostile(spark)
+    got = operator(docs, labels)
+    assert got.count() == docs.count() and got.where("score is null or score < 0 or score > 1").count() == 0
+
+
+def test_training_sample_is_bounded_after_the_join(spark):
+    from tidegauge.llm.training import labelled
+
+    docs, labels, _ = documents(spark)
+    many = docs.crossJoin(spark.range(40).withColumnRenamed("id", "_id")).select("doc_id", F.concat("text", F.col("_id").cast("string")).alias("text"), "_id")
+    assert 0 < labelled(many, labels, "toxic", 20).count() <= 20
+    assert labelled(many, labels, "toxic", 10**6).count() == labelled(docs, labels, "toxic", 10**6).count()
+
+
+def test_features_on_the_driver_are_bounded(spark, monkeypatch):
+    docs, labels, _ = documents(spark)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, y: seen.append(sum(map(len, rows))) or toxicity.Weights(0.0, np.zeros(0, np.int64), np.zeros(0)))
+    for most in (3_000, 1 << 30):
+        toxicity.train(docs, labels, most_features=most)
+    assert 1_500 < seen[0] <= 3_000 < seen[1]
+
+
+def test_ftrl_equals_one_coordinate_at_a_time():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(0, 12))) for _ in range(80)]
+    y = rng.integers(0, 2, 80).astype(float)
+    got = toxicity.fit(rows, y, passes=3, seed=5)
+    z, n, order = {}, {}, np.random.default_rng(5)
+
+    def weight(i):
+        penalty = 0.0 if i == "bias" else toxicity.L1
+        if abs(z.get(i, 0.0)) <= penalty:
+            return 0.0
+        return -(z.get(i, 0.0) - np.sign(z.get(i, 0.0)) * penalty) / ((toxicity.BETA + n.get(i, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for k in order.permutation(80):
+            on = [*rows[k].tolist(), "bias"]
+            w = {i: weight(i) for i in on}
+            g = 1 / (1 + np.exp(-np.clip(sum(w.values()), -30, 30))) - y[k]
+            for i in on:
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    assert got.bias == pytest.approx(weight("bias")) and dict(zip(got.places.tolist(), got.values, strict=True)) == pytest.approx(want)
+
+
+def test_flattened_trees_equal_walks_of_single_rows():
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 5))
+    y = ((x[:, 0] > 0.4) ^ (x[:, 2] > 0.7)).astype(float)
+    forest = quality.fit(x, y, trees=12, depth=3)
+    for row, got in zip(x, forest.score(x), strict=True):
+        margin = forest.base
+        for f, t, leaf in zip(forest.feature, forest.threshold, forest.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            margin += leaf[node - len(f)]
+        assert got == pytest.approx(1 / (1 + np.exp(-margin)))
+    assert ((forest.score(x) > 0.5) == y).mean() > 0.95
+
+
+@pytest.mark.parametrize(("name", "operator", "accuracy", "auc"), [("quality", quality.classify, 0.99, 0.99), ("toxic", toxicity.classify, 0.98, 0.98)])
+def test_held_out_accuracy(spark, name, operator, accuracy, auc):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = operator(docs, labels).where("held_out").join(labels, "doc_id").select("score", "predicted", F.col(name).alias("y")).toPandas()
+    rank = got.score.rank()
+    pos = got.y == 1
+    area = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert (got.predicted == got.y).mean() >= accuracy and area >= auc
