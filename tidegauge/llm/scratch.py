@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -39,6 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan's input; for choosing partition counts only."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, text_col: str) -> int:
+    """The measured bytes of a column of texts, and 16 for each row: what partition counts are chosen by."""
+    return df.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 16)).first()[0] or 0
+
+
+def parts_for(size: int, each: int, least: int = 16, most: int = 1 << 22) -> int:
+    """How many parts of about ``each`` make up ``size``; an odd number, within limits."""
+    return min(most, max(least, size // each)) | 1

@@ -11,6 +11,12 @@ Before anything is shuffled, the windows of one stretch of input rows are settle
 themselves: only copies in the stretch's smallest document travel on. A passage that a third of
 all documents share thus travels once for each stretch, whatever the number of its copies.
 
+A run of words that is frequent in the corpus would draw all windows around its occurrences into one
+bucket. Frequent runs, counted in a sample whose share is set by the measured size, therefore come
+last in the minimiser's order: a window is dealt by a rarer run wherever it has one. The list (at most
+``MOST_HOT`` hashes) is the same for all tasks, so equal windows still meet; it decides where
+windows meet and never what is removed.
+
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` of the whole text; texts of fewer than ``k``
 words have no window and stay whole; repeated windows within one document don't count
 against each other, nor do those of rows that repeat an id; rows without an id have no place in
@@ -26,18 +32,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import input_bytes
+from .scratch import parts_for, text_bytes, written
 from .textbatch import gram_hashes, mix, slices, word_hashes, words
 
 K = 13
 MINIMISER = 4
-#: Bytes of the input table for each bucket, and of text that is settled together.
+#: Bytes of text for each bucket, and of text that is settled together.
 BUCKET_BYTES, STRETCH = 3 << 19, 4 << 20
+#: Frequent runs are looked for in so many bytes of text at least, or in this share of a larger corpus;
+#: a run is frequent if it draws more than this share of a bucket's windows, and counted that often.
+SAMPLE_BYTES, SAMPLE_SHARE, HOT_OF_BUCKET, HOT_COUNT, MOST_HOT = 48 << 20, 256, 8, 16, 1 << 18
+HOT_BITS = 22
 SHUFFLED = "bucket long, id long, mark long, ranges binary, packed binary"
 KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 NAMES = ["bucket", "id", "mark", "ranges", "packed"]
@@ -122,7 +131,51 @@ def spans(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.append(begin[1:], len(new))[: len(begin)] - 1
 
 
-def stretch_rows(ids: np.ndarray, marks: np.ndarray, buf: np.ndarray, off: np.ndarray, k: int, buckets: int) -> Iterator[tuple]:
+class Order:
+    """The minimiser's order of runs of words, by their hashes: frequent ones last."""
+
+    def __init__(self, hot: np.ndarray):
+        self.hot = np.unique(hot.astype(np.uint64))
+        self.maybe = np.zeros(1 << HOT_BITS, dtype=bool)
+        self.maybe[self.hot >> np.uint64(64 - HOT_BITS)] = True
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        place = grams >> np.uint64(1)
+        if len(self.hot):
+            at = np.flatnonzero(self.maybe[grams >> np.uint64(64 - HOT_BITS)])
+            found = np.minimum(np.searchsorted(self.hot, grams[at]), len(self.hot) - 1)
+            place[at[self.hot[found] == grams[at]]] |= np.uint64(1 << 63)
+        return place
+
+
+def frequent_runs(docs: DataFrame, size: int, buckets: int, k: int = K, id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:
+    """Hashes of the runs of ``MINIMISER`` words that would draw too much into one bucket, at most ``MOST_HOT``."""
+    wanted = max(sample_bytes, size // SAMPLE_SHARE)
+    own = docs.select(id_col, text_col)
+    if wanted < size:
+        own = own.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(wanted / size * (1 << 20)) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, buf, off in slices(b.column(1), STRETCH):
+                starts, ends, cut = words(buf, off)
+                grams = gram_hashes(word_hashes(buf, starts, ends), MINIMISER)
+                each, n = np.unique(grams, return_counts=True)
+                several = n > 1
+                hashes, counts = np.append(each[several].astype(np.int64), 0), np.append(n[several], 0)
+                total = np.zeros(len(counts), dtype=np.int64)
+                total[-1] = len(grams)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts.astype(np.int64)), pa.array(total)], names=["run", "n", "total"])
+
+    seen = own.mapInArrow(run, "run long, n long, total long")
+    seen = written(seen.groupBy("run").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "runs")
+    total = seen.agg(F.sum("total")).first()[0] or 0
+    least = max(HOT_COUNT, total // ((k - MINIMISER + 1) * HOT_OF_BUCKET * buckets))
+    hot = seen.where(F.col("n") >= least).orderBy(F.desc("n"), "run").limit(MOST_HOT).select("run").toArrow()
+    return hot.column("run").to_numpy().astype(np.int64).view(np.uint64)
+
+
+def stretch_rows(ids: np.ndarray, marks: np.ndarray, buf: np.ndarray, off: np.ndarray, k: int, buckets: int, order: Order) -> Iterator[tuple]:
     """What one stretch of rows sends: packed super-k-mers, and the ranges settled among its own rows."""
     raw, off = plain(buf, off)
     buf = np.frombuffer(raw, dtype=np.uint8)
@@ -133,7 +186,7 @@ def stretch_rows(ids: np.ndarray, marks: np.ndarray, buf: np.ndarray, off: np.nd
         return
     valid = np.flatnonzero(row[: len(row) - k + 1] == row[k - 1 :])
     grams = gram_hashes(h, MINIMISER)
-    least = sliding_min(grams, k - MINIMISER + 1)[valid]
+    least = sliding_min(order.of(grams), k - MINIMISER + 1)[valid]
     whole = gram_hashes(h, k)[valid]
     doc = ids[row[valid]]
     own = owners(raw, starts, ends, valid, whole, doc, k)
@@ -148,8 +201,8 @@ def stretch_rows(ids: np.ndarray, marks: np.ndarray, buf: np.ndarray, off: np.nd
     sent, key = valid[~gone], least[~gone]
     begin, finish = spans(sent, row[sent], key)
     bucket = (mix(key[begin]) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    begin, finish, bucket = sent[begin[order]], sent[finish[order]], bucket[order]
+    by = np.argsort(bucket, kind="stable")
+    begin, finish, bucket = sent[begin[by]], sent[finish[by]], bucket[by]
     pieces = [raw[s:e] for s, e in zip(starts[begin].tolist(), ends[finish + k - 1].tolist(), strict=True)]
     r = row[begin]
     id_of, mark_of, first = ids[r], marks[r], (begin - cut[r]).astype(np.int32)
@@ -194,43 +247,46 @@ def settle(key: tuple, table: pa.Table, k: int) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in columns], names=["id", "mark", "first", "last"])
 
 
-def mark_of(raw: bytes, unique: bool) -> int:
-    """What tells rows of the same id apart, where ids repeat."""
-    return 0 if unique else xxhash.xxh3_64_intdigest(raw) >> 1
+def marked(docs: DataFrame, unique: bool, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, mark) of the rows with an id; the mark tells rows of one id apart, where ids repeat."""
+    mark = F.lit(0).cast("long") if unique else F.xxhash64(text_col)
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark.alias("mark"))
 
 
-def repeated_ranges(docs: DataFrame, unique: bool, k: int = K, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, found): for each id with something to remove, structs of mark, first word and last word + 1."""
-    buckets = buckets or max(16, input_bytes(docs.select(text_col)) // BUCKET_BYTES)
+def repeated_ranges(docs: DataFrame, k: int = K, buckets: int | None = None, hot: np.ndarray | None = None) -> DataFrame:
+    """(id, mark, found): for each row of (id, text, mark) with something to remove, structs of first word and last word + 1."""
+    if buckets is None:
+        size = text_bytes(docs, "text")
+        buckets = parts_for(size, BUCKET_BYTES)
+        hot = frequent_runs(docs, size, buckets, k, "id")
+    hot = np.zeros(0, np.uint64) if hot is None else hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(hot)
         for b in batches:
-            b = b.filter(b.column(0).is_valid())
-            ids = b.column(0).cast(pa.int64()).to_numpy()
+            ids, marks = (b.column(c).to_numpy() for c in (0, 2))
             for first, last, buf, off in slices(b.column(1), STRETCH):
-                raw = buf.tobytes()
-                marks = np.array([mark_of(raw[s:e], unique) for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], dtype=np.int64)
-                rows = list(stretch_rows(ids[first:last], marks, buf, off, k, buckets))
+                rows = list(stretch_rows(ids[first:last], marks[first:last], buf, off, k, buckets, order))
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, KINDS, strict=True)], names=NAMES)
 
-    sent = docs.select(id_col, text_col).mapInArrow(run, SHUFFLED)
+    sent = docs.mapInArrow(run, SHUFFLED)
     settled = sent.groupBy("bucket").applyInArrow(lambda key, table: settle(key, table, k), "id long, mark long, first long, last long")
-    return settled.groupBy("id").agg(F.collect_list(F.struct("mark", "first", "last")).alias("found"))
+    return settled.groupBy("id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("found"))
 
 
-def without_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row; with ``keep_text`` the kept text too.
 
     The ranges are joined to the texts by a hash join whose build side is the ranges, so the
     texts are shuffled once and neither sorted nor spilled.
     """
     unique = not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
-    found = repeated_ranges(docs, unique, k, None, id_col, text_col)
-    found = found.withColumnRenamed("id", "_id")
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    joined = own.join(found.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "_text", "found")
+    own = marked(docs, unique, id_col, text_col)
+    found = repeated_ranges(own, k, buckets).withColumnsRenamed({"id": "_id", "mark": "_mark"})
+    same = F.col("id") == F.col("_id")
+    joined = own.join(found.hint("shuffle_hash"), same if unique else same & (F.col("mark") == F.col("_mark")), "left").select(F.col("id").alias("doc_id"), "text", "found")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,19 +294,16 @@ def without_repeats(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_co
             ids, known = b.column(0).to_pylist(), b.column(2).is_valid()
             flat_found = b.column(2).flatten()
             at = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False))))
-            marks, firsts, lasts = (flat_found.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            firsts, lasts = (flat_found.field(k).to_numpy(zero_copy_only=False) for k in range(2))
             rows = []
             for first, last, buf, off in slices(b.column(1)):
                 raw = buf.tobytes()
                 for r, s, e in zip(range(first, last), off[:-1].tolist(), off[1:].tolist(), strict=True):
-                    text = raw[s:e]
-                    each = text.split()
+                    each = raw[s:e].split()
                     lost = np.zeros(len(each) + 1, dtype=np.int64)
                     if known[r].as_py():
-                        own = slice(at[r], at[r + 1])
-                        mine = marks[own] == mark_of(text, unique)
-                        np.add.at(lost, firsts[own][mine], 1)
-                        np.add.at(lost, lasts[own][mine], -1)
+                        np.add.at(lost, firsts[at[r] : at[r + 1]], 1)
+                        np.add.at(lost, lasts[at[r] : at[r + 1]], -1)
                     keep = np.cumsum(lost[:-1]) == 0
                     kept = each if keep.all() else [w for w, own in zip(each, keep.tolist(), strict=True) if own]
                     out = b" ".join(kept)

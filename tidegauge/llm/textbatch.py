@@ -77,13 +77,15 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, eight bytes at a step."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes at a step; another seed gives independent ones."""
     lens = ends - starts
     padded = np.zeros(len(buf) + 8, dtype=np.uint8)
     padded[: len(buf)] = buf
     view = np.ndarray(shape=(len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     h = lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    if seed:
+        h = mix(h ^ np.uint64(seed * 0x9FB21C651E98DF25 & (1 << 64) - 1))
     for at in range(0, len(starts), CHUNK_WORDS):  # keeps the temporary arrays small
         part = slice(at, at + CHUNK_WORDS)
         own, begin, size = h[part], starts[part], lens[part]
@@ -94,10 +96,24 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             own[live] = mix(own[live] ^ piece)
             live, k = live[left > 8], k + 1
     for i in np.flatnonzero(lens > LONG_WORD):
-        h[i] = np.uint64(xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes()))
+        h[i] = np.uint64(xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes(), seed))
     return h
 
 
+def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Whether the ranges of equal lengths from ``a`` and from ``b`` have the same bytes, eight at a step."""
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    view = np.ndarray(shape=(len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    out, live, k = np.ones(len(a), dtype=bool), np.flatnonzero(lens > 0), 0
+    while live.size:
+        left = LOW_BYTES[np.minimum(lens[live] - 8 * k, 8)]
+        equal = (view[a[live] + 8 * k] & left) == (view[b[live] + 8 * k] & left)
+        out[live[~equal]] = False
+        live, k = live[equal & (lens[live] - 8 * k > 8)], k + 1
+    return out
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n consecutive words from each place; the last n - 1 places have none."""
     if len(h) < n:
