@@ -118,9 +118,11 @@ def brute_classes(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, J.HOT), (2, 3)])
-def test_ngram_join(spark, seed, hot, monkeypatch):
+@pytest.mark.parametrize(("seed", "hot", "buckets"), [(1, J.HOT, None), (2, 3, None), (3, J.HOT, 1), (4, 2, 3)])
+def test_ngram_join(spark, seed, hot, buckets, monkeypatch):
     monkeypatch.setattr(J, "HOT", hot)
+    if buckets:
+        monkeypatch.setattr(J, "parts_for", lambda *_: buckets)
     rows = corpus(seed)
     got = {i: (r.n_shingles, r.component_id) for i, r in by_id(J.linked(table(spark, rows))).items()}
     assert got == brute_classes(rows)
@@ -143,7 +145,61 @@ def near_copies(n=70):
     return rows + [(n + 20 + k, " ".join(base[:40] + [f"z{k}.{j}" for j in range(60)])) for k in range(10)]
 
 
-@pytest.mark.parametrize("block", [4_000_000, 3_000, 900])
+def test_set_sizes_are_verified():
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(["ab", "AB", "b", "longer-than-eight", "longer-than-eighT", "é"]) for _ in range(rnd.randint(0, 60))) for _ in range(80)]
+    buf, off = flat(pa.array(texts, pa.string()))
+    n, digests, collides = J.verified_sets(buf, off)
+    assert n.tolist() == [len(shingles(t)) for t in texts] and not collides.any()
+    assert [[a == b for b in digests] for a in digests] == [[shingles(a) == shingles(b) for b in texts] for a in texts]
+    row, token = J.shingle_sets(buf, off)
+    assert np.bincount(row, minlength=80).tolist() == n.tolist() and all((np.diff(token[row == k].astype(object)) > 0).all() for k in range(80))
+    narrow = J.Hashing(bits=8)
+    n, _, collides = J.verified_sets(buf, off, narrow)
+    row, _ = J.shingle_sets(buf, off, narrow)
+    assert collides.any() and all(c or x == len(shingles(t)) for c, x, t in zip(collides, n.tolist(), texts, strict=True))
+
+
+def test_overlaps_are_those_of_the_words():
+    rnd = random.Random(9)
+    for _ in range(300):
+        x, y = (" ".join(rnd.choice("abC") for _ in range(rnd.randint(0, 14))) for _ in range(2))
+        a, b = shingles(x), shingles(y)
+        assert J.overlap(x.encode(), y.encode(), 4) == (len(a), len(b), len(a & b))
+
+
+@pytest.mark.parametrize("bits", [8, 13])
+def test_ngram_join_with_hashes_that_collide(spark, bits):
+    rows = corpus(6)
+    got = {i: (r.n_shingles, r.component_id) for i, r in by_id(J.linked(table(spark, rows), bits=bits)).items()}
+    assert got == brute_classes(rows)
+
+
+def test_false_links_start_another_attempt(spark, monkeypatch):
+    rows = near_copies()
+    docs = table(spark, rows).select("doc_id", "text")
+    links = spark.createDataFrame([(0, 1), (0, 81), (95, 96)], "a long, b long")
+    assert [tuple(r) for r in J.false_links(docs, links, 85, 4).orderBy("a").collect()] == [(0, 81), (95, 96)]
+    seen, check = [], J.false_links
+    monkeypatch.setattr(J, "false_links", lambda own, links, *a: (seen.append(links.count()), links if len(seen) == 1 else check(own, links, *a))[1])
+    got = {i: (r.n_shingles, r.component_id) for i, r in by_id(J.linked(table(spark, rows))).items()}
+    assert got == brute_classes(rows) and len(seen) == 2 and seen[1] == len(rows) - len({c for _, c in got.values()})
+
+
+def test_a_large_family_is_dealt_to_many_tasks(spark):
+    cands = J.LEAST_BLOCK // 150 * 6
+    base = [f"b{k}" for k in range(150)]
+    rows = [(i, " ".join([*base[: i % 150], f"e{i}", *base[i % 150 + 1 :]])) for i in range(cands)]
+    seen, joined = [], J._joined
+    try:
+        J._joined = lambda r, *keys, **kw: (seen.append(r.groupBy(*keys).count().agg(F.max("count")).first()[0]), joined(r, *keys, **kw))[1]
+        got = by_id(J.linked(table(spark, rows)))
+    finally:
+        J._joined = joined
+    assert {r.component_id for r in got.values()} == {0} and seen[0] < cands / 3
+
+
+@pytest.mark.parametrize("block", [None, 3_000, 900])
 def test_families_beyond_a_block_lose_no_link(spark, block):
     rows = near_copies()
     got = {i: (r.n_shingles, r.component_id) for i, r in by_id(J.linked(table(spark, rows), block_tokens=block)).items()}
@@ -184,7 +240,9 @@ def test_trie_equals_brute_force():
             sets.append(b)
         ids = rnd.sample(range(1000), len(sets))
         want = brute_sets(ids, sets)
-        assert J.classes(ids, np.array([len(s) for s in sets]), [np.array(sorted(s)) for s in sets]) == want
+        got, links = J.classes(ids, np.array([len(s) for s in sets]), [np.array(sorted(s)) for s in sets])
+        of = dict(zip(ids, sets, strict=True))
+        assert got == want and len(links) == len(sets) - len(set(want)) and all(100 * len(of[a] & of[b]) >= 85 * len(of[a] | of[b]) for a, b in links)
 
 
 def brute_sets(ids, sets):
@@ -245,16 +303,58 @@ def brute_repeats(rows, k):
     return out
 
 
-@pytest.mark.parametrize("stretch", [S.STRETCH, 700])
-def test_substring_dedup(spark, stretch, monkeypatch):
+@pytest.mark.parametrize(("stretch", "buckets"), [(S.STRETCH, None), (700, None), (700, 1), (S.STRETCH, 3), (300, 4)])
+def test_substring_dedup(spark, stretch, buckets, monkeypatch):
     monkeypatch.setattr(S, "STRETCH", stretch)
     rows = corpus(4)
-    got = by_id(S.without_repeats(table(spark, rows), keep_text=True))
+    got = by_id(S.without_repeats(table(spark, rows), keep_text=True, buckets=buckets))
     want = brute_repeats(rows, 13)
     assert {i: (r.n_words, r.n_removed, r.kept_text.encode()) for i, r in got.items()} == want
     assert all(r.kept_sha256 == hashlib.sha256(r.kept_text.encode()).hexdigest() for r in got.values())
 
 
+def frequent_phrase(n=300):
+    """Texts full of one phrase in ever new surroundings, whose windows would share its minimiser."""
+    rnd = random.Random(7)
+    phrase = ["in", "the", "case", "of"]
+    rows = [(i, " ".join(w for _ in range(12) for w in [*phrase, *(f"x{rnd.randrange(4000)}" for _ in range(9))])) for i in range(n)]
+    return [*rows, *((n + i, rows[i * 3][1] + " and more") for i in range(20))]
+
+
+def test_frequent_runs_of_words_are_no_minimisers(spark, monkeypatch):
+    monkeypatch.setattr(S, "STRETCH", 20_000)
+    monkeypatch.setattr(S, "MINIMISER", 4)
+    rows = frequent_phrase()
+    docs = S.marked(table(spark, rows), True, "doc_id", "text")
+    hot = S.frequent_runs(docs, S.text_bytes(docs, "text"), 40, id_col="id")
+    buf, off = flat(pa.array(["in the case of"]))
+    h = S.gram_hashes(S.word_hashes(buf, *S.words(buf, off)[:2]), 4)
+    assert set(h.tolist()) <= set(hot.tolist()) and len(hot) < 20
+
+    def largest(hot):
+        order, size = S.Order(hot), {}
+        buf, off = flat(pa.array([t for _, t in rows]))
+        for bucket, *_, packed in S.stretch_rows(np.arange(len(rows)), np.zeros(len(rows), np.int64), buf, off, 13, 41, order):
+            if packed:
+                size[bucket] = size.get(bucket, 0) + len(S.unpack(packed)[3])
+        return max(size.values()) / sum(size.values())
+
+    lowest = np.uint64(0)
+    real = S.Order.of
+    monkeypatch.setattr(S.Order, "of", lambda self, g: np.where(real(self, g) == h[0] >> np.uint64(1), lowest, real(self, g)))  # the phrase as the least hash of all
+    assert largest(np.zeros(0, np.uint64)) > 0.5 > 0.15 > largest(hot)
+    for given in (None, 2):
+        got = by_id(S.without_repeats(table(spark, rows), keep_text=True, buckets=given))
+        assert {i: (r.n_words, r.n_removed, r.kept_text.encode()) for i, r in got.items()} == brute_repeats(rows, 13)
+
+
+def test_sampled_runs_change_no_result(spark, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLE_BYTES", 4_000)
+    rows = corpus(5, 90)
+    got = by_id(S.without_repeats(table(spark, rows), keep_text=True))
+    assert {i: (r.n_words, r.n_removed, r.kept_text.encode()) for i, r in got.items()} == brute_repeats(rows, 13)
+
+
 def test_substring_dedup_repeated_and_null_ids(spark):
     a, b = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in S.without_repeats(table(spark, [(1, a), (3, a), (3, b), (3, b), (None, a)])).collect())
