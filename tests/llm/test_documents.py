@@ -380,51 +380,110 @@ def test_bit_vectors_equal_dynamic_programming():
         assert distance == dynamic(item, text) == dynamic(item, text[:end]) or distance == len(item)
 
 
-def test_decontamination_recall_against_brute_force(spark):
+def best_window(item, text):
+    """(least distance, start, length) of all windows of a text: the leftmost end, then the shortest window."""
+    best = (len(item), 0, 0)
+    for start in range(len(text)):
+        prev = list(range(len(item) + 1))
+        for k, w in enumerate(text[start : start + 2 * len(item)]):
+            cur = [k + 1]
+            for j, x in enumerate(item):
+                cur.append(min(prev[j] + (x != w), prev[j + 1] + 1, cur[j] + 1))
+            prev = cur
+            if (prev[-1], start + k + 1, k + 1) < (best[0], best[1] + best[2], best[2]):
+                best = (prev[-1], start, k + 1)
+    return best
+
+
+def edited(rnd, letters, n, new):
+    letters = list(letters)
+    for _ in range(n):
+        x = rnd.randrange(max(1, len(letters)))
+        letters[x : x + 1] = rnd.choice([[], [new()], [letters[x], new()]] if letters else [[new()]])
+    return letters
+
+
+def test_decontamination_equals_brute_force(spark):
     rnd = random.Random(2)
     words = [f"w{k}" for k in range(300)]
-    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(6, 60)))) for k in range(12)] + [(50, ""), (51, None), (None, "x y z")]
+    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 3, 6, 9, 10, 13, 17, 24, 31])))) for k in range(14)] + [(50, ""), (51, None), (None, "x y z")]
     rows = []
-    for i in range(80):
-        host = [rnd.choice(words) for _ in range(rnd.randint(0, 150))]
-        if i % 2:
-            w = rnd.choice(items[:12])[1].split()
-            for _ in range(rnd.randint(0, D.allowed(len(w)))):
-                x = rnd.randrange(len(w))
-                w[x : x + 1] = rnd.choice([[], ["new"], [w[x], "more"]])
+    for i in range(70):
+        host = [rnd.choice(words) for _ in range(rnd.randint(0, 60))]
+        for _ in range(i % 3):  # none, one or two passages, perhaps of the same item
+            w = rnd.choice(items[:14])[1].split()
             at = rnd.randint(0, len(host))
-            host[at:at] = w
-        rows.append((i, " ".join(host).upper() if i % 3 == 0 else ", ".join(host)))
+            host[at:at] = edited(rnd, w, rnd.randint(0, D.allowed(len(w))), lambda: rnd.choice([*words, "new"]))
+        rows.append((i, " ".join(host).upper() if i % 2 == 0 else ", ".join(host)))
     rows += [(90, None), (91, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.distance for r in D.find_leaks(table(spark, rows), bench).collect() if r.distance <= D.allowed(r.item_words)}
+    got = {(r.doc_id, r.item_id): (r.distance, r.start_word, r.n_words, r.similarity) for r in D.find_leaks(table(spark, rows), bench).collect() if r.distance <= D.allowed(r.item_words)}
     want = {}
     for i, t in rows:
-        for k, item in items[:12]:
+        text = re.findall(r"\w+", (t or "").lower())
+        for k, item in items[:14]:
             own = item.split()
-            d = dynamic(own, re.findall(r"\w+", (t or "").lower()))
-            if d <= D.allowed(len(own)):
-                want[i, k] = d
-    assert set(got) <= set(want) and all(got[k] >= want[k] for k in got)
-    assert len(got) >= 0.9 * len(want)
+            d, start, n = best_window(own, text)
+            if d <= D.allowed(len(own)) and n:
+                want[i, k] = (d, start, n, round(1 - d / len(own), 6))
+    assert len(want) > 60 and set(got) <= set(want) and len(got) >= 0.97 * len(want)
+    assert all(got[k] == want[k] for k in got)
     left = {r.doc_id for r in D.clean(table(spark, rows), bench).collect()}
     assert left == {i for i, _ in rows} - {i for i, _ in got}
 
 
-def test_misspelt_passages_are_found(spark):
+def vocabulary(rnd, n=400):
+    return ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2])
+@pytest.mark.parametrize("by", ["words", "characters"])
+def test_recall_at_each_edit_rate(by, rate):
+    rnd = random.Random(11)
+    words = vocabulary(rnd)
+    items = [" ".join(rnd.choice(words) for _ in range(n)) for n in (10, 12, 16, 22, 30, 42, 59, 90) for _ in range(3)]
+    index, texts, truth = D.Index(list(range(len(items))), items), [], []
+    for k in range(96):
+        own = list(items[k % len(items)]) if by == "characters" else items[k % len(items)].split()
+        new = (lambda: rnd.choice("etaoinshrdluxyz")) if by == "characters" else (lambda: rnd.choice(words))
+        w = edited(rnd, own, int(rate * len(own) + 1e-9), new)
+        host = [rnd.choice(words) for _ in range(rnd.randint(0, 200))]
+        at = rnd.randint(0, len(host))
+        host[at:at] = ["".join(w)] if by == "characters" else w
+        texts.append(" ".join(host))
+        truth.append(k % len(items))
+    got = {(r, i): s for r, i, *_, s in index.matches(*flat(pa.array(texts, pa.string())))}
+    assert sum((r, i) in got for r, i in enumerate(truth)) >= 0.95 * len(truth)
+    assert all(s >= 0.8 - 1e-6 for s in got.values()) and sum(i != truth[r] for r, i in got) <= 2
+
+
+def test_misspelt_passages_have_the_place_and_similarity_of_their_characters():
     rnd = random.Random(4)
-    words = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(3, 9))) for _ in range(200)]
-    items = [(k, " ".join(rnd.choice(words) for _ in range(35))) for k in range(10)]
-    rows = []
-    for i in range(40):
-        t = list(items[i % 10][1])
-        for _ in range(len(t) // 15):
-            t[rnd.randrange(len(t))] = "x"
-        rows.append((i, " ".join(rnd.choice(words) for _ in range(30)) + " " + "".join(t)))
-    rows.append((99, " ".join(rnd.choice(words) for _ in range(400))))
-    got = {(r.doc_id, r.item_id): r.similarity for r in D.find_leaks(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert len(set(got) & {(i, i % 10) for i in range(40)}) >= 36 and set(got) <= {(i, i % 10) for i in range(40)}
-    assert all(0.8 <= s <= 1 for s in got.values())
+    words = vocabulary(rnd)
+    items = [" ".join(rnd.choice(words) for _ in range(35)) for _ in range(10)]
+    hosts = [[rnd.choice(words) for _ in range(rnd.randint(0, 40))] for _ in range(30)]
+    texts = [" ".join([*h, "".join("q" if c != " " and rnd.random() < 0.16 else c for c in items[i % 10]), *h]) for i, h in enumerate(hosts)]
+    got = {(r, i): x for r, i, *x in D.Index(list(range(10)), items).matches(*flat(pa.array(texts, pa.string())))}
+    assert set(got) == {(i, i % 10) for i in range(30)}
+    for (r, i), (distance, n, start, length, similarity) in got.items():
+        item, text = items[i], texts[r]
+        edits = D.best_match(item, text)[0]
+        assert distance > D.allowed(n) and similarity == pytest.approx(1 - edits / len(item), abs=1e-6) and edits <= D.allowed(len(item))
+        assert abs(start - len(hosts[r])) <= 2 and abs(length - 35) <= 3
+
+
+def test_walks_are_as_long_as_the_items():
+    rnd = random.Random(5)
+    words = vocabulary(rnd)
+    items = [" ".join(rnd.choice(words) for _ in range(n)) for n in range(1, 120)]
+    index = D.Index(list(range(len(items))), items)
+    held = []
+    for group in index.by_words:
+        lengths = [len(index.words[i]) for i in group.items]
+        held += lengths
+        assert group.walks.length == min(lengths) >= max(lengths) / D.RATIO - 1
+        assert max(p[-1] for p in group.walks.picks) >= 1.4 * group.walks.length  # samples from all over the walk
+    assert sorted(held) == list(range(D.SHORT + 1, 120))
 
 
 def test_items_of_few_words_are_found():
