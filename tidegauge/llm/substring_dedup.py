@@ -42,7 +42,7 @@ from .textbatch import gram_hashes, mix, slices, word_hashes, words
 K = 13
 MINIMISER = 4
 #: Bytes of text for each bucket, and of text that is settled together.
-BUCKET_BYTES, STRETCH = 3 << 19, 4 << 20
+BUCKET_BYTES, STRETCH = 5 << 20, 4 << 20
 #: Frequent runs are looked for in so many bytes of text at least, or in this share of a larger corpus;
 #: a run is frequent if it draws more than this share of a bucket's windows, and counted that often.
 SAMPLE_BYTES, SAMPLE_SHARE, HOT_OF_BUCKET, HOT_COUNT, MOST_HOT = 48 << 20, 256, 8, 16, 1 << 18
