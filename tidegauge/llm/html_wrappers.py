@@ -11,21 +11,27 @@ text falls into one of its slots, and texts are counted by slot. A text that sta
 notice or advert of the host, and isn't main text; a page of constants only keeps them.
 
 Distinct expressions are counted by host first (a partial aggregate: a host that holds a third
-of all pages is a few rows), merged within salted parts of a host and then between them, and the
-wrappers are joined back to the pages by host, where Spark broadcasts them only if they are
-measured to be small and may split a hot host otherwise. Texts are counted by their hashes, and
-equal pages of a host once.
+of all pages is a few rows) and merged in a tree, ``FAN`` of them in a task, as many levels as the
+host with the most expressions needs. The wrappers are joined back to the pages by host, where
+Spark broadcasts them only if they are measured to be small and may split a hot host otherwise.
+Texts are counted by their hashes, and equal pages of a host once. Expressions are cut at ``DEEPEST``
+levels, below which slots go by the labels on their way; no text is cut.
 
 Main text is what stands in the page's outermost ``article`` and ``main`` regions, at any depth (beside
-a ``main`` element, articles outside only if they hold more text), or else in the smallest container
-that holds all blocks with more text outside links than in them, without the elements and classes
-listed below as furniture.
+a ``main`` element, articles outside only if they hold more text). A page without such a region leaves
+the choice to its wrapper: the main text is the smallest container that holds all blocks whose slot
+varies, that is whose text is no constant, and that have more text outside links than in them.
+The elements and classes listed below are furniture wherever they stand; they serve hosts with too few
+pages to tell constants by.
 Character references are decoded, white space within a block becomes one blank, blocks
-are joined by one newline.
+are joined by one newline. White space is Unicode's here, unlike in the other operators: a no-break
+space is how pages write a blank (``&nbsp;``).
 
 Defined results: null and empty pages, and pages without main text, give the empty string; a
-null url belongs to the host of the empty name; broken or unclosed tags end with their parent;
+null url belongs to the host of the empty name; broken or unclosed tags end with their parent; after an
+attribute's quote that is never closed, tags end at the next ``>``, and a tag that never ends is text;
 repeated rows give repeated rows; an empty table gives an empty table; extra columns are ignored.
+Reading a page takes time in proportion to its length, whatever it holds.
 """
 
 from __future__ import annotations
@@ -45,7 +51,8 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 HINT = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PIECE = re.compile(r"[a-z]+")
 RAW = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "textarea": re.compile(r"</textarea\s*>", re.I), "title": re.compile(r"</title\s*>", re.I), "noscript": re.compile(r"</noscript\s*>", re.I), "template": re.compile(r"</template\s*>", re.I), "iframe": re.compile(r"</iframe\s*>", re.I)}
@@ -66,7 +73,8 @@ TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre".split())
 TOP = frozenset(["#root", "html", "body"])
 #: Expressions are cut at this depth, and siblings folded in periods up to this length.
 DEEPEST, PERIODS = 30, 4
-SALTS = 16
+#: Expressions of a host that one task merges, and cells of a table that aligns two sequences in full.
+FAN, CELLS = 256, 1 << 16
 #: A text is a constant of the wrapper from this number of different pages on.
 CONSTANT_PAGES = 3
 
@@ -87,48 +95,95 @@ def hints_of(attributes: str) -> frozenset[str]:
     return frozenset(x for p in pieces if p and p[0] not in ABOUT for x in p)
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of each tag in turn, comments and declarations with an empty name.
+
+    A caller that skips ahead sends the place to go on from.
+    """
+    at, n, last, quotes = 0, len(page), page.rfind(">"), True
+    while True:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last:
+            if page.startswith("<!--", lt) and lt >= 0:
+                yield lt, n, "", "", ""
+            return
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            out = lt, n if end < 0 else end + 3, "", "", ""
+        elif page[lt + 1 : lt + 2] in ("!", "?"):
+            out = lt, page.index(">", lt) + 1, "", "", ""
+        else:
+            m = TAG.match(page, lt)
+            if not m:
+                at = lt + 1
+                continue
+            rest = ATTRIBUTES.match(page, m.end()) if quotes else None
+            if quotes and not rest:
+                quotes = False  # a quote that is never closed: found once, by reading to the end
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            if not end:
+                return
+            out = lt, end, m[1], m[2].lower(), page[m.end() : end - 1]
+        skip = yield out
+        at = skip or out[1]
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; inline tags are blanks of no width, other tags end what they must."""
     root = Node("#root", frozenset())
-    stack, at, n = [root], 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else n]
-        if text:
-            stack[-1].parts.append(text)
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
+    stack, text_from, n = [root], 0, len(page)
+    opened: dict[str, int] = {}
+    plain = 0  # so many elements of the stack are known not to be furniture
+    found = tags(page)
+    tag = next(found, None)
+
+    def pop(to: int) -> None:
+        for x in stack[to:]:
+            opened[x.name] -= 1
+        del stack[to:]
+
+    while tag:
+        start, at, slash, name, attributes = tag
+        if start > text_from:
+            stack[-1].parts.append(page[text_from:start])
         if not name:
-            continue
-        if name in INLINE:
+            pass
+        elif name in INLINE:
             if name in ("br", "img"):
                 stack[-1].parts.append(" ")
             elif name == "a":
-                stack[-1].parts.append(OPEN_LINK if not m[1] else CLOSE_LINK)
-            continue
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-            continue
-        if name in RAW:
+                stack[-1].parts.append(CLOSE_LINK if slash else OPEN_LINK)
+        elif slash:
+            if opened.get(name):
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                pop(k)
+        elif name in RAW:
             end = RAW[name].search(page, at)
             at = end.end() if end else n
-            continue
-        if stack[-1].name == "p" or (name in SELF_ENDING and stack[-1].name == name):
-            stack.pop()
-        hints = hints_of(m[3]) if m[3] else frozenset()
-        node = Node(name, hints)
-        if name in MAIN and not furniture(node.label, False):
-            for x in stack:  # what holds the article isn't furniture, whatever its class says
-                if not x.hints & BESIDE_HINTS:
-                    x.label = x.name
-        stack[-1].parts.append(node)
-        if name not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+        else:
+            if stack[-1].name == "p" or (name in SELF_ENDING and stack[-1].name == name):
+                pop(len(stack) - 1)
+            node = Node(name, hints_of(attributes) if attributes else frozenset())
+            plain = min(plain, len(stack))
+            if name in MAIN and not furniture(node.label, False):
+                for x in stack[plain:]:  # what holds the article isn't furniture, whatever its class says
+                    if not x.hints & BESIDE_HINTS:
+                        x.label = x.name
+                plain = len(stack)
+            stack[-1].parts.append(node)
+            if name not in VOID and not attributes.endswith("/"):
+                stack.append(node)
+                opened[name] = opened.get(name, 0) + 1
+        plain = min(plain, len(stack))
+        text_from = at
+        try:
+            tag = found.send(at)
+        except StopIteration:
+            tag = None
+    if text_from < n:
+        stack[-1].parts.append(page[text_from:])
     return root
 
 
@@ -143,26 +198,55 @@ def merge(a: list, b: list) -> list:
 
 
 def align(a: list, b: list) -> list:
-    """Aligns two sequences by a longest common subsequence of their labels; the rest becomes optional."""
+    """Aligns two sequences by a longest common subsequence of their labels; the rest becomes optional.
+
+    Like beginnings and ends are matched first; where what is left between them fills more than
+    ``CELLS``, each label is matched with its next place in the other sequence.
+    """
     if a == b:
         return a
-    n, m = len(a), len(b)
+    n, m, i, z = len(a), len(b), 0, 0
+    while i < min(n, m) and a[i][0] == b[i][0]:
+        i += 1
+    while z < min(n, m) - i and a[n - 1 - z][0] == b[m - 1 - z][0]:
+        z += 1
+    head = [merge(x, y) for x, y in zip(a[:i], b[:i], strict=True)]
+    tail = [merge(x, y) for x, y in zip(a[n - z :], b[m - z :], strict=True)]
+    return fold(head + between(a[i : n - z], b[i : m - z]) + tail)
+
+
+def between(a: list, b: list) -> list:
+    n, m, out, i, j = len(a), len(b), [], 0, 0
+    optional = lambda x: [x[0], x[1] | 2, x[2]]
+    if n * m > CELLS:
+        places: dict[str, list[int]] = {}
+        for k, y in enumerate(b):
+            places.setdefault(y[0], []).append(k)
+        for x in a:
+            own = places.get(x[0], [])
+            k = bisect_left(own, j)
+            if k == len(own):
+                out.append(optional(x))
+            else:
+                out += [*map(optional, b[j : own[k]]), merge(x, b[own[k]])]
+                j = own[k] + 1
+        return out + list(map(optional, b[j:]))
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    i = j = 0
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
             out.append(merge(a[i], b[j]))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([a[i][0], a[i][1] | 2, a[i][2]])
+            out.append(optional(a[i]))
             i += 1
         else:
-            out.append([b[j][0], b[j][1] | 2, b[j][2]])
+            out.append(optional(b[j]))
             j += 1
-    return fold(out)
+    return out
 
 
 def fold(items: list) -> list:
@@ -285,15 +369,18 @@ def regions(root: Node) -> list[Node]:
     return found
 
 
-def container(root: Node) -> Node | None:
-    """The smallest element that holds all blocks with more text outside links than in them, for pages without a main region."""
+def container(root: Node, constant: frozenset[int] | set[int] = frozenset()) -> Node | None:
+    """The smallest element that holds all blocks with more text outside links than in them, for pages without a main region.
+
+    Elements whose text is ``constant`` (by ``id``) aren't asked.
+    """
     order, parent = [root], [-1]
     for k, node in enumerate(order):  # grows while it is read
         for p in node.parts:
             if not isinstance(p, str) and not furniture(p.label, False):
                 order.append(p)
                 parent.append(k)
-    sizes = [unlinked(x) for x in order]
+    sizes = [(0, 0) if id(x) in constant else unlinked(x) for x in order]
     dense = [k for k, (out, within) in enumerate(sizes) if out > within] or [k for k, (out, _) in enumerate(sizes) if out]
     if not dense:
         return None
@@ -347,21 +434,28 @@ def slots(root: Node, wrapper: tuple[dict[str, list[int]], list] | None) -> dict
     return out
 
 
-def main_blocks(root: Node) -> list[tuple[Node, str]]:
+def candidate_blocks(root: Node) -> tuple[list[tuple[Node, str]], bool]:
+    """The blocks that may be main text, and whether they are those of main regions."""
     got = regions(root)
-    if not got:
-        one = container(root)
-        return blocks(one, False) if one else []
-    return [x for node in got for x in blocks(node)]
+    return ([x for node in got for x in blocks(node)], True) if got else (blocks(root, False), False)
 
 
 def main_text(page: str, wrapper: tuple[dict[str, list[int]], list] | None = None, constants: frozenset[tuple[int, int]] = frozenset()) -> str:
     """The page's main text, without the wrapper's constants: (slot, text's number)."""
     root = parse(page)
-    got = main_blocks(root)
+    got, regional = candidate_blocks(root)
+    fixed: list[tuple[Node, str]] = []
     if constants:
         slot = slots(root, wrapper)
-        got = [x for x in got if (slot[id(x[0])], number(x[1])) not in constants] or got
+        fixed = [x for x in got if (slot[id(x[0])], number(x[1])) in constants]
+        if len(fixed) == len(got):
+            fixed = []  # a page of constants only keeps them
+    if not regional:
+        one = container(root, {id(node) for node, _ in fixed})
+        got = blocks(one, False) if one else []
+    if fixed:
+        gone = {(id(node), text) for node, text in fixed}
+        got = [x for x in got if (id(x[0]), x[1]) not in gone]
     return "\n".join(text for _, text in got)
 
 
@@ -374,8 +468,8 @@ def host(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, pages): each host's wrapper as JSON, and its number of pages."""
+def infer_wrappers(pages: DataFrame, fan: int = FAN) -> DataFrame:
+    """(host, wrapper, pages): each host's wrapper as JSON, and its number of pages; ``fan`` expressions are merged at a time."""
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -394,9 +488,13 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
     schema = "host string, wrapper string, pages long"
     seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(shapes, "host string, wrapper string")
-    seen = seen.groupBy("host", "wrapper").agg(F.count("*").alias("pages"))
-    parts = seen.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "salt").applyInArrow(lambda t: merged(t), schema)
-    return parts.groupBy("host").applyInArrow(lambda t: merged(t), schema)
+    seen = written(seen.groupBy("host", "wrapper").agg(F.count("*").alias("pages")), "expressions")
+    while True:
+        parts = seen.groupBy("host").agg(F.ceil(F.count("*") / fan).alias("parts"))
+        if (parts.agg(F.max("parts")).first()[0] or 1) <= 1:
+            return seen.groupBy("host").applyInArrow(lambda t: merged(t), schema)
+        salted = seen.join(parts, "host").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.col("parts")))
+        seen = written(salted.groupBy("host", "salt").applyInArrow(lambda t: merged(t), schema), "expressions")
 
 
 def with_wrappers(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -416,7 +514,7 @@ def find_constants(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                 for h, page, w in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     root = parse(page)
                     slot, fingerprint = slots(root, wrapper_places(w)), number(page)
-                    for node, text in main_blocks(root):
+                    for node, text in candidate_blocks(root)[0]:
                         rows.add((h, slot[id(node)], number(text), fingerprint))
                         rows.add((h, slot[id(node)], None, fingerprint))
                 if rows:
