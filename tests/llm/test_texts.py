@@ -4,6 +4,8 @@ import hashlib
 import json
 import random
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -323,7 +325,7 @@ def test_wrappers_align_into_optional_and_repeated_groups():
 
 
 def test_extraction_of_other_layouts():
-    get = lambda x: H.main_text(x, [])
+    get = H.main_text
     assert get('<header>Site</header><main><article><header><h1>T</h1></header><p>a<br>b</p><aside>s</aside></article><section class="comments"><p>c</section></main>') == "T\na b"
     assert get("<div class='sidebar'><p>side</div><div><p>body one</p><p>body <a href=x>two</a></p></div><form><p>f</form>") == "body one\nbody two"
     assert get('<div class="post with-comments"><article><p>a</article><section class="comments"><article class="comment"><p>c</article></section></div>') == "a"
@@ -341,8 +343,139 @@ def test_texts_that_a_host_repeats_are_constants_of_its_wrapper(spark):
     assert all(got[20 + i] == "T\nRead our terms first" for i in range(8)) and all(got[30 + i] == f"Read our terms first\nc {i}" for i in range(2))
 
 
+class Brute(HTMLParser):
+    """An independent reading of well-formed pages: the texts of all blocks with the names and classes above them."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.path, self.now, self.blocks = [], [], []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        text = " ".join("".join(self.now).split())
+        if text:
+            self.blocks.append((list(self.path), text))
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("b", "a", "span"):
+            return
+        if tag == "br":
+            self.now.append(" ")
+            return
+        self.end()
+        self.path.append((tag, dict(attrs).get("class", "")))
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a", "span", "br"):
+            self.end()
+            self.path.pop()
+
+    def handle_data(self, data):
+        self.now.append(data)
+
+    def text(self):
+        article = lambda path: next((k for k, (tag, _) in enumerate(path) if tag == "article"), None)
+        element = lambda path: any(tag in ("nav", "aside", "footer", "form", "script", "style") for tag, _ in path)
+        classed = lambda path: any(c in ("ad", "cookie-notice", "sidebar") for _, c in path)
+        return "\n".join(t for path, t in self.blocks if article(path) is not None and not element(path) and not classed(path[article(path) + 1 :]))
+
+
+def random_page(rnd):
+    def words():
+        return rnd.choice(["one", "two &amp; three", "&lt;b&gt; four", "fünf&nbsp;sechs", "a  b\n c", "x &copy y", "<b>bold</b>er", "br<br>eak", "<a href='>'>li>nk</a>", "<span class=\"nav\">span</span>"])
+
+    def flow(depth, inside):
+        out = []
+        for _ in range(rnd.randint(1, 4)):
+            kind = rnd.choice(["p", "div", "section", "ul", "h2", "aside", "ad", "script", "comment", "text"] + ["article"] * (not inside) * 2)
+            inner = lambda: flow(depth + 1, inside or kind == "article") if depth < 4 else words()
+            if kind in ("p", "h2"):
+                out.append(f"<{kind}>{words()} {words()}</{kind}>")
+            elif kind == "ul":
+                out.append("<ul>" + "".join(f"<li>{words()}</li>" for _ in range(rnd.randint(1, 3))) + "</ul>")
+            elif kind == "ad":
+                out.append(f"<div class='{rnd.choice(['ad', 'cookie-notice', 'sidebar'])}'><p>{words()}</p></div>")
+            elif kind == "script":
+                out.append("<script>if (a < b) x = '<p>no</p>';</script>")
+            elif kind == "comment":
+                out.append("<!-- <p>no</p> > -->")
+            elif kind == "text":
+                out.append(words())
+            else:
+                out.append(f"<{kind}>{inner()}</{kind}>")
+        return "".join(out)
+
+    return f"<!DOCTYPE html><html><body><nav><ul><li>menu</li></ul></nav><article>{flow(0, True)}</article>{flow(1, False)}<footer>f</footer></body></html>"
+
+
+def test_extraction_equals_an_independent_reading():
+    rnd = random.Random(6)
+    for _ in range(400):
+        x = random_page(rnd)
+        assert H.main_text(x) == Brute(x).text(), x
+
+
+def test_constants_equal_counts_of_all_pages(spark):
+    rnd = random.Random(8)
+    pool = [f"notice {k}" for k in range(6)]
+    rows = []
+    for h in range(4):
+        for i in range(rnd.choice([2, 7, 12])):
+            body = "".join(f"<div class='x{k}'>{rnd.choice(pool[: 1 + h]) if rnd.random() < 0.8 else f'own {h} {i}'}</div>" for k in range(3))
+            rows.append((h, i, f"<article><h1>t {h} {i}</h1>{body}<p>end {i}</p></article>"))
+    df = spark.createDataFrame([(100 * h + i, f"https://h{h}.example/{i}", p) for h, i, p in rows], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    for h, i, p in rows:
+        own = [Brute(q).blocks for g, _, q in rows if g == h]
+        kept = []
+        for k, (_, text) in enumerate(Brute(p).blocks):
+            slot = [k] if k in (0, 4) else [1, 2, 3]  # like siblings are one repeated group
+            n = sum(any(blocks[j][1] == text for j in slot) for blocks in own)
+            if not (n >= H.CONSTANT_PAGES and 2 * n > len(own)):
+                kept.append(text)
+        assert got[100 * h + i] == "\n".join(kept)
+
+
+def test_the_wrapper_chooses_the_main_text_of_hosts_without_known_names(spark):
+    page = lambda i: f"<body><div><div>The best prices in town, every day of the week, for everybody</div><div><h2>Title {i}</h2><p>body {i} goes on</p><p>and <a href=x>on {i}</a> and on</p></div><div><ul><li><a href='/{i}'>teaser {i}</a></li><li><a href='/{i + 1}'>teaser {i + 1}</a></li></ul></div><div><p>All rights are with their owners and will stay there</p></div></div></body>"
+    df = spark.createDataFrame([(i, f"http://plain.example/{i}", page(i)) for i in range(9)], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert all(got[i] == f"Title {i}\nbody {i} goes on\nand on {i} and on" for i in range(9))
+    assert all(H.main_text(page(i)) != got[i] for i in range(9))  # the page alone doesn't tell
+
+
+def test_wrappers_are_merged_in_a_tree(spark):
+    rows = [(i, f"http://h{i % 2}.example/{i}", "<body>" + "".join(f"<{t}>x</{t}>" for k, t in enumerate(["h1", "h2", "ul", "p", "dl", "pre"]) if i >> k & 1) + "<article><p>y</article>") for i in range(64)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    labels = lambda e: {e[0], *(x for c in e[2] for x in labels(c))}
+    few, many = ({r.host: (labels(json.loads(r.wrapper)), r.pages) for r in H.infer_wrappers(df, fan).collect()} for fan in (2, 1000))
+    assert few == many and few["h1.example"] == ({"#root", "body", "h1", "h2", "ul", "p", "dl", "pre", "article", "#"}, 32)
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<div>", "</div>", "<div></x>", "<!--", "<!", "<", "<p class='", '<p class="a">', "<article>", "<div><article>", "<dl><dt>", "&amp", "<script>", "<a href='x'>", "class=", "<p a=b "])
+def test_hostile_pages_take_linear_time(unit):
+    page = "<p>start</p>" + unit * (1_000_000 // len(unit))
+    start = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - start < 5
+    start = time.process_time()
+    a, b = H.expression(H.parse(page)), H.expression(H.parse("<h1>x</h1>" + "".join(f"<{t}>" for t in ("dl", "section", "ul") for _ in range(3)) + page))
+    H.merge(a, b)
+    assert time.process_time() - start < 10
+
+
+def test_broken_tags():
+    get = H.main_text
+    assert get("<article><p>a</p><p title=\"never closed>b</p><p>c</p></article>") == "a\nb\nc"
+    assert get("<article><p>1 < 2 and <3</p>x <b") == "1 < 2 and <3\nx <b"
+    assert get("<article><p title='a > b'>c</p></article>") == "c"
+
+
 def test_extraction_loses_no_block_of_the_main_text():
-    get = lambda x: H.main_text(x, None)
+    get = H.main_text
     assert get("<body><header>Site</header><div><section><p>one</p></section><section><p>two</p><ul><li><a href=x>link</a></ul></section></div><ul><li><a href=y>other</a></ul></body>") == "one\ntwo\nlink"
     assert get("<table><tr><td>a<td>b<tr><td>c</table>") == "a\nb\nc"
     assert get("<p>aside</p>" + "<div>" * 60 + "<article><p>deep</p></article>") == "deep"
