@@ -457,7 +457,8 @@ def _joined(rows: DataFrame, *keys: str, percent: int = OF) -> DataFrame:
         none = [None] * (len(docs) - len(links))
         return pa.table([pa.array(c, pa.int64()) for c in (docs, label, got, [*a, *none], [*b, *none])], names=["doc", "label", "class", "a", "b"])
 
-    return rows.groupBy(*keys).applyInArrow(run, JOINED)
+    # dealt by all keys: a join by some of them before this would otherwise leave its groups together
+    return rows.repartition(*keys).groupBy(*keys).applyInArrow(run, JOINED)
 
 
 def prefixes(cands: DataFrame) -> DataFrame:
