@@ -51,7 +51,7 @@ from .textbatch import LOWER, gram_hashes, mix, same_bytes, slices, word_hashes,
 N = 4
 PART, OF = 100, 85
 #: Shingles for each bucket of the counting; bytes and rows of text that are worked off together.
-BUCKET_TOKENS, STRETCH, STRETCH_ROWS = 350_000, 4 << 20, 30_000
+BUCKET_TOKENS, STRETCH, STRETCH_ROWS = 700_000, 4 << 20, 30_000
 #: A block of a family has at most so many shingles, and at most this share of all, but so many at least.
 BLOCK_TOKENS, BLOCK_SHARE, LEAST_BLOCK = 4_000_000, 24, 16_000
 #: Sets that meet pair by pair in the last step, in one block.
