@@ -1,5 +1,7 @@
 """Correlations, as-of joins, lags and preparation against pandas and hand-made frames."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import asof, corr, lag, prep
 from tidegauge.plans.predicates import subsets
-from tidegauge.plans.ranged import numbered, ranged, running
+from tidegauge.plans.ranged import PID, nearest_known, numbered, ranged, running
 
 NAN = float("nan")
 
@@ -129,9 +131,93 @@ def test_interpolate(spark):
 
 def test_ordered_helpers_cross_partitions(spark):
     df = spark.range(500).select(((F.col("id") * 37) % 500).alias("k")).repartition(7)
-    assert [(r.k, r._rn) for r in numbered(df, "k").orderBy("k").collect()] == [(k, k + 1) for k in range(500)]
-    r = running(ranged(df, "k"), ["k"], F.col("k"), "s")
+    assert ranged(df, "k", partitions=6).select(PID).distinct().count() == 6
+    assert ranged(df, "k").select(PID).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [(r.k, r._rn) for r in numbered(df, "k", partitions=6).orderBy("k").collect()] == [(k, k + 1) for k in range(500)]
+    r = running(ranged(df, "k", partitions=6), ["k"], F.col("k"), "s")
     assert r.where("k = 499").first().s == 499 * 500 / 2
+    known = F.when(F.col("k") % 190 == 7, F.struct("k"))  # some partitions have none
+    for ahead, strictly in ((False, False), (False, True), (True, False), (True, True)):
+        got = {r.k: r.v and r.v.k for r in nearest_known(ranged(df, "k", partitions=9), ["k"], known, "v", ahead, strictly).collect()}
+        for k in range(500):
+            near = [x for x in (7, 197, 387) if (x > k or not strictly and x == k if ahead else x < k or not strictly and x == k)]
+            assert got[k] == ((min if ahead else max)(near) if near else None)
+
+
+def test_looking_ahead_takes_linear_time(spark):
+    def seconds(n):
+        r = ranged(spark.range(n).select(F.xxhash64("id").alias("k"), (F.col("id") % 50).alias("v")), "k", partitions=1)
+        start = time.perf_counter()
+        got = nearest_known(r, ["k"], F.when(F.col("v") == 0, F.struct("k")), "a", ahead=True)
+        got.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    few, many = min(seconds(50_000) for _ in range(2)), min(seconds(200_000) for _ in range(2))
+    assert many < 6 * few + 0.3
+
+
+def test_inversions_equal_all_pairs():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 17, 200):
+        y, w = rng.integers(0, max(1, n // 3), n), rng.integers(1, 5, n)
+        assert corr.inversions(y, w) == sum(w[i] * w[j] for i in range(n) for j in range(i + 1, n) if y[i] > y[j])
+
+
+@pytest.mark.parametrize("blocks", [2, 7])
+def test_kendall_of_values_that_most_rows_share(spark, blocks, monkeypatch):
+    monkeypatch.setattr(corr, "BLOCK_PAIRS", 150 // blocks)
+    rng = np.random.default_rng(8)
+    p = pd.DataFrame({"x": np.where(rng.random(400) < 0.7, 1.0, rng.integers(0, 4, 400)), "y": rng.integers(0, 90, 400).astype(float)})
+    dx, dy = np.sign(p.x.values[:, None] - p.x.values), np.sign(p.y.values[:, None] - p.y.values)
+    want = (dx * dy).sum() / np.sqrt((dx**2).sum() * (dy**2).sum())
+    for a, b in (("x", "y"), ("y", "x")):
+        assert column(corr.corrwith(spark.createDataFrame(p), [a], [b], "kendall"), b)[a] == pytest.approx(want, abs=1e-12)
+
+
+def test_spearman_of_many_combinations_at_once(spark):
+    rng = np.random.default_rng(9)
+    p = pd.DataFrame({c: rng.integers(0, 30, 300).astype(float) for c in "abcd"})
+    p.loc[::7, "a"] = p.loc[::5, "c"] = np.nan
+    got = {r.feature: r for r in corr.cor_matrix(["a", "b"], ["c", "d"], spark.createDataFrame(p).replace(float("nan"), None), cat_dat={"some": lambda t: t.b > 10, "none": lambda t: t.b > 99}, cor_meth="spearman").collect()}
+    for f in "ab":
+        for y in "cd":
+            for name, own in (("All", p), ("some", p[p.b > 10])):
+                both = own[[f, y]].dropna()
+                assert got[f][f"{name}:{y}"] == pytest.approx(both.rank().corr().iloc[0, 1], abs=1e-12)
+            assert got[f][f"none:{y}"] is None
+
+
+def clashing(spark):
+    names = ["k", "row", "_k", "_mk", "_mp", "payload", "at", "o", "s0", "x0", "b0", "f0", "_pid", "_rn", "_t", "_wt", "_l0", "_m0"]
+    return spark.range(20).select((F.col("id") * 10).alias("t"), *[(F.col("id") * (i + 1) % 7).cast("double").alias(n) for i, n in enumerate(names)])
+
+
+def test_names_of_helpers_do_not_clash(spark):
+    from tidegauge.operators import reshape
+
+    df = clashing(spark)
+    same = lambda out: out.select(*[f"`{c}`" for c in df.columns]).exceptAll(df).count() == 0 and out.count() == 20
+    joined = asof.nearest_asof(df, df, "t", 0)
+    assert joined.columns == [*df.columns, *[f"{c}_y" for c in df.columns if c != "t"]] and same(joined) and joined.where("_k <> _k_y").count() == 0
+    assert same(lag.interpolate(df, "t", ["k", "_rn"]))
+    moved = lag.feat_shift(df.withColumn("t", F.timestamp_micros(F.col("t") * 60_000_000)), "t", [0], drop_na=False)
+    assert moved.count() == 20 and moved.where("`_t` <> `_t 0 min` or `row` <> `row 0 min`").count() == 0
+    cyclic = prep.cyclic_columns(df.withColumn("m0", F.lit(5)), ["k", "_k"])
+    assert set(cyclic.columns) == {*df.columns, "m0", "cos_k", "sin_k", "cos__k", "sin__k"} - {"k", "_k"}
+    both = reshape.joined_on(df.withColumn("k0", F.lit(1)), df.withColumn("k1", F.lit(2)), ["t", "k"])
+    assert same(both) and both.where("k0 = 1 and k1 = 2").count() == 20
+    with pytest.raises(ValueError, match="labels"):
+        reshape.transposed(spark.range(reshape.MOST_LABELS + 1).select("id", F.lit(1.0).alias("v")), "id", ["v"])
+
+
+def test_interpolation_of_equal_times_has_one_result(spark):
+    rows = [(1, 1, 0.0), (1, 2, None), (1, 3, None), (1, 4, 9.0), (0, 9, None), (2, 0, None)]
+    for parts in (1, 3, 6):
+        df = spark.createDataFrame(rows, "t int, s int, v double").repartition(parts)
+        assert sorted((r.t, r.s, r.v) for r in lag.interpolate(df, "t", ["v"], ["s"]).collect()) == [(0, 9, None), (1, 1, 0), (1, 2, 3), (1, 3, 6), (1, 4, 9), (2, 0, 9)]
+        by_rest = sorted((r.t, r.s, r.v) for r in lag.interpolate(df, "t", ["v"]).collect())
+        assert by_rest == [(0, 9, None), (1, 1, 0), (1, 2, 3), (1, 3, 6), (1, 4, 9), (2, 0, 9)]
 
 
 def test_create(spark):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ranged import nearest_known, ranged
-from ..plans.schema import col, is_time, kind, micros, require
+from ..plans.schema import col, is_time, kind, micros, own, require, row_of
 
 
 def gaps(df: DataFrame, key: str) -> DataFrame:
@@ -61,8 +61,8 @@ def matched_keys(targets: DataFrame, right: DataFrame, tolerance: int | None) ->
 
 def ends_of_key(right: DataFrame, key: Column, payload: list[Column], seq: list[Column]) -> DataFrame:
     """(k, payload): of rows with equal keys the last and the first by ``seq``, as ``payload.last`` and ``payload.first``."""
-    own = F.struct(F.max_by(F.struct(*payload), F.struct(*seq)).alias("last"), F.min_by(F.struct(*payload), F.struct(*seq)).alias("first"))
-    return right.where(key.isNotNull()).groupBy(key.alias("k")).agg(own.alias("payload"))
+    ends = F.struct(F.max_by(F.struct(*payload), F.struct(*seq)).alias("last"), F.min_by(F.struct(*payload), F.struct(*seq)).alias("first"))
+    return right.where(key.isNotNull()).groupBy(key.alias("k")).agg(ends.alias("payload"))
 
 
 def nearest_asof(left: DataFrame, right: DataFrame, key: str, tolerance: int | None = None, seq: list[str] | None = None, suffix: str = "_y") -> DataFrame:
@@ -79,9 +79,8 @@ def nearest_asof(left: DataFrame, right: DataFrame, key: str, tolerance: int | N
     names = [c for c in right.columns if c != key]
     payload = [col(c).alias(f"p{k}") for k, c in enumerate(names)] or [F.lit(1).alias("p")]
     rows = ends_of_key(right, micros(right, key), payload, [col(c) for c in seq or names] or [F.lit(1)])
-    own = left.withColumn("_k", micros(left, key))
-    match = matched_keys(own.where("_k IS NOT NULL").select(F.col("_k").alias("k")).distinct(), rows, tolerance)
-    match = match.select(F.col("k").alias("_mk"), F.col("payload").alias("_mp"))
-    out = own.join(match, F.col("_k") == F.col("_mk"), "left")
+    keyed = left.select(row_of(left), micros(left, key).alias("k"))
+    match = matched_keys(keyed.where("k IS NOT NULL").select("k").distinct(), rows, tolerance)
+    out = keyed.join(match.select(F.col("k").alias("at"), "payload"), F.col("k") == F.col("at"), "left")
     taken = set(left.columns)
-    return out.select(*[col(c) for c in left.columns], *[F.col(f"_mp.p{k}").alias(c + suffix if c in taken else c) for k, c in enumerate(names)])
+    return out.select(*[own(c) for c in left.columns], *[F.col(f"payload.p{k}").alias(c + suffix if c in taken else c) for k, c in enumerate(names)])

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.ranged import nearest_known, numbered
-from ..plans.schema import col, duration, micros, require, value
+from ..plans.schema import col, duration, kind, micros, own, require, row_of, value
 from .asof import ends_of_key, matched_keys, resolution
 from .corr import pearson
+from .prep import drop_missing
 
 
 def _periods(periods: int | list[int] | None) -> list[int]:
@@ -54,29 +56,36 @@ def feat_shift(
     names, each = [c for c in s_dat.columns if c != t_col], _periods(periods)
     long = _shifted(s_dat, t_col, each, unit, tolerance, names, seq)
     wide = long.groupBy(F.col("t").alias("_wt")).agg(*[F.max_by("payload", F.when(F.col("lag") == p, 1)).alias(f"_l{i}") for i, p in enumerate(each)])
-    out = s_dat.withColumn("_t", micros(s_dat, t_col)).join(wide, F.col("_t") == F.col("_wt"), "left")
+    out = s_dat.select(row_of(s_dat), micros(s_dat, t_col).alias("_t")).join(wide, F.col("_t") == F.col("_wt"), "left")
     moved = [F.col(f"_l{i}.p{k}").alias(shift_name(c, p, unit)) for i, p in enumerate(each) for k, c in enumerate(names)]
-    out = out.select(col(t_col), *([] if drop_orig else [col(c) for c in names]), *moved)
-    return out.na.drop("any", subset=[f"`{c}`" for c in out.columns if c != t_col]) if drop_na else out
-
-
-def interpolate(df: DataFrame, order: str, names: list[str]) -> DataFrame:
-    """Linear interpolation of gaps by row position; a leading gap stays, a trailing gap repeats the last value."""
-    require(df, [order, *names])
-    r = numbered(df.withColumn("_o", micros(df, order)), "_o")
-    for k, c in enumerate(names):
-        x = value(df, c)
-        known = F.when(x.isNotNull(), F.struct(F.col("_rn").alias("at"), x.alias("x")))
-        r = nearest_known(r, ["_o"], known, f"_b{k}")
-        r = nearest_known(r, ["_o"], known, f"_f{k}", ahead=True)
+    out = out.select(own(t_col), *([] if drop_orig else [own(c) for c in names]), *moved)
+    return drop_missing(out, [c for c in out.columns if c != t_col]) if drop_na else out
+
+
+def interpolate(df: DataFrame, order: str, names: list[str], seq: list[str] | None = None) -> DataFrame:
+    """Linear interpolation of gaps by row position; a leading gap stays, a trailing gap repeats the last value.
+
+    Rows of equal ``order`` stand in the order of ``seq``, by default all other columns that have
+    one, so positions don't depend on how the table is dealt to tasks.
+    """
+    seq = [c for c in df.columns if c != order and not isinstance(kind(df, c), (T.MapType, T.VariantType))] if seq is None else seq
+    require(df, [order, *names, *seq])
+    places = [f"s{k}" for k in range(len(seq))]
+    values = [value(df, c).alias(f"x{k}") for k, c in enumerate(names)]
+    rows = df.select(row_of(df), micros(df, order).alias("o"), *[col(c).alias(s) for c, s in zip(seq, places, strict=True)], *values)
+    r = numbered(rows, "o", *places, out="at").drop("o", *places)
+    for k in range(len(names)):
+        known = F.when(F.col(f"x{k}").isNotNull(), F.struct("at", F.col(f"x{k}").alias("x")))
+        r = nearest_known(r, ["at"], known, f"b{k}")
+        r = nearest_known(r, ["at"], known, f"f{k}", ahead=True)
     out = []
     for c in df.columns:
         if c not in names:
-            out.append(col(c))
+            out.append(own(c))
             continue
         k = names.index(c)
-        b, f = F.col(f"_b{k}"), F.col(f"_f{k}")
-        share = F.try_divide(F.col("_rn") - b.at, f.at - b.at)
+        b, f = F.col(f"b{k}"), F.col(f"f{k}")
+        share = F.try_divide(F.col("at") - b.at, f.at - b.at)
         between = b.x + (f.x - b.x) * share
         out.append(F.when(b.isNull(), None).when(f.isNull() | (b.at == f.at), b.x).otherwise(between).alias(c))
     return r.select(*out)

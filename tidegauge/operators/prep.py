@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.schema import as_list, col, is_number, kind, require
+from ..plans.schema import as_list, col, free, is_number, kind, require
 
 HOURS, DEGREES = 24.0, 360.0
 
@@ -44,7 +44,7 @@ def log10_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Appends ``log10_<c>`` and drops ``<c>``; a column that isn't there or isn't a number is warned about."""
     for c in names:
         if c not in df.columns or not is_number(kind(df, c)):
-            warnings.warn(f"Could not log column {c}", stacklevel=2)
+            warnings.warn(f"{c!r} is no numeric column of this table: it gets no logarithm", stacklevel=2)
             continue
         df = df.withColumn(f"log10_{c}", F.log10(col(c).cast("double"))).drop(c)
     return df
@@ -60,15 +60,16 @@ def cyclic_columns(df: DataFrame, names: list[str]) -> DataFrame:
         if c in df.columns and is_number(kind(df, c)):
             good.append(c)
         else:
-            warnings.warn(f"Could not add {c} as a cos/sin time column", stacklevel=2)
+            warnings.warn(f"{c!r} is no numeric column of this table: it gets no cyclic encoding", stacklevel=2)
     if not good:
         return df
-    limits = df.agg(*[F.max(col(c).cast("double")).alias(f"_m{k}") for k, c in enumerate(good)])
+    largest = free(df.columns, *[f"m{k}" for k in range(len(good))])
+    limits = df.agg(*[F.max(col(c).cast("double")).alias(m) for m, c in zip(largest, good, strict=True)])
     df = df.join(F.broadcast(limits))
-    for k, c in enumerate(good):
-        angle = col(c) * 2 * F.pi() / F.when(F.col(f"_m{k}") > HOURS, F.lit(DEGREES)).otherwise(F.lit(HOURS))
+    for m, c in zip(largest, good, strict=True):
+        angle = col(c) * 2 * F.pi() / F.when(F.col(m) > HOURS, F.lit(DEGREES)).otherwise(F.lit(HOURS))
         df = df.withColumn(f"cos_{c}", F.cos(angle)).withColumn(f"sin_{c}", F.sin(angle)).drop(c)
-    return df.drop(*[f"_m{k}" for k in range(len(good))])
+    return df.drop(*largest)
 
 
 def prepared(

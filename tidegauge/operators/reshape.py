@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.schema import col, require
+from ..plans.schema import col, free, require
+
+#: What a table may have as columns.
+MOST_LABELS = 10_000
 
 
 def scaled(df: DataFrame, factors: dict[str, float]) -> DataFrame:
@@ -19,22 +22,25 @@ def joined_on(left: DataFrame, right: DataFrame, key: list[str], how: str = "lef
     require(left, key)
     require(right, key)
     taken = set(left.columns)
-    own = right.select(*[col(c).alias(f"_k{i}") for i, c in enumerate(key)], *[col(c).alias(c + "_y" if c in taken else c) for c in right.columns if c not in key])
+    keys = free([*left.columns, *right.columns, *[c + "_y" for c in right.columns]], *[f"k{i}" for i in range(len(key))])
+    own = right.select(*[col(c).alias(k) for k, c in zip(keys, key, strict=True)], *[col(c).alias(c + "_y" if c in taken else c) for c in right.columns if c not in key])
     condition = None
-    for i, c in enumerate(key):
-        one = left[f"`{c}`"] == own[f"_k{i}"]
+    for k, c in zip(keys, key, strict=True):
+        one = left[f"`{c}`"] == own[k]
         condition = one if condition is None else condition & one
-    return left.join(own, condition, how).drop(*[f"_k{i}" for i in range(len(key))])
+    return left.join(own, condition, how).drop(*keys)
 
 
 def transposed(df: DataFrame, label: str, names: list[str], out: str = "name") -> DataFrame:
     """Rows become columns: one row for each of ``names``, one column for each of the table's labels.
 
-    For result tables: the labels are the new column names, in order.
+    For result tables: the labels are the new column names, in order, at most ``MOST_LABELS``.
     """
     require(df, [label, *names])
     long = df.select(col(label).alias("_label"), F.explode(F.array(*[F.struct(F.lit(c).alias("name"), col(c).cast("double").alias("value")) for c in names])).alias("e"))
-    labels = [r[0] for r in df.select(col(label)).distinct().orderBy(label).collect()]
+    labels = sorted(r[0] for r in df.select(col(label)).distinct().where(col(label).isNotNull()).limit(MOST_LABELS + 1).collect())
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"{label!r} has more than {MOST_LABELS} labels, too many for columns")
     return long.groupBy(F.col("e.name").alias(out)).pivot("_label", labels).agg(F.max("e.value"))
 
 

@@ -2,7 +2,9 @@
 
 A table is range-partitioned by its order; windows run within the partitions, and what has to
 cross a border (a running sum, the last known value) is a table of one row for each partition,
-joined back by broadcast: its size is the number of partitions.
+joined back by broadcast: its size is the number of partitions. Windows only ever look back, from the
+beginning of the partition to the current row, which Spark extends row by row; what lies ahead
+is looked at in descending order.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ PID = "_pid"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's ``spark.checkpoint.dir`` (a temporary folder in local tests)."""
+    """A checkpoint in the session's ``spark.checkpoint.dir`` (a temporary folder in local tests).
+
+    Spark removes it with the table it belongs to, where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set (as in ``session.build``).
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -27,9 +33,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ranged(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` range-partitioned and fixed, with the partition's number in ``_pid``; rows of equal order stay together."""
-    return settled(df.repartitionByRange(*[F.col(c) for c in order]).withColumn(PID, F.spark_partition_id()))
+def ranged(df: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and fixed, with the partition's number in ``_pid``; rows of equal order stay together.
+
+    The number of partitions is given, by default ``spark.sql.shuffle.partitions``: adaptive
+    execution would merge them by their bytes, and a window's work isn't told by bytes.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settled(df.repartitionByRange(n, *[F.col(c) for c in order]).withColumn(PID, F.spark_partition_id()))
 
 
 def running(r: DataFrame, order: list[str], weight: Column, out: str) -> DataFrame:
@@ -41,9 +52,9 @@ def running(r: DataFrame, order: list[str], weight: Column, out: str) -> DataFra
     return r.withColumn("_r", own).join(F.broadcast(offsets), PID).withColumn(out, F.col("_r") + F.col("_off")).drop("_w", "_r", "_off")
 
 
-def numbered(df: DataFrame, *order: str, out: str = "_rn") -> DataFrame:
+def numbered(df: DataFrame, *order: str, out: str = "_rn", partitions: int | None = None) -> DataFrame:
     """Row numbers from 1 in a total order."""
-    return running(ranged(df, *order), list(order), F.lit(1).cast("long"), out)
+    return running(ranged(df, *order, partitions=partitions), list(order), F.lit(1).cast("long"), out)
 
 
 def nearest_known(r: DataFrame, order: list[str], value: Column, out: str, ahead: bool = False, strictly: bool = False) -> DataFrame:
@@ -52,15 +63,12 @@ def nearest_known(r: DataFrame, order: list[str], value: Column, out: str, ahead
     ``value`` should be a struct where NULL fields are to count as known.
     """
     r = r.withColumn("_v", value)
-    w = W.partitionBy(PID).orderBy(*order)
-    edge = 1 if strictly else 0
-    if ahead:
-        own = F.first("_v", ignorenulls=True).over(w.rowsBetween(edge, W.unboundedFollowing))
-        best, beyond, pick = F.min_by, (1, W.unboundedFollowing), F.first
-    else:
-        own = F.last("_v", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -edge))
-        best, beyond, pick = F.max_by, (W.unboundedPreceding, -1), F.last
+    way = [F.desc(c) if ahead else F.asc(c) for c in order]
+    upto = W.unboundedPreceding, -1 if strictly else 0
+    own = F.last("_v", ignorenulls=True).over(W.partitionBy(PID).orderBy(*way).rowsBetween(*upto))
+    best = F.min_by if ahead else F.max_by
     known = r.where(F.col("_v").isNotNull()).groupBy(PID).agg(best("_v", F.struct(*order)).alias("_k"))
     pids = r.select(PID).distinct().join(known, PID, "left")
-    over = pids.select(PID, pick("_k", ignorenulls=True).over(W.orderBy(PID).rowsBetween(*beyond)).alias("_c"))
+    beyond = W.orderBy(F.desc(PID) if ahead else F.asc(PID)).rowsBetween(W.unboundedPreceding, -1)
+    over = pids.select(PID, F.last("_k", ignorenulls=True).over(beyond).alias("_c"))
     return r.withColumn("_n", own).join(F.broadcast(over), PID).withColumn(out, F.coalesce("_n", "_c")).drop("_v", "_n", "_c")

@@ -20,6 +20,31 @@ def require(df: DataFrame, names: Iterable[str]) -> None:
         raise KeyError(f"no such columns: {missing}")
 
 
+def free(taken: Iterable[str], *stems: str) -> list[str]:
+    """A name for each stem that isn't taken (Spark's names have no case), nor by another stem."""
+    used, out = {n.lower() for n in taken}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A user's whole row as one column: beside it, helper columns of any name can't clash with the row's.
+ROW = "row"
+
+
+def row_of(df: DataFrame) -> Column:
+    return F.struct(*[col(c) for c in df.columns]).alias(ROW)
+
+
+def own(name: str) -> Column:
+    """A column of the user's row in a table that has it as ``ROW``."""
+    return F.col(ROW).getField(name).alias(name)
+
+
 def as_list(x: object, what: str) -> list:
     if not isinstance(x, list):
         raise TypeError(f"{what} must be a list")
