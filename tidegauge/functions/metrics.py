@@ -48,6 +48,10 @@ def medae(yt: Column, yp: Column) -> Column:
     return F.percentile(F.abs(yt.cast("double") - yp.cast("double")), F.lit(0.5))
 
 
+#: For groups beyond a task's memory: what to take which exact quantile of.
+medae.quantile = (lambda yt, yp: F.abs(yt.cast("double") - yp.cast("double")), 0.5)
+
+
 def r2(yt: Column, yp: Column) -> Column:
     return 1 - F.try_divide(mse(yt, yp), F.var_pop(_both(yt, yp, yt.cast("double"))))
 
@@ -104,5 +108,8 @@ def roc_auc(df: DataFrame, y_true: str, score: str) -> DataFrame:
 
 
 NAMED: dict[str, Metric] = {
-    "accuracy": accuracy, "accuracy_count": accuracy_count, "mse": mse, "mae": mae, "neg_mean_absolute_error": neg_mae, "median_absolute_error": medae, "r2": r2, "log_loss": log_loss,
+    "accuracy": accuracy, "accuracy_count": accuracy_count, "mse": mse, "mae": mae, "medae": medae, "median_absolute_error": medae, "r2": r2, "log_loss": log_loss,
+    "neg_mean_absolute_error": neg_mae, "neg_mean_squared_error": lambda yt, yp: -mse(yt, yp), "neg_median_absolute_error": lambda yt, yp: -medae(yt, yp), "neg_log_loss": lambda yt, yp: -log_loss(yt, yp),
 }
+#: Errors: of these the least is the best.
+LESS_IS_BETTER = frozenset(["mse", "mae", "medae", "median_absolute_error", "log_loss"])

@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.metrics import Metric, accuracy, mse, opaque
 from ..plans.schema import as_list, col, is_integer, kind, require, value
 from .bins import binned, edge_table, edges_of
+from .quantiles import quantiles
 from .sample import hash_key
 
-#: Above so many rows in a bin the sample of a fold is drawn in two steps (see ``boxplot_metvx``).
 STATS = ("mean", "med", "q1", "q3", "whislo", "whishi")
+QUARTILES = [0.25, 0.5, 0.75]
+#: A fold's last row is looked for among the hashes this many standard deviations around its expected place; then wider.
+SIGMAS, WIDER = 6.0, 8.0
+#: Greater than any hash.
+TOP = "g"
 
 
 def _single(y_col: list[str] | str, what: str) -> str:
@@ -24,28 +29,24 @@ def _single(y_col: list[str] | str, what: str) -> str:
     return names[0]
 
 
-def _box(y: Column, whisker: float) -> list[Column]:
-    q = F.percentile(y, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.avg(y).alias("mean"), q.alias("_q"), F.count(y).alias("n")]
-
-
 def _spread(df: DataFrame, whisker: float) -> DataFrame:
-    q1, q3 = F.col("_q")[0], F.col("_q")[2]
-    return df.withColumns({"med": F.col("_q")[1], "q1": q1, "q3": q3, "whislo": q1 - whisker * (q3 - q1), "whishi": q3 + whisker * (q3 - q1)}).drop("_q")
+    """Quartiles as the statistics of a box."""
+    q1, q3 = F.col("q0"), F.col("q2")
+    return df.withColumns({"med": F.col("q1"), "whislo": q1 - whisker * (q3 - q1), "whishi": q3 + whisker * (q3 - q1)}).withColumnsRenamed({"q1": "_", "q0": "q1", "q2": "q3"}).drop("_")
 
 
 def boxplot_vx(df: DataFrame, x_col: list[str], y_col: list[str] | str, bins: object = 10, xrange: object = None, whisker: float = 1.5) -> DataFrame:
     """One row for each x column and bin: edges, centre, width, n, mean, med, q1, q3, whislo, whishi.
 
     Quartiles are exact and interpolated; NaN and infinite y don't count; bins without y have NULL
-    statistics. All x columns are one aggregate with one shuffle of partial states.
+    statistics. All x columns share one shuffle of distinct values, ordered by ranges.
     """
     as_list(x_col, "x_col")
     y = _single(y_col, "y_col")
     require(df, [*x_col, y])
     edges = edges_of(df, x_col, bins, xrange)
-    stats = binned(df, edges, value(df, y).alias("y")).groupBy("x_col", "bin").agg(*_box(F.col("y"), whisker))
-    out = edge_table(df, edges).join(_spread(stats, whisker), ["x_col", "bin"], "left")
+    stats = _spread(quantiles(binned(df, edges, value(df, y).alias("y")), ["x_col", "bin"], "y", QUARTILES), whisker)
+    out = edge_table(df, edges).join(stats, ["x_col", "bin"], "left")
     return out.select("x_col", "bin", "x_lo", "x_hi", "x_centre", "x_width", F.coalesce("n", F.lit(0)).alias("n"), *STATS)
 
 
@@ -61,42 +62,72 @@ def boxplot_metvx(
     """Box statistics of a metric over ``kfolds`` samples of each bin, drawn without replacement.
 
     The sample of a fold is the ``kfrac`` (rounded half to even) of the bin's rows that rank first
-    by a hash of ``key`` and the fold's number; ``key`` has to be unique for the sample to be the
-    same everywhere. Bins of one row or none have all statistics 0. ``box_metric`` is an aggregate
-    of two columns, or with ``native=False`` any function of two arrays.
+    by a hash of ``key`` and the fold's number; ``key`` has to be unique for the sample to be of that
+    size (rows of equal keys are drawn together). Bins of one row or none have all statistics 0.
+    ``box_metric`` is an aggregate of two columns, or with ``native=False`` any function of two arrays.
+
+    No row is copied or shuffled for a fold: each fold's last hash is found first (``_last_drawn``), a
+    table of bins by folds rows that is broadcast, and rows up to it are aggregated where they are.
     """
     yt, yp = _single(y_true, "y_true"), _single(y_mod, "y_mod")
     require(df, [*as_list(x_col, "x_col"), yt, yp, *key])
     metric = default_metric(df, yt, yp) if box_metric is None else box_metric if native else opaque(box_metric)
     edges = edges_of(df, x_col, bins, xrange)
     rows = binned(df, edges, col(yt).alias("t"), col(yp).alias("p"), hash_key(df, key).alias("k"))
-    sizes = rows.groupBy("x_col", "bin").agg(F.count("*").alias("n"), F.rint(kfrac * F.count("*")).alias("take"))
-    each = rows.select("x_col", "bin", "t", "p", "k", F.explode(F.sequence(F.lit(0), F.lit(kfolds - 1))).alias("fold"))
-    each = each.withColumn("h", F.md5(F.concat_ws(":", "k", "fold").cast("binary")))
-    drawn = _lowest(each, sizes)
-    scores = drawn.groupBy("x_col", "bin", "fold").agg(metric(F.col("t"), F.col("p")).alias("score"))
-    stats = _spread(scores.groupBy("x_col", "bin").agg(*_box(F.col("score"), whisker)).drop("n"), whisker)
-    out = edge_table(df, edges).join(sizes.select("x_col", "bin", "n"), ["x_col", "bin"], "left").join(stats, ["x_col", "bin"], "left")
+    sizes = rows.groupBy("x_col", "bin").agg(F.count("*").alias("n"), F.rint(kfrac * F.count("*")).cast("long").alias("take")).collect()  # a row for each bin
+    spark = df.sparkSession
+    last = spark.createDataFrame(_last_drawn(rows, [(r["x_col"], r["bin"], fold, r["n"], r["take"]) for r in sizes for fold in range(kfolds)]), "x_col string, bin int, fold int, last_h string, last_k string")
+    drawn = rows.join(F.broadcast(last), ["x_col", "bin"]).where(F.struct(fold_hash().alias("h"), F.col("k").alias("k")) <= F.struct(F.col("last_h").alias("h"), F.col("last_k").alias("k")))
+    keys = ["x_col", "bin", "fold"]
+    if hasattr(metric, "quantile"):
+        y, prob = metric.quantile
+        scores = quantiles(drawn.select(*keys, y(F.col("t"), F.col("p")).alias("y")), keys, "y", [prob]).select(*keys, F.col("q0").alias("score"))
+    else:
+        scores = drawn.groupBy(*keys).agg(metric(F.col("t"), F.col("p")).alias("score"))
+    q = F.percentile("score", F.array(*[F.lit(p) for p in QUARTILES]))  # of ``kfolds`` scores
+    stats = scores.groupBy("x_col", "bin").agg(F.avg("score").alias("mean"), q.alias("q"))
+    stats = _spread(stats.select("x_col", "bin", "mean", *[F.col("q")[k].alias(f"q{k}") for k in range(3)]), whisker)
+    known = spark.createDataFrame([(r["x_col"], r["bin"], r["n"]) for r in sizes], "x_col string, bin int, n long")
+    out = edge_table(df, edges).join(F.broadcast(known), ["x_col", "bin"], "left").join(stats, ["x_col", "bin"], "left")
     few = F.coalesce("n", F.lit(0)) <= 1
     return out.select("x_col", "bin", "x_lo", "x_hi", "x_centre", "x_width", F.coalesce("n", F.lit(0)).alias("n"), *[F.when(few, 0.0).otherwise(F.col(c)).alias(c) for c in STATS])
 
 
-def _lowest(each: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Of each (x_col, bin, fold) the ``take`` rows with the lowest hashes.
+def fold_hash() -> Column:
+    return F.md5(F.concat_ws(":", "k", "fold").cast("binary"))
 
-    Hash ranges stand for ranks: counts by the first three hex digits of the hash tell in which
-    range the last row falls, so only that range is ranked and no window holds a whole bin.
+
+def _last_drawn(rows: DataFrame, samples: list[tuple[str, int, int, int, int]]) -> list[tuple[str, int, int, str, str]]:
+    """(x_col, bin, fold, hash, key) of the last row of each sample (x_col, bin, fold, rows, rows to draw).
+
+    Hashes are uniform, so the place of the last row's is known but for a few standard deviations.
+    One pass counts the rows below that stretch and ranks those within it, in the order of the
+    square root of a bin's rows; a sample whose last row isn't there is looked for in a wider one.
     """
-    keys = ["x_col", "bin", "fold"]
-    each = each.withColumn("slot", F.substring("h", 1, 3))
-    slots = each.groupBy(*keys, "slot").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.partitionBy(*keys).orderBy("slot").rowsBetween(W.unboundedPreceding, -1))
-    slots = slots.withColumn("below", F.coalesce(upto, F.lit(0))).join(sizes.select("x_col", "bin", "take"), ["x_col", "bin"])
-    slots = slots.where("below < take").select(*keys, "slot", (F.col("take") - F.col("below")).alias("room"), (F.col("below") + F.col("c") <= F.col("take")).alias("all"))
-    near = each.join(slots, [*keys, "slot"])
-    rank = F.row_number().over(W.partitionBy(*keys, "slot").orderBy("h", "k"))
-    edge = near.where("NOT all").withColumn("r", rank).where(F.col("r") <= F.col("room"))
-    return near.where("all").select(*keys, "t", "p").union(edge.select(*keys, "t", "p"))
+    spark, found, width = rows.sparkSession, [], SIGMAS
+    text = lambda x: f"{int(x * 2**32):08x}" if x < 1 else TOP
+    while samples:
+        bounds = []
+        for x_col, b, fold, n, take in samples:
+            if take >= n:
+                found.append((x_col, b, fold, TOP, ""))
+            elif take > 0:
+                p, s = take / n, width * (take * (n - take) / n**3) ** 0.5 + 2 / n
+                bounds.append((x_col, b, fold, take, text(max(0.0, p - s)) if p > s else "", text(p + s)))
+        if not bounds:
+            break
+        table = spark.createDataFrame(bounds, "x_col string, bin int, fold int, take long, lo string, hi string")
+        near = rows.join(F.broadcast(table), ["x_col", "bin"]).withColumn("h", fold_hash()).where("h < hi")
+        near = near.select("x_col", "bin", "fold", "take", F.when(F.col("h") >= F.col("lo"), F.struct("h", "k")).alias("at"))
+        counts = near.groupBy("x_col", "bin", "fold", "take", "at").agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(W.partitionBy("x_col", "bin", "fold").orderBy(F.asc_nulls_first("at")).rowsBetween(W.unboundedPreceding, 0))
+        reached = counts.withColumn("upto", upto).where("upto >= take").groupBy("x_col", "bin", "fold")
+        # the first place that reaches the sample's size; where that is below the stretch it is NULL
+        got = {tuple(r[:3]): r["at"] for r in reached.agg(F.min_by("at", "upto").alias("at")).collect()}  # a row for each sample
+        found += [(*k, at["h"], at["k"]) for k, at in got.items() if at is not None]
+        samples = [s for s in samples if 0 < s[4] < s[3] and got.get(s[:3]) is None]
+        width *= WIDER
+    return found
 
 
 def to_bxp(stats: DataFrame) -> dict[str, dict]:

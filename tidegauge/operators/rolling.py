@@ -1,8 +1,9 @@
 """Metrics over rolling windows of rows or time.
 
-Windows never share one task: rows are dealt to buckets of many windows' length, each bucket also
-gets a halo of the neighbouring rows its windows reach into, and only the rows that own a bucket
-are kept. Row windows number the rows first by running sums over range partitions.
+Windows never share one task: rows are dealt to buckets of one to ``WINDOWS`` windows' length, by how
+many rows a window has; each bucket also gets a halo of the neighbouring rows its windows reach
+into, and only the rows that own a bucket are kept. Row windows number the rows first by running
+sums over range partitions.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import Metric, accuracy, mse, opaque
 from ..plans.ranged import numbered
-from ..plans.schema import col, duration, is_integer, is_time, kind, micros, require
+from ..plans.schema import col, duration, is_integer, is_time, kind, micros, own, require, row_of
 
-#: A bucket is so many windows long (and at least so many rows).
+#: A bucket is so many windows long at most, and has about so many rows if it is longer than one.
 WINDOWS, LEAST_ROWS = 16, 8192
 
 
@@ -47,15 +48,21 @@ def _metrics(df: DataFrame, y_true: str, roll_metric: object, native: bool) -> d
     return {"Metric": wrap(roll_metric)}
 
 
-def windowed(df: DataFrame, key: str, lo: int, hi: int, aggs: Callable[[object], list[Column]], length: int, by: list[str], step: int | None = None) -> DataFrame:
-    """Adds the aggregates over rows whose ``key`` is within [key + lo, key + hi], in buckets with a halo."""
+def bucket_length(df: DataFrame, key: str, window: int) -> int:
+    """How long a bucket of time is: one window where windows have many rows, several where they have few."""
+    n, first, last = df.agg(F.count(key), F.min(key), F.max(key)).first()
+    rows = (n or 0) * window / max(1, (last or 0) - (first or 0))
+    return max(1, window) * int(max(1, min(WINDOWS, LEAST_ROWS // max(1, rows))))
+
+
+def windowed(df: DataFrame, key: str, lo: int, hi: int, aggs: Callable[[object], list[Column]], length: int, by: list[str]) -> DataFrame:
+    """Adds the aggregates over rows whose ``key`` is within [key + lo, key + hi], in buckets with a halo (and a column ``bucket``)."""
     size = max(1, length)
     bucket = lambda c: F.floor(c / size).cast("long")
     first, last = bucket(F.col(key) - max(hi, 0)), bucket(F.col(key) - min(lo, 0))
-    spread = df.withColumn("_b", F.explode(F.sequence(first, last)))
-    w = W.partitionBy(*by, "_b").orderBy(key).rangeBetween(lo, hi)
-    out = spread.select("*", *aggs(w)).where(F.col("_b") == bucket(F.col(key)))
-    return out.drop("_b")
+    spread = df.withColumn("bucket", F.explode(F.sequence(first, last)))
+    w = W.partitionBy(*by, "bucket").orderBy(key).rangeBetween(lo, hi)
+    return spread.select("*", *aggs(w)).where(F.col("bucket") == bucket(F.col(key)))
 
 
 def rolling_met(
@@ -68,51 +75,53 @@ def rolling_met(
     count, ``min_periods`` has no effect, ``win_type`` is refused. ``roll_metric``: an aggregate of two
     columns, a list or a dictionary of such; with ``native=False`` functions of two arrays.
     """
-    by = partition_by or []
-    require(met_dat, [on, y_true, y_pred, *by])
+    groups = partition_by or []
+    require(met_dat, [on, y_true, y_pred, *groups])
     kw = dict(roll_kwargs or {"center": True})
     if kw.get("win_type"):
         raise ValueError("weighted windows are not supported: metrics have no weights")
     timed = is_time(kind(met_dat, on))
     window = kw.get("window", "60min" if timed else 10)
     metrics = _metrics(met_dat, y_true, roll_metric, native)
-    df = met_dat.select(col(on).alias("_on"), col(y_true).alias("_t"), col(y_pred).alias("_p"), *[col(c) for c in by], micros(met_dat, on).alias("_k"))
+    by = [f"g{k}" for k in range(len(groups))]
+    df = met_dat.select(col(on).alias("on"), col(y_true).alias("t"), col(y_pred).alias("p"), *[col(c).alias(g) for g, c in zip(by, groups, strict=True)], micros(met_dat, on).alias("k"))
     in_time = not isinstance(window, int)
     if in_time and not timed:
         raise ValueError("a window of time needs a time column")
     if in_time:
         length = duration(window)
         lo, hi = time_bounds(length, bool(kw.get("center")), kw.get("closed"))
-        key, df = "_k", df.where("_k IS NOT NULL")
-        bucket = WINDOWS * length
+        key, df = "k", df.where("k IS NOT NULL")
+        bucket = bucket_length(df, key, length)
     else:
         lo, hi = row_bounds(int(window), bool(kw.get("center")), kw.get("closed"))
         df = _numbered_by(df, by)
-        key, bucket = "_rn", max(LEAST_ROWS, WINDOWS * int(window))
+        key, bucket = "rn", max(LEAST_ROWS, WINDOWS * int(window))
 
     def aggs(w: object) -> list[Column]:
-        if lo > hi:
-            return [F.lit(None).cast("double").alias(name) for name in metrics]
-        return [m(F.col("_t"), F.col("_p")).over(w).alias(name) for name, m in metrics.items()] if native else [m(F.col("_t"), F.col("_p")).over(w).alias(name) for name, m in metrics.items()]
+        return [(F.lit(None).cast("double") if w is None else m(F.col("t"), F.col("p")).over(w)).alias(f"m{k}") for k, m in enumerate(metrics.values())]
 
     out = windowed(df, key, lo, hi, aggs, bucket, by) if lo <= hi else df.select("*", *aggs(None))
     if kw.get("step"):
-        out = (_numbered_by(out, by) if in_time else out).where((F.col("_rn") - 1) % int(kw["step"]) == 0)
-    return out.select(*[col(n) for n in metrics], F.col("_on").alias(on), *[col(c) for c in by])
+        out = (_numbered_by(out, by) if in_time else out).where((F.col("rn") - 1) % int(kw["step"]) == 0)
+    return out.select(*[F.col(f"m{k}").alias(n) for k, n in enumerate(metrics)], F.col("on").alias(on), *[F.col(g).alias(c) for g, c in zip(by, groups, strict=True)])
 
 
 def _numbered_by(df: DataFrame, by: list[str]) -> DataFrame:
-    """Row numbers in order of ``_k``, from 1 in each group of ``by``."""
+    """Row numbers in order of ``k``, from 1 in each group of ``by``."""
     if not by:
-        return numbered(df, "_k", "_t", "_p")
-    r = numbered(df, *by, "_k", "_t", "_p", out="_all")
-    first = r.groupBy(*by).agg(F.min("_all").alias("_first"))
-    return r.join(first, by).withColumn("_rn", F.col("_all") - F.col("_first") + 1).drop("_all", "_first")
+        return numbered(df, "k", "t", "p", out="rn")
+    r = numbered(df, *by, "k", "t", "p", out="all")
+    first = r.groupBy(*[F.col(c).alias(f"of_{c}") for c in by]).agg(F.min("all").alias("first"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by]
+    return r.join(first, same).withColumn("rn", F.col("all") - F.col("first") + 1).drop("all", "first", *[f"of_{c}" for c in by])
 
 
 def rolling_mean(df: DataFrame, name: str, on: str, window: str, center: bool = False, closed: str | None = None, out: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
-    """Adds the mean of a column over a window of time, trailing unless ``center``."""
-    length = duration(window)
+    """Adds the mean of a column over a window of time, trailing unless ``center``; rows without a time go."""
+    length, out = duration(window), out or f"{name}_mean"
     lo, hi = time_bounds(length, center, closed)
-    df = df.withColumn("_k", micros(df, on)).where("_k IS NOT NULL")
-    return windowed(df, "_k", lo, hi, lambda w: [F.avg(col(name)).over(w).alias(out or f"{name}_mean")], WINDOWS * length, partition_by or []).drop("_k")
+    by = [f"g{k}" for k in range(len(partition_by or []))]
+    rows = df.select(row_of(df), micros(df, on).alias("k"), col(name).alias("v"), *[col(c).alias(g) for g, c in zip(by, partition_by or [], strict=True)]).where("k IS NOT NULL")
+    got = windowed(rows, "k", lo, hi, lambda w: [F.avg("v").over(w).alias("m")], bucket_length(rows, "k", length), by)
+    return got.select(*[own(c) for c in df.columns if c != out], F.col("m").alias(out))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..plans.schema import col, require
+from ..operators.quantiles import quantiles
+from ..plans.schema import col, numeric_columns, require, value
 
 FORMATS = ("parquet", "orc", "csv", "json", "jdbc", "avro")
 
@@ -49,18 +51,11 @@ def head(df: DataFrame, n: int = 5) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, standard deviation, least and largest value, and exact quartiles: one row for each numeric column."""
-    from pyspark.sql import functions as F
-
-    from ..plans.schema import numeric_columns, value
-
     names = numeric_columns(df, columns or df.columns)
-    stats = ("count", "mean", "std", "min", "q25", "q50", "q75", "max")
-    aggs = []
-    for k, c in enumerate(names):
-        x = value(df, c)
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs += [F.count(x).alias(f"count{k}"), F.avg(x).alias(f"mean{k}"), F.stddev_samp(x).alias(f"std{k}"), F.min(x).alias(f"min{k}"), F.max(x).alias(f"max{k}"), q.alias(f"q{k}")]
-    one = df.agg(*aggs)
-    part = lambda k, s: F.col(f"q{k}")[("q25", "q50", "q75").index(s)] if s[0] == "q" else F.col(f"{s}{k}")
-    rows = [F.struct(F.lit(c).alias("column"), *[part(k, s).alias(s) for s in stats]) for k, c in enumerate(names)]
-    return one.select(F.inline(F.array(*rows)))
+    stats = {"count": F.count, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    one = df.agg(*[f(value(df, c)).alias(f"{s}{k}") for k, c in enumerate(names) for s, f in stats.items()])
+    row = lambda k, c: F.struct(F.lit(c).alias("column"), F.lit(k).alias("place"), *[F.col(f"{s}{k}").alias(s) for s in stats])
+    rows = one.select(F.inline(F.array(*[row(k, c) for k, c in enumerate(names)])))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("place"), value(df, c).alias("x")) for k, c in enumerate(names)])).alias("v")).select("v.place", "v.x")
+    inner = quantiles(long, ["place"], "x", [0.25, 0.5, 0.75]).select("place", "mean", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
+    return rows.join(F.broadcast(inner), "place", "left").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
