@@ -1,8 +1,9 @@
 """Feature-target correlations, overall and for overlapping subsets.
 
 Pearson is one masked aggregate over one scan, whatever the number of subsets: partial sums on
-the executors and one row in the end. Spearman ranks each (feature, target, subset) by counts of
-distinct values; Kendall counts pairs in sorted blocks.
+the executors and one row in the end. Spearman ranks all combinations of feature, target and subset
+together, by counts of distinct values in one ordered pass; Kendall counts pairs in sorted blocks.
+A method of the user's own gets both whole columns in one worker, for that is what it asks for.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.predicates import Subset, masks
-from ..plans.ranged import ranged, running
+from ..plans.ranged import PID, ranged, running, settled
 from ..plans.schema import as_list, col, numeric_columns, require, value
 from .asof import commonest_gap, nearest_asof
 
@@ -31,83 +32,97 @@ def pearson(x: Column, y: Column) -> Column:
     return r
 
 
-def ranks(df: DataFrame, name: str) -> DataFrame:
-    """(value, average rank) of the distinct values of a column, by running counts."""
-    counts = df.where(col(name).isNotNull()).groupBy(col(name).alias("v")).agg(F.count("*").alias("n"))
-    upto = running(ranged(counts, "v"), ["v"], F.col("n"), "upto")
-    return upto.select("v", (F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
+def spearman(df: DataFrame, wanted: list[tuple[str, str, Column | None]]) -> DataFrame:
+    """(combo, n, r) of each (x, y, condition): Pearson of the average ranks of the rows where both are known.
 
+    One scan unpivots and counts the distinct pairs of all combinations, which are written; the
+    distinct values of both sides of all of them are then put in order, and numbered, together.
+    """
+    each = []
+    for k, (x, y, cond) in enumerate(wanted):
+        a, b = value(df, x), value(df, y)
+        both = a.isNotNull() & b.isNotNull() if cond is None else a.isNotNull() & b.isNotNull() & cond
+        each.append(F.when(both, F.struct(F.lit(k).alias("combo"), a.alias("x"), b.alias("y"))))
+    long = df.select(F.explode(F.array(*each)).alias("v")).where("v is not null").select("v.*")
+    pairs = settled(long.groupBy("combo", "x", "y").agg(F.count("*").alias("n")))
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("v")) for k, c in enumerate("xy")])).alias("s")
+    counts = pairs.select("combo", "n", sides).groupBy("combo", "s.side", "s.v").agg(F.sum("n").alias("n"))
+    upto = running(ranged(counts, "combo", "side", "v"), ["combo", "side", "v"], F.col("n"), "upto")
+    sizes = upto.groupBy("combo", "side").agg(F.min(F.col("upto") - F.col("n")).alias("base"), F.sum("n").alias("all"))  # two rows for each combination
+    ranks = upto.join(F.broadcast(sizes), ["combo", "side"])
+    # the average rank, about the ranks' mean
+    ranks = ranks.select("combo", "side", "v", (F.col("upto") - F.col("base") - (F.col("n") - 1) / 2 - (F.col("all") + 1) / 2).alias("d"))
+    of = lambda side, v, d: ranks.where(F.col("side") == side).select("combo", F.col("v").alias(v), F.col("d").alias(d))
+    got = pairs.join(of(0, "x", "dx"), ["combo", "x"]).join(of(1, "y", "dy"), ["combo", "y"])
+    total = lambda c: F.sum(F.col("n") * c)
+    dx, dy = F.col("dx"), F.col("dy")
+    return got.groupBy("combo").agg(F.sum("n").alias("n"), F.try_divide(total(dx * dy), F.sqrt(total(dx * dx) * total(dy * dy))).alias("r"))
+
+
+def inversions(y: np.ndarray, n: np.ndarray) -> float:
+    """Sum of n[i] * n[j] over the pairs i < j with y[i] > y[j].
+
+    Ranks are split by one bit after the other, from the highest: of two ranks that have their higher bits in
+    common, the one with a 1 is the greater, and each level is a stable split and a running sum.
+    """
+    rank = np.unique(y, return_inverse=True)[1]
+    w, total = n.astype(float), 0.0
+    for bit in range(int(max(rank, default=0)).bit_length() - 1, -1, -1):
+        group, one = rank >> (bit + 1), (rank >> bit & 1).astype(bool)
+        ones = np.cumsum(np.where(one, w, 0.0))
+        start = np.flatnonzero(np.diff(group, prepend=-1))
+        before = np.repeat(ones[start] - np.where(one[start], w[start], 0.0), np.diff(np.append(start, len(group))))
+        total += float((w * (ones - before))[~one].sum())
+        order = np.argsort(rank >> bit, kind="stable")
+        rank, w = rank[order], w[order]
+    return total
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row (n, r): Pearson of the average ranks of the rows where both are known."""
-    both = df.select(value(df, x).alias("x"), value(df, y).alias("y")).na.drop()
-    pairs = both.groupBy("x", "y").agg(F.count("*").alias("n"))
-    rx, ry = ranks(both, "x"), ranks(both, "y")
-    got = pairs.join(rx.withColumnRenamed("rank", "rx"), pairs.x == rx.v).drop("v").join(ry.withColumnRenamed("rank", "ry"), pairs.y == ry.v)
-    # weighted moments of the distinct pairs, about the ranks' common mean
-    n = F.sum("n")
-    mean = both.agg(((F.count("*") + 1) / 2).alias("m"))
-    got = got.join(F.broadcast(mean))
-    dx, dy = F.col("rx") - F.col("m"), F.col("ry") - F.col("m")
-    return got.agg(n.alias("n"), F.try_divide(F.sum(F.col("n") * dx * dy), F.sqrt(F.sum(F.col("n") * dx * dx) * F.sum(F.col("n") * dy * dy))).alias("r"))
-
-
-def _inversions(y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Weighted numbers of pairs i < j with y[i] > y[j], and with y[i] == y[j]."""
-    _, r = np.unique(y, return_inverse=True)
-    tree = np.zeros(len(y) + 2)
-    total, more, same = 0.0, 0.0, 0.0
-    seen = np.zeros(len(y) + 1)
-    for k, w in zip(r.tolist(), n.tolist(), strict=True):
-        i, below = k + 1, 0.0
-        while i:
-            below += tree[i]
-            i &= i - 1
-        more += w * (total - below)
-        same += w * seen[k]
-        seen[k] += w
-        total += w
-        i = k + 1
-        while i < len(tree):
-            tree[i] += w
-            i += i & -i
-    return more, same
-
-
-def _discordant(pdf: pd.DataFrame, block: str, other: str | None) -> float:
-    """Pairs of a group that x and y order in opposite ways; with ``other`` only pairs from different ``other``."""
-    pdf = pdf.sort_values(["x", "y"], kind="stable")
-    more, _ = _inversions(pdf["y"].to_numpy(), pdf["n"].to_numpy(float))
-    if other is not None:
-        for _, part in pdf.groupby(other, sort=False):
-            more -= _inversions(part["y"].to_numpy(), part["n"].to_numpy(float))[0]
-    return more
+
+#: Distinct pairs in a block of Kendall's, which is worked off in one task, and blocks by blocks that one task sums up.
+BLOCK_PAIRS, MOST_BLOCKS = 2_000_000, 4_000
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, r): tau-b of the rows where both are known.
 
-    Distinct (x, y) pairs carry counts. They are cut into ranges of x and of y; opposite pairs in
-    one x range are counted in the group of that range, others in one y range in that group,
-    and all others from the numbers of rows in each (x range, y range).
+    Distinct (x, y) pairs carry counts. They are cut into ranges of (x, y) and of (y, x), of like
+    numbers of pairs, so a value that most rows share is cut too. Opposite pairs in
+    one x range are counted in that range, others in one y range in that one, and all others
+    from the numbers of rows in each (x range, y range). Pairs of different ranges are in the order of
+    these: equal values on one side are in order of the other, which is no opposition.
     """
     both = df.select(value(df, x).alias("x"), value(df, y).alias("y")).na.drop()
     pairs = both.groupBy("x", "y").agg(F.count("*").alias("n"))
-    bx = ranged(pairs.select("x").distinct(), "x").withColumnRenamed("_pid", "bx")
-    by = ranged(pairs.select("y").distinct(), "y").withColumnRenamed("_pid", "by")
-    cells = pairs.join(bx, "x").join(by, "y")
-    count = lambda block, other: cells.groupBy(block).applyInPandas(lambda pdf: pd.DataFrame({"d": [_discordant(pdf, block, other)]}), "d double")
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_x = ranged(pairs, "x", "y", partitions=least).withColumnRenamed(PID, "bx")
+    size = by_x.count()
+    blocks = min(MOST_BLOCKS, max(least, -(-size // BLOCK_PAIRS)))
+    if blocks > least:
+        by_x = ranged(by_x.drop("bx"), "x", "y", partitions=blocks).withColumnRenamed(PID, "bx")
+    cells = ranged(by_x, "y", "x", partitions=blocks).withColumnRenamed(PID, "by")
+
+    def opposite(pdf: pd.DataFrame, apart: str | None) -> float:
+        """Opposite pairs; with ``apart`` only those from different ones of these."""
+        pdf = pdf.sort_values(["x", "y"], kind="stable")
+        more = inversions(pdf["y"].to_numpy(), pdf["n"].to_numpy())
+        if apart is not None:
+            more -= sum(inversions(part["y"].to_numpy(), part["n"].to_numpy()) for _, part in pdf.groupby(apart, sort=False))
+        return more
+
+    count = lambda block, apart: cells.groupBy(block).applyInPandas(lambda pdf: pd.DataFrame({"d": [opposite(pdf, apart)]}), "d double")
     grid = cells.groupBy("bx", "by").agg(F.sum("n").cast("double").alias("n"))
 
-    def far(pdf: pd.DataFrame) -> pd.DataFrame:  # ranges of x by ranges of y: bounded by the partitions
+    def far(pdf: pd.DataFrame) -> pd.DataFrame:  # at most MOST_BLOCKS by MOST_BLOCKS numbers
         m = pdf.pivot_table(index="bx", columns="by", values="n", fill_value=0.0).sort_index().sort_index(axis=1).to_numpy()
-        below = np.cumsum(m, axis=1) - m
+        if not m.size:
+            return pd.DataFrame({"d": [0.0]})
         later = np.cumsum(m[::-1], axis=0)[::-1] - m  # rows of later x ranges
-        return pd.DataFrame({"d": [float((m * (np.cumsum(later, axis=1) - later)).sum())]}) if below.size else pd.DataFrame({"d": [0.0]})
+        return pd.DataFrame({"d": [float((m * (np.cumsum(later, axis=1) - later)).sum())]})
 
     total = count("bx", None).union(count("by", "bx")).union(grid.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(far, "d double")).agg(F.sum("d").alias("d"))
-    ties = lambda c: pairs.groupBy(c).agg(F.sum("n").cast("double").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{c}"))
-    n = pairs.agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("txy"))
+    ties = lambda c: cells.groupBy(c).agg(F.sum("n").cast("double").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{c}"))
+    n = cells.agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("txy"))
     one = total.join(F.broadcast(n)).join(F.broadcast(ties("x"))).join(F.broadcast(ties("y")))
     pairs_all = F.col("n") * (F.col("n") - 1) / 2
     up = pairs_all - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.coalesce("d", F.lit(0.0))
@@ -157,10 +172,14 @@ def correlations(df: DataFrame, f_col: list[str], y_col: list[str], conditions:
         return out
     if method not in ("spearman", "kendall"):
         raise ValueError(f"unknown method {method!r}")
-    one, out = {"spearman": spearman, "kendall": kendall}[method], None
+    if method == "spearman":
+        got = spearman(df, [(f, y, cond) for f, y, _, cond in wanted])
+        names = spark.createDataFrame([(k, f, y, name) for k, (f, y, name, _) in enumerate(wanted)], "combo int, feature string, target string, subset string")
+        return F.broadcast(names).join(got, "combo", "left").select("feature", "target", "subset", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "r")
+    out = None
     for f, y, name, cond in wanted:
         own = df if cond is None else df.where(cond)
-        part = one(own, f, y).select(F.lit(f).alias("feature"), F.lit(y).alias("target"), F.lit(name).alias("subset"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "r")
+        part = kendall(own, f, y).select(F.lit(f).alias("feature"), F.lit(y).alias("target"), F.lit(name).alias("subset"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "r")
         out = part if out is None else out.union(part)
     return out
 
