@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import metrics as M
 from tidegauge.operators import bins, box, ml, rolling, sample
+from tidegauge.operators.quantiles import quantiles
 from tidegauge.plans.catalogue import QUERIES
 from tidegauge.plans.schema import duration
 
@@ -57,22 +58,58 @@ def test_bin_arguments(spark):
     assert box.boxplot_vx(df, ["x", "z"], ["y"], bins=[2, 3], xrange=[(0, 1), None]).count() == 5
 
 
-@pytest.mark.parametrize(("n", "take"), [(1, 0), (2, 1), (3, 2), (5, 2), (7, 4), (9, 4)])
-def test_sample_sizes_round_half_to_even(spark, n, take):
-    df = spark.range(n).select("id", F.lit(0.5).alias("x"), F.col("id").alias("t"), F.col("id").alias("p"))
-    rows = bins.binned(df, {"x": bins.Edges([0.0, 1.0])}, F.col("t"), F.col("p"), F.col("id").cast("string").alias("k"))
-    sizes = rows.groupBy("x_col", "bin").agg(F.rint(0.5 * F.count("*")).alias("take"))
-    each = rows.withColumn("fold", F.lit(0)).withColumn("h", F.md5(F.concat_ws(":", "k", "fold").cast("binary")))
-    assert box._lowest(each, sizes).count() == take
+def brute_sample(keys, fold, frac=0.5):
+    return sorted(keys, key=lambda k: (hashlib.md5(f"{k}:{fold}".encode()).hexdigest(), str(k)))[: round(frac * len(keys))]
 
 
-def test_lowest_hashes_are_the_rank_order(spark):
-    df = spark.range(3000).select("id", F.lit(0.5).alias("x"))
-    rows = bins.binned(df, {"x": bins.Edges([0.0, 1.0])}, F.col("id").alias("t"), F.col("id").alias("p"), F.col("id").cast("string").alias("k"))
-    each = rows.withColumn("fold", F.lit(1)).withColumn("h", F.md5(F.concat_ws(":", "k", "fold").cast("binary")))
-    sizes = rows.groupBy("x_col", "bin").agg(F.lit(700.0).alias("take"))
-    got = {r.t for r in box._lowest(each, sizes).collect()}
-    assert got == {r.t for r in each.orderBy("h", "k").limit(700).collect()}
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 9, 3000])
+def test_samples_are_the_lowest_hashes(spark, n):
+    df = spark.range(n).select("id", F.lit(0.5).alias("x"), F.lit(0).alias("t"), F.pow(2.0, F.col("id") % 40).alias("p"))
+    seen = []
+    metric = lambda t, p: seen.append(1) or F.sum("p")
+    got = box.boxplot_metvx(df, ["x"], ["t"], ["p"], ["id"], metric, kfolds=3, bins=1, xrange=[0, 1]).first()
+    sums = [sum(2.0 ** (k % 40) for k in brute_sample(range(n), fold)) for fold in range(3)]
+    assert got.n == n and [got["mean"], got.med] == pytest.approx([np.mean(sums), np.median(sums)] if n > 1 else [0, 0])
+
+
+def test_last_rows_outside_the_first_stretch_are_found(spark, monkeypatch):
+    monkeypatch.setattr(box, "SIGMAS", 0.0)
+    monkeypatch.setattr(box, "WIDER", 3.0)
+    rows = spark.range(2000).select(F.lit("x").alias("x_col"), F.lit(0).alias("bin"), F.col("id").cast("string").alias("k"))
+    widths = []
+    real = spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **kw: widths.append(len(data)) or real(data, *a, **kw))
+    samples = [("x", 0, fold, 2000, take) for fold, take in enumerate([0, 1, 700, 1000, 1999, 2000])]
+    monkeypatch.setattr(box, "SIGMAS", 0.02)
+    got = {r[2]: r[3:] for r in box._last_drawn(rows, samples)}
+    for _, _, fold, _, take in samples:
+        order = sorted((hashlib.md5(f"{k}:{fold}".encode()).hexdigest(), str(k)) for k in range(2000))
+        assert got.get(fold) == (None if take == 0 else ("g", "") if take == 2000 else order[take - 1])
+    assert len(widths) > 1
+
+
+def test_rows_of_equal_keys_are_drawn_together(spark):
+    df = spark.range(400).select((F.col("id") % 2).alias("k"), F.lit(0.5).alias("x"), F.lit(0).alias("t"), F.lit(1.0).alias("p"))
+    got = box.boxplot_metvx(df, ["x"], ["t"], ["p"], ["k"], lambda t, p: F.sum("p"), kfolds=4, bins=1, xrange=[0, 1]).first()
+    assert got["mean"] == 200.0
+
+
+def test_quantiles_equal_numpy_over_many_ranges(spark):
+    rng = np.random.default_rng(7)
+    p = pd.DataFrame({"g": rng.choice(["hot", "b", "c"], 3000, p=[0.9, 0.08, 0.02]), "v": np.where(rng.random(3000) < 0.4, 5.0, rng.normal(size=3000).round(2))})
+    probs = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    got = {r.g: r for r in quantiles(spark.createDataFrame(p), ["g"], "v", probs).collect()}
+    for g, own in p.groupby("g"):
+        assert got[g].n == len(own) and got[g]["mean"] == pytest.approx(own.v.mean())
+        assert [got[g][f"q{k}"] for k in range(len(probs))] == pytest.approx(np.quantile(own.v, probs).tolist())
+
+
+def test_median_errors_of_folds_leave_the_groups_spread(spark):
+    df = spark.range(600).select("id", (F.col("id") % 5 * 1.0).alias("x"), F.rand(3).alias("t"), F.rand(4).alias("p"))
+    args = (df, ["x"], ["t"], ["p"], ["id"])
+    a = box.boxplot_metvx(*args, M.medae, kfolds=5, bins=3).orderBy("bin").collect()
+    b = box.boxplot_metvx(*args, lambda t, p: M.medae(t, p), kfolds=5, bins=3).orderBy("bin").collect()
+    assert [[r[c] for c in ("n", *box.STATS)] for r in a] == [pytest.approx([r[c] for c in ("n", *box.STATS)]) for r in b]
 
 
 def test_metric_boxes(spark):
@@ -197,10 +234,56 @@ def test_training(spark):
     out = ml.predict(model, df, ["x"], "y")
     assert out.columns == ["id", "x", "y", "y_pred"] and out.agg(M.mse(F.col("y"), F.col("y_pred"))).first()[0] < 1
     found = ml.tune(tree, {"maxDepth": [1, 5]}, df, ["x"], "y", ["id"], scoring=["r2", "mse"], refit=False)
-    assert len(found.rows) == 2 * 4 and len(ml.grid([{"a": [1, 2], "b": [3]}, {"a": [5]}])) == 3
+    assert len(found.rows) == 2 * 4 and found.best == 1 and len(ml.grid([{"a": [1, 2], "b": [3]}, {"a": [5]}])) == 3
 
 
 def test_durations():
     assert duration("90min") == 5_400_000_000 and duration(2, "h") == duration("2h") and duration(pd.Timedelta("1s")) == 1_000_000
     with pytest.raises(ValueError):
         duration("3 parsecs")
+
+
+def test_scores_have_directions_and_unknown_ones_are_refused(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    df = spark.range(300).select("id", (F.col("id") % 20).alias("x"), ((F.col("id") % 20) * 2.0 + F.rand(1)).alias("y"), (F.col("id") % 20 > 9).cast("int").alias("c"))
+    best = lambda scoring, y="y", tree=None: ml.tune(tree or DecisionTreeRegressor(), {"maxDepth": [1, 5]}, df, ["x"], y, ["id"], scoring=scoring, refit=False).best
+    assert [best(s) for s in (None, "r2", "mse", "mae", "neg_mean_absolute_error", M.neg_mae)] == [1] * 6
+    assert best(M.mae) == 0  # a metric of the caller's own: the more, the better
+    assert best(["mse", "mae"]) == 1 and best({"a": "neg_mean_squared_error", "b": "mae"}) == 1
+    with pytest.raises(ValueError, match="unknown score"):
+        best("r_two")
+    tree = DecisionTreeClassifier()
+    assert ml.scorers(tree, None) == {"score": (M.accuracy, 1)} and ml.scorers(DecisionTreeRegressor(), None)["score"][0] is M.r2
+    assert best(None, "c", tree) == 0
+    undefined = ml.tune(DecisionTreeRegressor(), {"maxDepth": [1, 2]}, df.withColumn("y", F.lit(1.0)), ["x"], "y", ["id"], scoring="r2", refit=False)
+    assert undefined.best == 0 and {v for _, _, v in undefined.rows} == {None}
+
+
+def test_training_with_clashing_names(spark):
+    from pyspark.ml.regression import LinearRegression
+
+    names = ["id", "features", "target", "fold", "prediction", "row", "_features", "_fold", "x0"]
+    df = spark.range(60).select("id", *[(F.col("id") * (k + 2) % (7 + k)).cast("double").alias(n) for k, n in enumerate(names[1:])])
+    model = ml.train(df, ["features", "x0"], "target", LinearRegression(), ["id", "fold"], {"regParam": [0.0, 0.5]}, {"scoring": "mse"}, grid_ratio=None)
+    out = ml.predict(model, df, ["features", "x0"], "target")
+    assert out.columns == [*names, "target_pred"] and out.drop("target_pred").exceptAll(df).count() == 0
+
+
+def test_rolling_with_clashing_names(spark):
+    names = ["k", "rn", "on", "t", "p", "g0", "bucket", "_b", "_k"]
+    df = spark.range(30).select(F.timestamp_micros(F.col("id") * 60_000_000).alias("ts"), *[(F.col("id") % (k + 2)).cast("double").alias(n) for k, n in enumerate(names)])
+    got = rolling.rolling_mean(df, "k", "ts", "5min", partition_by=["g0"])
+    assert got.columns == [*df.columns, "k_mean"] and got.drop("k_mean").exceptAll(df).count() == 0
+    out = rolling.rolling_met(df, "t", "p", "ts", {"window": 3}, {"k": M.mae}, partition_by=["bucket", "rn"])
+    assert out.columns == ["k", "ts", "bucket", "rn"] and out.count() == 30
+    nulls = rolling.rolling_met(df.withColumn("bucket", F.when(F.col("bucket") > 3, F.col("bucket"))), "t", "p", "ts", {"window": 3}, {"k": M.mae}, partition_by=["bucket"])
+    assert nulls.count() == 30
+
+
+def test_buckets_of_dense_windows_are_short(spark):
+    key = lambda n: spark.range(n).select((F.col("id") * 1000).alias("k"))
+    assert rolling.bucket_length(key(100_000), "k", 50_000_000) == 50_000_000
+    assert rolling.bucket_length(key(100_000), "k", 1_000_000) == 8_000_000
+    assert rolling.bucket_length(key(10), "k", 1000) == 16_000 and rolling.bucket_length(key(0), "k", 10) == 160

@@ -7,22 +7,32 @@ from dataclasses import dataclass, field
 from itertools import product
 
 from pyspark.ml import Estimator, Model
+from pyspark.ml.classification import Classifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.metrics import NAMED, mse
-from ..plans.schema import col, require
-from .sample import folds, subsample
+from ..functions.metrics import LESS_IS_BETTER, NAMED
+from ..plans.schema import col, own, require, row_of
+from .sample import fold_of, subsample
 
-FEATURES, FOLD = "_features", "_fold"
+FEATURES = "features"
 
 
-def assembled(df: DataFrame, f_col: list[str]) -> DataFrame:
+def assembled(df: DataFrame, f_col: list[str], out: str) -> DataFrame:
     """Adds the feature vector; rows with undefined features are refused by the assembler."""
     require(df, f_col)
-    return VectorAssembler(inputCols=f_col, outputCol=FEATURES).transform(df)
+    return VectorAssembler(inputCols=f_col, outputCol=out).transform(df)
+
+
+def inputs(df: DataFrame, f_col: list[str], y_col: str, more: dict[str, Column] | None = None) -> tuple[DataFrame, str, str]:
+    """(table, vector's name, target's name): the vector and the target under names of their own, and more columns beside them."""
+    more = more or {}
+    names = [f"x{k}" for k in range(len(f_col))]
+    require(df, [*f_col, y_col])
+    rows = df.select(*[col(c).alias(n) for n, c in zip(names, f_col, strict=True)], col(y_col).alias("target"), *[c.alias(n) for n, c in more.items()])
+    return assembled(rows, names, FEATURES).select(FEATURES, "target", *more), FEATURES, "target"
 
 
 def seeded(estimator: Estimator, random_state: int) -> tuple[Estimator, int]:
@@ -55,7 +65,7 @@ class GridResult:
 def multi_score(scores: DataFrame) -> DataFrame:
     """(candidate, rms) of a table (candidate, score, value): each score scaled to 0..1, then root mean square.
 
-    A score without spread counts 0 for all. The best candidate is the first by rms, then number.
+    A score without spread, or undefined, counts 0. The best candidate is the first by rms, then number.
     """
     w = W.partitionBy("score")
     spread = F.max("value").over(w) - F.min("value").over(w)
@@ -67,36 +77,57 @@ def best_candidate(scores: DataFrame) -> int:
     return multi_score(scores).orderBy(F.desc("rms"), "candidate").limit(1).first()["candidate"]
 
 
+def scorers(estimator: Estimator, scoring: str | list[str] | dict[str, str | Callable] | None) -> dict[str, tuple[Callable, int]]:
+    """(metric, sign) by the score's name: 1 where more is better, -1 for errors.
+
+    Without ``scoring`` it is the estimator's own: accuracy for classifiers, else r2. A metric of the
+    caller's own is better the greater it is. Unknown names raise ValueError.
+    """
+    if scoring is None:
+        scoring = "accuracy" if isinstance(estimator, Classifier) else "r2"
+    named = {"score": scoring} if isinstance(scoring, str) or callable(scoring) else {s: s for s in scoring} if isinstance(scoring, list) else dict(scoring)
+    out = {}
+    for name, m in named.items():
+        if isinstance(m, str) and m not in NAMED:
+            raise ValueError(f"unknown score {m!r}; known are {sorted(NAMED)}")
+        out[name] = (NAMED[m], -1 if m in LESS_IS_BETTER else 1) if isinstance(m, str) else (m, 1)
+    return out
+
+
 def tune(
     estimator: Estimator, grid_param: dict | list[dict], df: DataFrame, f_col: list[str], y_col: str, key: list[str], cv: int = 3,
-    scoring: str | list[str] | dict[str, Callable] | None = None, refit: bool = True, random_state: int = 17,
+    scoring: str | list[str] | dict[str, str | Callable] | None = None, refit: bool = True, random_state: int = 17,
 ) -> GridResult:
     """Cross-validates every candidate on hash folds of ``key``.
 
     One score: its mean over the test folds decides. Several: means of train and test folds are
-    combined as in ``multi_score``. With ``refit`` the best candidate is fitted on all rows.
+    combined as in ``multi_score``, errors with their sign turned. A mean is undefined (None) if a fold's
+    score is, and then the worst. With ``refit`` the best candidate is fitted on all rows.
     """
-    names = {"score": scoring} if isinstance(scoring, str) else {"score": "r2"} if scoring is None else {s: s for s in scoring} if isinstance(scoring, list) else dict(scoring)
-    metrics = {k: NAMED.get(m, mse) if isinstance(m, str) else m for k, m in names.items()}
-    data = folds(assembled(df, f_col), key, cv, random_state, FOLD).select(FEATURES, col(y_col).alias("_y"), *[col(k) for k in key if k != y_col], FOLD).cache()
+    metrics = scorers(estimator, scoring)
+    data, vector, label = inputs(df, f_col, y_col, {"fold": fold_of(df, key, cv, random_state)})
+    data.cache()
     result = GridResult(grid(grid_param))
-    target = {"featuresCol": FEATURES, "labelCol": "_y"}
-    sums: dict[tuple[int, str], float] = {}
+    target = {"featuresCol": vector, "labelCol": label}
+    means: dict[tuple[int, str], float | None] = {}
     for c, params in enumerate(result.params):
         own = estimator.copy({estimator.getParam(k): v for k, v in {**target, **params}.items()})
-        for fold in range(cv):
-            model = own.fit(data.where(F.col(FOLD) != fold))
-            scored = model.transform(data).groupBy((F.col(FOLD) == fold).alias("test")).agg(*[m(F.col("_y"), F.col("prediction")).alias(k) for k, m in metrics.items()])
-            for row in scored.collect():
+        for part in range(cv):
+            model = own.fit(data.where(F.col("fold") != part))
+            scored = model.transform(data).groupBy((F.col("fold") == part).alias("test")).agg(*[m(F.col(label), F.col("prediction")).alias(k) for k, (m, _) in metrics.items()])
+            for row in scored.collect():  # two rows
                 for k in metrics:
-                    which = f"mean_{'test' if row['test'] else 'train'}_{k}"
-                    sums[c, which] = sums.get((c, which), 0.0) + (row[k] or 0.0) / cv
-    result.rows = [(c, k, v) for (c, k), v in sorted(sums.items())]
+                    which = c, f"mean_{'test' if row['test'] else 'train'}_{k}"
+                    upto = means.get(which, 0.0)
+                    means[which] = None if upto is None or row[k] is None else upto + row[k] / cv
+    result.rows = [(c, k, v) for (c, k), v in sorted(means.items())]
+    sign = {k: s for k, (_, s) in metrics.items()}
+    turned = [(c, k, None if v is None else v * sign[k.split("_", 2)[2]]) for c, k, v in result.rows]
     if len(metrics) > 1:
-        result.best = best_candidate(df.sparkSession.createDataFrame(result.rows, "candidate int, score string, value double"))
+        result.best = best_candidate(df.sparkSession.createDataFrame(turned, "candidate int, score string, value double"))
     else:
-        test = f"mean_test_{next(iter(metrics))}"
-        result.best = min(range(len(result.params)), key=lambda c: (-sums[c, test], c))
+        test = {c: v for c, k, v in turned if k.startswith("mean_test_")}
+        result.best = min(range(len(result.params)), key=lambda c: (test.get(c) is None, -(test.get(c) or 0.0), c))
     if refit:
         own = estimator.copy({estimator.getParam(k): v for k, v in {**target, **result.params[result.best]}.items()})
         result.model = own.fit(data)
@@ -116,11 +147,16 @@ def train(
         part = subsample(df, key, grid_ratio, random_state) if grid_ratio and grid_ratio < 1 else df
         found = tune(estimator, grid_params, part, f_col, y_col, key, **{"refit": False, "random_state": random_state, **(grid_kwargs or {})})
         chosen = found.params[found.best]
-    own = estimator.copy({estimator.getParam(k): v for k, v in {"featuresCol": FEATURES, "labelCol": y_col, **chosen}.items()})
-    return own.fit(assembled(df, f_col))
+    data, vector, label = inputs(df, f_col, y_col)
+    own = estimator.copy({estimator.getParam(k): v for k, v in {"featuresCol": vector, "labelCol": label, **chosen}.items()})
+    return own.fit(data)
 
 
 def predict(model: Model, df: DataFrame, f_col: list[str], y_col: str) -> DataFrame:
     """``df`` with ``<y_col>_pred``."""
-    out = model.transform(assembled(df, f_col)).withColumnRenamed("prediction", f"{y_col}_pred")
-    return out.select(*[col(c) for c in df.columns], col(f"{y_col}_pred"))
+    require(df, f_col)
+    vector = model.getFeaturesCol()
+    names = [f"x{k}" for k in range(len(f_col))]
+    rows = df.select(row_of(df), *[col(c).alias(n) for n, c in zip(names, f_col, strict=True)])
+    out = model.transform(assembled(rows, names, vector))
+    return out.select(*[own(c) for c in df.columns], F.col("prediction").alias(f"{y_col}_pred"))

@@ -33,6 +33,11 @@ def subsample(df: DataFrame, key: list[str], fraction: float, seed: int = 17) ->
     return df.where(hash_fraction(hash_key(df, key), seed) < fraction)
 
 
+def fold_of(df: DataFrame, key: list[str], n: int = 3, seed: int = 17) -> Column:
+    """A row's fold for cross-validation."""
+    return F.floor(hash_fraction(hash_key(df, key), seed) * n).cast("int")
+
+
 def folds(df: DataFrame, key: list[str], n: int = 3, seed: int = 17, name: str = "fold") -> DataFrame:
     """Adds a fold number for cross-validation."""
-    return df.withColumn(name, F.floor(hash_fraction(hash_key(df, key), seed) * n).cast("int"))
+    return df.withColumn(name, fold_of(df, key, n, seed))

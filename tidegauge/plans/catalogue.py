@@ -92,6 +92,18 @@ def _(spark, d):
     return rounded(corr.cor_matrix(["l_quantity"], [PRICE, "l_discount"], df, cat_dat=[lambda t: t.l_quantity > 25, "o", lambda t: t.l_tax < 0.03]))
 
 
+NULLED = "SELECT *, nullif(l_linenumber, 3) AS a, CASE WHEN l_quantity > 40 THEN NULL ELSE l_discount END AS b FROM lineitem"
+
+
+def nulled(spark, d):
+    return read(spark, d, "lineitem").withColumns({"a": F.nullif("l_linenumber", F.lit(3)), "b": F.when(~(F.col("l_quantity") > 40), F.col("l_discount"))})
+
+
+@query("q_corr_nulls", matrix_sql(NULLED, ["a", "b", "l_tax"], [("All:l_extendedprice", PRICE, "TRUE"), ("All:b", "b", "TRUE"), ("some:l_extendedprice", PRICE, "coalesce(a > 2, FALSE)"), ("some:b", "b", "coalesce(a > 2, FALSE)")]))
+def _(spark, d):
+    return rounded(corr.cor_matrix(["a", "b", "l_tax"], [PRICE, "b"], nulled(spark, d), cat_dat={"some": lambda t: t.a > 2}))
+
+
 @query("q_corr_const", "SELECT 'one' AS feature, CAST(NULL AS DOUBLE) AS \"All\"")
 def _(spark, d):
     return corr.cor_matrix(["one"], ["p_retailprice"], read(spark, d, "part").withColumn("one", F.lit(1)))
@@ -107,6 +119,11 @@ def _(spark, d):
     return rounded(corr.cor_matrix(["p_size", "p_partkey"], ["p_retailprice"], read(spark, d, "part"), cor_meth="spearman"))
 
 
+@query("q_corr_spearman_cat", " UNION ALL ".join(f"SELECT * FROM ({spearman_sql('part', x, 'p_retailprice')}) JOIN (SELECT \"All\" AS \"large\" FROM ({spearman_sql('(SELECT * FROM part WHERE p_size > 25)', x, 'p_retailprice')})) ON TRUE" for x in ("p_size", "p_partkey")))
+def _(spark, d):
+    return rounded(corr.cor_matrix(["p_size", "p_partkey"], ["p_retailprice"], read(spark, d, "part"), cat_dat={"large": lambda t: t.p_size > 25}, cor_meth="spearman"))
+
+
 @query("q_corr_kendall", """
     WITH p AS (SELECT p_size AS x, p_retailprice AS y FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL),
     s AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) / 2.0 AS c, sum((a.x = b.x)::INT) AS tx, sum((a.y = b.y)::INT) AS ty, count(*) AS nn FROM p a, p b),
@@ -184,6 +201,16 @@ for _name, _periods, _orig, _drop in (("q_shift", [60, 120, 180], True, False),
         return rounded(lag.feat_shift(hourly(spark, d), "t", p, drop_orig=not o, drop_na=n))
 
 
+FIVE_SQL = "f AS (SELECT to_timestamp(floor(epoch(ts) / 300) * 300)::TIMESTAMP AS t, avg(value) AS value FROM events GROUP BY 1)"
+
+
+@query("q_shift_default", f"WITH {FIVE_SQL} SELECT f.t, round(f.value, 6) AS value, round(s.value, 6) AS \"value 5 min\" FROM f JOIN f s ON s.t = f.t - INTERVAL 5 MINUTE")
+def _(spark, d):
+    t = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 300) * 300).cast("timestamp_ntz")
+    five = read(spark, d, "events").groupBy(t.alias("t")).agg(F.avg("value").alias("value"))
+    return rounded(lag.feat_shift(five, "t"))
+
+
 GAPPY_SQL = f"{HOURLY_SQL}, g AS (SELECT t, CASE WHEN hour(t) % 3 <> 1 THEN value END AS value, row_number() OVER (ORDER BY t) AS rn FROM h)"
 
 
@@ -240,6 +267,18 @@ def _(spark, d):
     return rounded(prep.prepared(df, ["l_quantity", "l_tax"], [PRICE], ["l_tax"], ["a"], key=KEY_SQL.split(", ")))
 
 
+@query("q_create_nulls", f"SELECT {KEY_SQL}, l_quantity, round(log10(a), 6) AS log10_a, {_cyclic_sql('l_discount * 100', '24.0').replace('_a', '_h')}, round(l_extendedprice, 2) AS l_extendedprice FROM ({NULLED}) WHERE a IS NOT NULL AND b IS NOT NULL AND a > 0")
+def _(spark, d):
+    df = nulled(spark, d).withColumn("h", F.col("b") * 100)
+    return rounded(prep.prepared(df, ["l_quantity", "a"], [PRICE], ["a"], ["h"], key=KEY_SQL.split(", ")))
+
+
+@query("q_create_tcol", f"SELECT {KEY_SQL}, l_quantity, l_shipdate, l_returnflag FROM lineitem")
+def _(spark, d):
+    x, _ = prep.create(read(spark, d, "lineitem"), ["l_quantity"], [PRICE], t_col=["l_shipdate", "l_returnflag"], key=KEY_SQL.split(", "))
+    return x
+
+
 @query("q_create_360", f"SELECT {KEY_SQL}, l_quantity, {_cyclic_sql('l_linenumber * 51.0', '360.0')} FROM lineitem")
 def _(spark, d):
     df = read(spark, d, "lineitem").withColumn("a", F.col("l_linenumber") * 51.0)
@@ -316,6 +355,12 @@ def _(spark, d):
     return boxed(box.boxplot_metvx(labelled(spark, d), ["n_chars"], ["quality"], ["toxic"], ["doc_id"], kfolds=10, bins=8, xrange=[30000, 400000]), 6, 1)
 
 
+@query("q_metbox_callable", metbox_sql(f"({LABELLED})", "n_chars", "quality", "toxic", "doc_id", "max(abs(t - p))::DOUBLE + count(*)", 6, 0, 12000, 4, 0.5, 6))
+def _(spark, d):
+    own = lambda t, p: float(abs(t - p).max() + len(t))
+    return boxed(box.boxplot_metvx(labelled(spark, d), ["n_chars"], ["quality"], ["toxic"], ["doc_id"], own, kfolds=4, bins=6, xrange=[0, 12000], native=False), 6, 1)
+
+
 @query("q_metbox_default")
 def _(spark, d):
     return boxed(box.boxplot_metvx(labelled(spark, d), ["n_chars"], ["quality"], ["toxic"], ["doc_id"]), 6, 1)
@@ -362,6 +407,16 @@ _roll("q_roll_closed_both", "ROWS BETWEEN 6 PRECEDING AND CURRENT ROW", {"Metric
 _roll("q_roll_closed_neither", "ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING", {"Metric": MAE_SQL}, {"window": 6, "closed": "neither"}, M.mae)
 
 
+for _closed, _from, _to in (("left", "5400000000 MICROSECONDS PRECEDING", "1 MICROSECOND PRECEDING"), ("both", "5400000000 MICROSECONDS PRECEDING", "0 MICROSECONDS FOLLOWING"), ("neither", "5399999999 MICROSECONDS PRECEDING", "1 MICROSECOND PRECEDING")):
+    _roll(f"q_roll_time_{_closed}", f"RANGE BETWEEN INTERVAL {_from} AND INTERVAL {_to}", {"Metric": MAE_SQL}, {"window": "90min", "closed": _closed}, M.mae)
+
+
+@query("q_roll_callable", "SELECT max(abs(quality - toxic) + doc_id % 7 * 0) OVER w + count(*) OVER w::DOUBLE AS \"Metric\", doc_id FROM labels WINDOW w AS (ORDER BY doc_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+def _(spark, d):
+    own = lambda t, p: float(abs(t - p).max() + len(t))
+    return rolling.rolling_met(read(spark, d, "labels"), "quality", "toxic", "doc_id", {"window": 5}, own, native=False)
+
+
 @query("q_roll_acc", "SELECT round(avg((quality = toxic)::INT) OVER (ORDER BY doc_id ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING), 6) AS \"Accuracy\", doc_id FROM labels")
 def _(spark, d):
     return rounded(rolling.rolling_met(read(spark, d, "labels"), "quality", "toxic", on="doc_id"))
@@ -433,6 +488,19 @@ def _(spark, d):
     return count(train, "train").union(count(test, "test"))
 
 
+@query("q_subsample", "SELECT o_orderkey, o_custkey FROM orders WHERE substr(md5(concat_ws(':', o_orderkey, '17')), 1, 8) <= '4ccccccc'")
+def _(spark, d):
+    return sample.subsample(read(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 0.3)
+
+
+FOLD_SQL = "CASE WHEN substr(md5(concat_ws(':', {key}, '17')), 1, 8) <= '55555555' THEN 0 WHEN substr(md5(concat_ws(':', {key}, '17')), 1, 8) <= 'aaaaaaaa' THEN 1 ELSE 2 END"
+
+
+@query("q_folds", f"SELECT o_orderkey, {FOLD_SQL.format(key='o_orderkey')}::INT AS fold FROM orders")
+def _(spark, d):
+    return sample.folds(read(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
 @query("q_describe", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50, round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max FROM (SELECT p_size::DOUBLE AS p_size, p_retailprice FROM part)" for c in ("p_size", "p_retailprice")))
 def _(spark, d):
     return rounded(tables.describe(read(spark, d, "part"), ["p_size", "p_retailprice"]), 4)
@@ -464,38 +532,123 @@ def _(spark, d):
     return reshape.limits(read(spark, d, "lineitem"), ["l_quantity", "l_tax"])
 
 
-SCORES = [(0, "a", 1.0), (1, "a", 3.0), (2, "a", 2.0), (0, "b", 0.5), (1, "b", 0.25), (2, "b", 0.5), (0, "c", 7.0), (1, "c", 7.0), (2, "c", 7.0)]
+SCORE_SQL = "s AS (SELECT p_size AS candidate, unnest(['mean_test_price', 'mean_train_count', 'mean_test_same']) AS score, unnest([avg(p_retailprice), count(*)::DOUBLE, 1.0]) AS value FROM part GROUP BY p_size)"
 
 
-@query("q_multi_score", f"WITH s(candidate, score, value) AS (VALUES {', '.join(map(str, SCORES))}), n AS (SELECT candidate, coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 0.0) AS s FROM s WINDOW w AS (PARTITION BY score)) SELECT candidate, round(sqrt(avg(s * s)), 6) AS rms FROM n GROUP BY candidate")
+@query("q_multi_score", f"WITH {SCORE_SQL}, n AS (SELECT candidate, coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 0.0) AS s FROM s WINDOW w AS (PARTITION BY score)) SELECT candidate, round(sqrt(avg(s * s)), 6) AS rms FROM n GROUP BY candidate")
 def _(spark, d):
-    return rounded(ml.multi_score(spark.createDataFrame(SCORES, "candidate int, score string, value double")))
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("score"), v.cast("double").alias("value")) for n, v in (("mean_test_price", F.col("price")), ("mean_train_count", F.col("n")), ("mean_test_same", F.lit(1)))]))
+    scores = read(spark, d, "part").groupBy(F.col("p_size").alias("candidate")).agg(F.avg("p_retailprice").alias("price"), F.count("*").alias("n")).select("candidate", each)
+    return rounded(ml.multi_score(scores))
 
 
-@query("q_train_rf")
-def _(spark, d):
-    """A forest fitted on the train split: its error on the test split beside that of the mean."""
+def test_rows_sql() -> str:
+    return f"substr(md5(concat_ws(':', {LINE_HASH}, '17')), 1, 8) <= '4ccccccc'"
+
+
+#: With one feature of two values every tree of depth one splits between them: a forest without resampling, and boosting, predict the train split's means.
+MEANS_SQL = f"WITH t AS (SELECT *, l_linestatus = 'O' AS o, {test_rows_sql()} AS test FROM lineitem), m AS (SELECT o, avg(l_extendedprice) AS mean FROM t WHERE NOT test GROUP BY o) SELECT o::INT AS o, count(*) AS n, round(any_value(mean), 2) AS pred, round(avg((l_extendedprice - mean) * (l_extendedprice - mean)), 0) AS mse FROM t JOIN m USING (o) WHERE test GROUP BY o"
+
+
+def _trained(name: str, estimator: Callable) -> None:
+    @query(name, MEANS_SQL)
+    def _(spark, d):
+        df = read(spark, d, "lineitem").withColumn("o", (F.col("l_linestatus") == "O").cast("int"))
+        train, test = sample.split(df, LINE_KEY)
+        out = ml.predict(ml.train(train, ["o"], PRICE, estimator(), LINE_KEY), test, ["o"], PRICE)
+        pred = F.col(f"{PRICE}_pred")
+        return out.groupBy("o").agg(F.count("*").alias("n"), F.round(F.max(pred), 2).alias("pred"), F.round(M.mse(F.col(PRICE), pred), 0).alias("mse"))
+
+
+def forest(**kw: object):
     from pyspark.ml.regression import RandomForestRegressor
 
+    return RandomForestRegressor(numTrees=20, minInstancesPerNode=5, maxDepth=1, bootstrap=False, **kw)
+
+
+def boosted(**kw: object):
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(maxIter=4, maxDepth=1, stepSize=1.0, **kw)
+
+
+_trained("q_train_forest", forest)
+_trained("q_train_boosting", boosted)
+
+
+def _error_of(spark, d, estimator) -> DataFrame:
+    """The error of an estimator fitted on the train split on the test split, beside that of the mean."""
     train, test = sample.split(read(spark, d, "lineitem"), LINE_KEY)
-    model = ml.train(train, FEATURES, PRICE, RandomForestRegressor(numTrees=20, minInstancesPerNode=5, featureSubsetStrategy="0.5", maxDepth=6), LINE_KEY)
-    out = ml.predict(model, test, FEATURES, PRICE)
+    out = ml.predict(ml.train(train, FEATURES, PRICE, estimator, LINE_KEY), test, FEATURES, PRICE)
     base = train.agg(F.avg(PRICE).alias("base"))
     return out.join(F.broadcast(base)).agg(F.count("*").alias("n"), M.mse(F.col(PRICE), F.col(f"{PRICE}_pred")).alias("mse"), M.mse(F.col(PRICE), F.col("base")).alias("mse_of_mean"))
 
 
-@query("q_predict")
+@query("q_train_rf")
+def _(spark, d):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    return _error_of(spark, d, RandomForestRegressor(numTrees=20, minInstancesPerNode=5, featureSubsetStrategy="0.5", maxDepth=6))
+
+
+@query("q_train_gbt")
+def _(spark, d):
+    from pyspark.ml.regression import GBTRegressor
+
+    return _error_of(spark, d, GBTRegressor(maxIter=10, maxDepth=4))
+
+
+def _determinant(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    terms = (f"{'-' if k % 2 else '+'} ({x}) * ({_determinant([row[:k] + row[k + 1 :] for row in m[1:]])})" for k, x in enumerate(m[0]))
+    return " ".join(terms)
+
+
+def least_squares_sql(xs: list[str], y: str, source: str) -> str:
+    """(b0, b1, ..., a): slopes by Cramer's rule on the covariances, and the intercept."""
+    cov = [[f"c{min(i, j)}{max(i, j)}" for j in range(len(xs))] for i in range(len(xs))]
+    parts = [f"covar_pop({a}, {b}) AS c{i}{j}" for i, a in enumerate(xs) for j, b in enumerate(xs) if i <= j]
+    parts += [f"covar_pop({a}, {y}) AS d{i}" for i, a in enumerate(xs)] + [f"avg({a}) AS m{i}" for i, a in enumerate(xs)] + [f"avg({y}) AS my"]
+    slopes = [f"({_determinant([[f'd{i}' if j == k else c for j, c in enumerate(row)] for i, row in enumerate(cov)])}) / ({_determinant(cov)}) AS b{k}" for k in range(len(xs))]
+    less = " ".join(f"- b{k} * m{k}" for k in range(len(xs)))
+    return f"(SELECT *, my {less} AS a FROM (SELECT *, {', '.join(slopes)} FROM (SELECT {', '.join(parts)} FROM {source})))"
+
+
+@query("q_predict", f"SELECT {KEY_SQL}, round(a + b0 * l_quantity + b1 * l_discount + b2 * l_tax, 1) AS pred FROM lineitem, {least_squares_sql(FEATURES, PRICE, 'lineitem')} f")
 def _(spark, d):
     from pyspark.ml.regression import LinearRegression
 
     df = read(spark, d, "lineitem")
-    return ml.predict(ml.train(df, FEATURES, PRICE, LinearRegression(), LINE_KEY), df, FEATURES, PRICE).select(*KEY_SQL.split(", "), F.round(f"{PRICE}_pred", 2).alias("pred"))
+    return ml.predict(ml.train(df, FEATURES, PRICE, LinearRegression(), LINE_KEY), df, FEATURES, PRICE).select(*KEY_SQL.split(", "), F.round(f"{PRICE}_pred", 1).alias("pred"))
 
 
-@query("q_grid_search")
-def _(spark, d):
+def _grid_sql() -> str:
+    """Scores of trees of depth 0 (the train folds' mean) and 1 (their means by the feature's two values)."""
+    means = {0: "avg(y) FILTER (WHERE fold <> f) OVER (PARTITION BY f)", 1: "avg(y) FILTER (WHERE fold <> f) OVER (PARTITION BY f, x)"}
+    rows = " UNION ALL ".join(f"SELECT {c} AS candidate, f, fold = f AS test, y, {m} AS p FROM t, range(3) r(f)" for c, m in means.items())
+    scores = {"r2": "1 - avg((y - p) * (y - p)) / var_pop(y)", "neg_mean_absolute_error": "-avg(abs(y - p))"}
+    each = " UNION ALL ".join(f"SELECT candidate, f, concat('mean_', CASE WHEN test THEN 'test' ELSE 'train' END, '_{n}') AS score, {e} AS v FROM p GROUP BY candidate, f, test" for n, e in scores.items())
+    return f"""WITH t AS (SELECT o_totalprice AS y, (o_orderstatus = 'O')::INT AS x, {FOLD_SQL.format(key='o_orderkey')} AS fold FROM orders), p AS ({rows}), e AS ({each}),
+    s AS (SELECT candidate, score, avg(v) AS value FROM e GROUP BY ALL), n AS (SELECT candidate, coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 0.0) AS k FROM s WINDOW w AS (PARTITION BY score)),
+    b AS (SELECT candidate FROM (SELECT candidate, sqrt(avg(k * k)) AS rms FROM n GROUP BY candidate) ORDER BY rms DESC, candidate LIMIT 1)
+    SELECT s.candidate, score, round(value, 6) AS value, s.candidate = b.candidate AS best FROM s, b"""
+
+
+def _searched(spark, d, grid: dict, features: list[str], df: DataFrame) -> DataFrame:
     from pyspark.ml.regression import DecisionTreeRegressor
 
+    got = ml.tune(DecisionTreeRegressor(seed=17), grid, df, features, "o_totalprice", ["o_orderkey"], scoring=["r2", "neg_mean_absolute_error"], refit=False)
+    return rounded(spark.createDataFrame([(c, k, v, c == got.best) for c, k, v in got.rows], "candidate int, score string, value double, best boolean"))
+
+
+@query("q_grid_search", _grid_sql())
+def _(spark, d):
+    df = read(spark, d, "orders").withColumn("x", (F.col("o_orderstatus") == "O").cast("int"))
+    return _searched(spark, d, {"maxDepth": [0, 1]}, ["x"], df)
+
+
+@query("q_grid_search_trees")
+def _(spark, d):
     df = read(spark, d, "orders").withColumn("month", F.month("o_orderdate"))
-    got = ml.tune(DecisionTreeRegressor(seed=17), {"maxDepth": [2, 4], "minInstancesPerNode": [1, 20]}, df, ["o_custkey", "month"], "o_totalprice", ["o_orderkey"], scoring=["r2", "neg_mean_absolute_error"], refit=False)
-    return spark.createDataFrame([(c, k, v, c == got.best) for c, k, v in got.rows], "candidate int, score string, value double, best boolean")
+    return _searched(spark, d, {"maxDepth": [2, 4], "minInstancesPerNode": [1, 20]}, ["o_custkey", "month"], df)
