@@ -532,7 +532,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """One row for each page: page_id, url, text, n_chars."""
     wrappers = written(infer_wrappers(pages), "wrappers").select("host", "wrapper")
     constants = written(find_constants(pages, wrappers), "constants")
-    joined = with_wrappers(pages, wrappers.join(constants, "host", "left")).select("page_id", "url", "html", "wrapper", "slots", "texts")
+    known = written(wrappers.join(constants, "host", "left"), "read")  # so that Spark knows its size and needn't shuffle the pages for a small one
+    joined = with_wrappers(pages, known).select("page_id", "url", "html", "wrapper", "slots", "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

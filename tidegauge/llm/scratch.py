@@ -31,15 +31,25 @@ def folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
-    This cuts the lineage: later stages re-read the files when an executor is lost. The
-    folder's owner removes the files after the run.
+    This cuts the lineage: later stages re-read the files when an executor is lost. The files stay
+    until ``forget`` or the folder's owner removes them.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    vars(spark.sparkContext).setdefault("_tidegauge_written", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Removes what ``written`` has left in this session, and says how many tables; no result that reads them works after that."""
+    paths = vars(spark.sparkContext).pop("_tidegauge_written", [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """The measured bytes of a column of texts, and 16 for each row: what partition counts are chosen by."""
     return df.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 16)).first()[0] or 0
