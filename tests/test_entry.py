@@ -29,6 +29,46 @@ def test_formats(spark, tmp_path):
             tables.read(spark, "x.h5")
 
 
+@pytest.mark.parametrize("key", [None, "indexed"])
+def test_files_of_numbered_rows_are_read_in_ranges(spark, tmp_path, key):
+    class Lines:
+        """A file with numbered rows in the place of an HDF5 table."""
+
+        def rows(self, path, key):
+            with open(path) as f:
+                return len(f.readlines()) - 1
+
+        def read(self, path, key, start, stop):
+            import pandas as pd
+
+            frame = pd.read_csv(path, skiprows=range(1, start + 1), nrows=stop - start)
+            return frame.set_index("t") if key == "indexed" else frame
+
+    path = tmp_path / "t.csv"
+    path.write_text("t,x\n" + "".join(f"{i},{i * 0.5}\n" for i in range(23)))
+    df = tables.read_hdf(spark, str(path), key, rows=5, reader=Lines())
+    assert df.rdd.getNumPartitions() == 5 and sorted((r.t, r.x) for r in df.collect()) == [(i, i * 0.5) for i in range(23)]
+
+
+def test_heatmap_form(spark):
+    from tidegauge.operators import reshape
+
+    m = spark.createDataFrame([("a", -0.5, None), ("b", 0.25, 1.0), ("c", 0.0, 0.0)], "feature string, x double, y double")
+    assert reshape.to_heatmap(m, drop=["c"]) == {"rows": ["a", "b"], "columns": ["x", "y"], "values": [[0.5, None], [0.25, 1.0]]}
+
+
+def test_describe_equals_numpy(spark):
+    import numpy as np
+
+    df = spark.range(1001).select(((F.col("id") * 37) % 1001 / 7).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("b"), F.lit(None).cast("double").alias("c"), F.lit("x").alias("s"))
+    got = {r["column"]: r for r in tables.describe(df).collect()}
+    p = df.toPandas()
+    assert set(got) == {"a", "b", "c"} and got["c"]["count"] == 0 and got["c"]["mean"] is None
+    for c in "ab":
+        own = p[c].dropna().to_numpy()
+        assert [got[c][k] for k in ("count", "mean", "std", "min", "q25", "q50", "q75", "max")] == pytest.approx([len(own), own.mean(), own.std(ddof=1), own.min(), *np.quantile(own, [0.25, 0.5, 0.75]), own.max()])
+
+
 def test_describe(spark):
     r = tables.describe(spark.range(5).select("id", F.lit("x").alias("s"))).collect()
     assert [(x["column"], x["count"], x.q50) for x in r] == [("id", 5, 2.0)]

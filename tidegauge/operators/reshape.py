@@ -58,3 +58,11 @@ def limits(df: DataFrame, names: list[str]) -> DataFrame:
     require(df, names)
     one = df.agg(*[f(col(c).cast("double")).alias(f"{w}{k}") for k, c in enumerate(names) for f, w in ((F.min, "lo"), (F.max, "hi"))])
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"lo{k}").alias("least"), F.col(f"hi{k}").alias("largest")) for k, c in enumerate(names)])))
+
+
+def to_heatmap(matrix: DataFrame, label: str = "feature", drop: list[str] | None = None, absolute: bool = True) -> dict[str, list]:
+    """A result matrix (a row for each label) as plotting takes it: rows, columns and values, without the labels in ``drop``."""
+    names = [c for c in matrix.columns if c != label]
+    rows = [r for r in matrix.collect() if r[label] not in (drop or [])]
+    number = lambda v: None if v is None else abs(v) if absolute else v
+    return {"rows": [r[label] for r in rows], "columns": names, "values": [[number(r[c]) for c in names] for r in rows]}

@@ -25,16 +25,44 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, schema: str | N
     return df
 
 
-def read_hdf(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """A pandas HDF5 table; needs the ``tables`` package on the driver (convert large files to Parquet first)."""
-    try:
-        import tables  # noqa: F401
-    except ImportError as e:
-        raise ImportError("reading HDF5 needs the 'tables' package") from e
-    import pandas as pd
-
-    frame = pd.read_hdf(path, key=key)
-    return spark.createDataFrame(frame.reset_index() if frame.index.name else frame)
+class HdfFile:
+    """Row ranges of a pandas HDF5 table (``format="table"``) by the ``tables`` package, wherever it is asked."""
+
+    def rows(self, path: str, key: str | None) -> int:
+        import pandas as pd
+
+        with pd.HDFStore(path, "r") as store:
+            return store.get_storer(key or store.keys()[0]).nrows
+
+    def read(self, path: str, key: str | None, start: int, stop: int):
+        import pandas as pd
+
+        return pd.read_hdf(path, key=key, start=start, stop=stop)
+
+
+def read_hdf(spark: SparkSession, path: str, key: str | None = None, rows: int = 500_000, reader: HdfFile | None = None) -> DataFrame:
+    """A pandas HDF5 table, read by the executors in ranges of ``rows`` rows; a named index becomes a column.
+
+    Needs the ``tables`` package, and the path on all machines; types are those of the first rows. The driver
+    reads no more than these. ``reader`` may stand for another kind of file with numbered rows.
+    """
+    if reader is None:
+        try:
+            import tables  # noqa: F401
+        except ImportError as e:
+            raise ImportError("reading HDF5 needs the 'tables' package") from e
+        reader = HdfFile()
+    named = lambda frame: frame.reset_index() if frame.index.name else frame
+    n = reader.rows(path, key)
+    schema = spark.createDataFrame(named(reader.read(path, key, 0, min(n, 1000)))).schema
+
+    def run(batches):
+        for b in batches:
+            for at in b["id"]:
+                yield named(reader.read(path, key, int(at), min(n, int(at) + rows)))[schema.names]
+
+    parts = max(1, -(-n // rows))
+    return spark.range(0, parts * rows, rows, parts).mapInPandas(run, schema)
 
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
