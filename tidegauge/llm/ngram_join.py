@@ -495,14 +495,12 @@ def _split_family_links(members: DataFrame, heads: DataFrame, block_tokens: int,
         comp = components(_links(merged))
         labels = written(labels.join(comp, F.col("label") == F.col("node"), "left").select("doc", F.coalesce("component", "label").alias("label")), "labels")
         n = labels.agg(F.countDistinct("label")).first()[0]
-    shared = heads.join(labels, "doc")
-    several = shared.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     # sets that link differ in size by less than this factor: each class of sizes meets itself and the next one
-    size = F.floor(F.log("n") / math.log(1.001 * PART / percent))
-    rest = shared.join(several, "token").join(members.select("doc", "n", "tokens"), "doc").withColumn("size", size.cast("long"))
-    rest = rest.withColumn("pair", F.explode(F.array(F.col("size") - 1, F.col("size"))))
-    weight = rest.groupBy("token", "pair").agg(F.ceil(F.count("*") / PAIR_ROWS).alias("blocks"))
-    rest = rest.join(weight, ["token", "pair"]).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    size = F.floor(F.log("n") / math.log(1.001 * PART / percent)).cast("long")
+    shared = heads.join(labels, "doc").join(members.select("doc", "n"), "doc").select("token", "doc", "label", F.explode(F.array(size - 1, size)).alias("pair"))
+    several = shared.groupBy("token", "pair").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / PAIR_ROWS).alias("blocks"))
+    several = several.where("lo <> hi").select("token", "pair", "blocks")
+    rest = shared.join(several, ["token", "pair"]).join(members.select("doc", "n", "tokens"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
     # each block meets each other one: the pair (i, j) gets the rows of i and of j
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = rest.select("token", "pair", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "n", "tokens", "label")
