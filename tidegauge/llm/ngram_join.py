@@ -18,8 +18,9 @@
    all its sets are in the walker's class already, so a family of near copies costs one walk.
 5. A family beyond ``block_tokens`` (a share of all candidates' shingles, at most ``BLOCK_TOKENS``) is
    split into blocks; the blocks' classes are merged through joins of one representative each, and
-   the pairs that may still be missing (prefix shingles whose sets are in several classes) are joined
-   shingle by shingle, in pairs of blocks of neighbouring set sizes.
+   the pairs that may still be missing (prefix shingles whose sets, of neighbouring sizes, are in several
+   classes) are joined shingle by shingle: pieces of the largest class with blocks of the others, and
+   these in pairs of blocks.
 6. The links that made the classes, one less than a class has sets, are verified on the texts
    themselves. Shared hashes never hide a link once sizes are exact, they could only add one: should
    a size or a link not hold, all is done again with other hashes.
@@ -54,8 +55,8 @@ PART, OF = 100, 85
 BUCKET_TOKENS, STRETCH, STRETCH_ROWS = 700_000, 4 << 20, 30_000
 #: A block of a family has at most so many shingles, and at most this share of all, but so many at least.
 BLOCK_TOKENS, BLOCK_SHARE, LEAST_BLOCK = 4_000_000, 24, 16_000
-#: Sets that meet pair by pair in the last step, in one block.
-PAIR_ROWS = 2000
+#: Sets in a block of the last step, and those in a piece of the class that has the most.
+PAIR_ROWS, PIECE_ROWS = 2000, 256
 #: A shingle of so many sets in one stretch is hot: its postings skip the counting (see ``postings``).
 HOT, MOST = 16, 2**31 - 1
 
@@ -498,13 +499,19 @@ def _split_family_links(members: DataFrame, heads: DataFrame, block_tokens: int,
     # sets that link differ in size by less than this factor: each class of sizes meets itself and the next one
     size = F.floor(F.log("n") / math.log(1.001 * PART / percent)).cast("long")
     shared = heads.join(labels, "doc").join(members.select("doc", "n"), "doc").select("token", "doc", "label", F.explode(F.array(size - 1, size)).alias("pair"))
-    several = shared.groupBy("token", "pair").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / PAIR_ROWS).alias("blocks"))
-    several = several.where("lo <> hi").select("token", "pair", "blocks")
-    rest = shared.join(several, ["token", "pair"]).join(members.select("doc", "n", "tokens"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    # each block meets each other one: the pair (i, j) gets the rows of i and of j
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rest = rest.select("token", "pair", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "n", "tokens", "label")
-    return found.union(_links(_joined(rest, "token", "pair", "i", "j", percent=percent))).distinct()
+    # the class with the most sets is cut, and each piece meets the sets of all others; these meet each other
+    each = shared.groupBy("token", "pair", "label").agg(F.count("*").alias("c")).groupBy("token", "pair")
+    several = each.agg(F.count("*").alias("k"), F.max_by("label", F.struct("c", "label")).alias("most"), F.max("c").alias("n_most"), F.sum("c").alias("n_all")).where("k > 1")
+    several = several.select("token", "pair", "k", "most", F.ceil(F.col("n_most") / PIECE_ROWS).alias("pieces"), F.ceil((F.col("n_all") - F.col("n_most")) / PAIR_ROWS).alias("blocks"))
+    rest = shared.join(several, ["token", "pair"]).join(members.select("doc", "n", "tokens"), "doc")
+    piece, block = (F.pmod(F.xxhash64("doc"), F.col(c)) for c in ("pieces", "blocks"))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    at = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    from_most = F.transform(upto("blocks"), lambda j: at(0, piece, j))
+    among = F.when(F.col("k") > 2, F.transform(upto("blocks"), lambda j: at(1, F.least(block, j), F.greatest(block, j)))).otherwise(F.array().cast("array<struct<kind:int,i:bigint,j:bigint>>"))
+    places = F.when(F.col("label") == F.col("most"), from_most).otherwise(F.concat(F.transform(upto("pieces"), lambda i: at(0, i, block)), among))
+    rest = rest.select("token", "pair", F.explode(places).alias("at"), "doc", "n", "tokens", "label").select("token", "pair", "at.*", "doc", "n", "tokens", "label")
+    return found.union(_links(_joined(rest, "token", "pair", "kind", "i", "j", percent=percent))).distinct()
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int | None = None, n_words: int = N, percent: int = OF, bits: int = 64) -> DataFrame:
