@@ -199,8 +199,10 @@ def test_a_large_family_is_dealt_to_many_tasks(spark):
     assert {r.component_id for r in got.values()} == {0} and seen[0] < cands / 3
 
 
-@pytest.mark.parametrize("block", [None, 3_000, 900])
-def test_families_beyond_a_block_lose_no_link(spark, block):
+@pytest.mark.parametrize(("block", "rows_of_a_block"), [(None, 2000), (3_000, 2000), (900, 2000), (900, 3)])
+def test_families_beyond_a_block_lose_no_link(spark, block, rows_of_a_block, monkeypatch):
+    monkeypatch.setattr(J, "PAIR_ROWS", rows_of_a_block)
+    monkeypatch.setattr(J, "PIECE_ROWS", 2 * rows_of_a_block)
     rows = near_copies()
     got = {i: (r.n_shingles, r.component_id) for i, r in by_id(J.linked(table(spark, rows), block_tokens=block)).items()}
     assert got == brute_classes(rows)
@@ -228,6 +230,17 @@ def test_near_duplicate_stage_takes_five_words_and_80_percent(spark):
     assert {r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, table(spark, rows), "").collect()} == {1, 3, 4}
 
 
+def test_the_last_step_alone_finds_all_links(spark, monkeypatch):
+    """Blocks of one set each: no links but those of the joins by shingle."""
+    monkeypatch.setattr(J, "PAIR_ROWS", 4)
+    monkeypatch.setattr(J, "PIECE_ROWS", 3)
+    rows = near_copies(20)
+    joined = J._joined
+    monkeypatch.setattr(J, "_joined", lambda r, *keys, **kw: joined(r, *keys, **kw) if "token" in keys else joined(r.withColumn("alone", F.col("doc")), "alone", **kw))
+    got = {i: (r.n_shingles, r.component_id) for i, r in by_id(J.linked(table(spark, rows), block_tokens=100)).items()}
+    assert got == brute_classes(rows)
+
+
 def test_trie_equals_brute_force():
     for seed in range(150):
         rnd = random.Random(seed)
