@@ -56,7 +56,7 @@ BUCKET_TOKENS, STRETCH, STRETCH_ROWS = 700_000, 4 << 20, 30_000
 #: A block of a family has at most so many shingles, and at most this share of all, but so many at least.
 BLOCK_TOKENS, BLOCK_SHARE, LEAST_BLOCK = 4_000_000, 24, 16_000
 #: Sets in a block of the last step, and those in a piece of the class that has the most.
-PAIR_ROWS, PIECE_ROWS = 2000, 256
+PAIR_ROWS, PIECE_ROWS = 512, 256
 #: A shingle of so many sets in one stretch is hot: its postings skip the counting (see ``postings``).
 HOT, MOST = 16, 2**31 - 1
 
