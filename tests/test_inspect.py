@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import metrics as M
 from tidegauge.operators import bins, box, ml, rolling, sample
+from tidegauge.operators import quantiles as quantiles_module
 from tidegauge.operators.quantiles import quantiles
 from tidegauge.plans.catalogue import QUERIES
 from tidegauge.plans.schema import duration
@@ -94,14 +95,20 @@ def test_rows_of_equal_keys_are_drawn_together(spark):
     assert got["mean"] == 200.0
 
 
-def test_quantiles_equal_numpy_over_many_ranges(spark):
+@pytest.mark.parametrize(("accuracy", "errors"), [(2000, 2.0), (50, 2.0), (50, 0.0), (3, -1.0)])
+def test_quantiles_equal_numpy_over_many_ranges(spark, accuracy, errors, monkeypatch):
+    monkeypatch.setattr(quantiles_module, "ACCURACY", accuracy)  # few of the rows are in brackets, or none: then all values are counted
+    monkeypatch.setattr(quantiles_module, "ERRORS", errors)
     rng = np.random.default_rng(7)
-    p = pd.DataFrame({"g": rng.choice(["hot", "b", "c"], 3000, p=[0.9, 0.08, 0.02]), "v": np.where(rng.random(3000) < 0.4, 5.0, rng.normal(size=3000).round(2))})
+    p = pd.DataFrame({"g": rng.choice(["hot", "b", "c"], 3000, p=[0.9, 0.08, 0.02]), "v": np.where(rng.random(3000) < 0.4, 5.0, rng.normal(size=3000).round(3))})
+    p.loc[len(p)] = ["one", -3.0]
     probs = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
     got = {r.g: r for r in quantiles(spark.createDataFrame(p), ["g"], "v", probs).collect()}
+    assert len(got) == 4
     for g, own in p.groupby("g"):
         assert got[g].n == len(own) and got[g]["mean"] == pytest.approx(own.v.mean())
         assert [got[g][f"q{k}"] for k in range(len(probs))] == pytest.approx(np.quantile(own.v, probs).tolist())
+    assert quantiles(spark.createDataFrame(p).where("false"), ["g"], "v", probs).count() == 0
 
 
 def test_median_errors_of_folds_leave_the_groups_spread(spark):

@@ -32,6 +32,14 @@ def per_column(x_col: list[str], bins: object, xrange: object) -> list[tuple[obj
     return list(zip(each, ranges, strict=True))
 
 
+def _between(x: Column, inner: list[float], first: int) -> Column:
+    """``first`` and the number of ascending edges at or below a value, by halving: comparisons that are compiled."""
+    if not inner:
+        return F.lit(first)
+    k = len(inner) // 2
+    return F.when(x < inner[k], _between(x, inner[:k], first)).otherwise(_between(x, inner[k + 1 :], first + k + 1))
+
+
 @dataclass
 class Edges:
     """Bin edges of one x column; ``n`` bins, the last closed on both sides."""
@@ -44,9 +52,8 @@ class Edges:
 
     def bin(self, x: Column) -> Column:
         """0-based bin of a value, NULL outside: the number of inner edges at or below it."""
-        inner = F.array(*[F.lit(float(e)) for e in self.edges])
-        count = F.aggregate(inner, F.lit(0), lambda acc, e: acc + F.when(x >= e, 1).otherwise(0))
-        return F.when((x >= self.edges[0]) & (x <= self.edges[-1]), F.least(count, F.lit(self.n)) - 1)
+        inside = (x >= self.edges[0]) & (x <= self.edges[-1])
+        return F.when(inside, _between(x, self.edges[1:-1], 0))
 
     def table(self, spark, x_col: str) -> DataFrame:
         """One row for each bin: x_col, bin, x_lo, x_hi, x_centre and x_width (the first bin's)."""
@@ -93,4 +100,6 @@ def edge_table(df: DataFrame, edges: dict[str, Edges]) -> DataFrame:
 def binned(df: DataFrame, edges: dict[str, Edges], *keep: Column) -> DataFrame:
     """Long layout: x_col, bin and the kept columns, one row for each x column whose bin the row is in."""
     rows = [F.struct(F.lit(c).alias("x_col"), e.bin(value(df, c)).cast("int").alias("bin")) for c, e in edges.items()]
+    if len(rows) == 1:
+        return df.select(rows[0].alias("b"), *keep).where("b.bin IS NOT NULL").select("b.x_col", "b.bin", *[f"`{c}`" for c in df.select(*keep).columns])
     return df.select(F.explode(F.array(*rows)).alias("b"), *keep).where("b.bin IS NOT NULL").select("b.x_col", "b.bin", *[f"`{c}`" for c in df.select(*keep).columns])

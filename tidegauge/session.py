@@ -11,7 +11,7 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def build(cores: int | str = 8, partitions: int = 8, **conf: str) -> SparkSession:
-    """A local session: UTC, adaptive execution, few shuffle partitions."""
+    """A local session: UTC, adaptive execution, few shuffle partitions; aggregates of many columns are compiled too."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tidegauge")
@@ -19,6 +19,7 @@ def build(cores: int | str = 8, partitions: int = 8, **conf: str) -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.codegen.maxFields", "2000")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
