@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.predicates import Subset, masks
 from ..plans.ranged import PID, ranged, running, settled
-from ..plans.schema import as_list, col, numeric_columns, require, value
+from ..plans.schema import as_list, numeric_columns, require, value
 from .asof import commonest_gap, nearest_asof
 
 #: Above so many aggregates the features are unpivoted instead of widening one aggregate.
