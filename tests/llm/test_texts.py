@@ -44,10 +44,14 @@ def test_bpe_equals_the_library(spark, library):
     assert bpe.roundtrip(df.where("doc_id < 0"), tokenizer_path()).count() == 0
 
 
+@pytest.fixture(scope="module")
+def own():
+    return bpe.codec(tokenizer_path())
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=5))
-def test_bpe_on_any_text(library, texts):
-    own = bpe.codec(tokenizer_path())
+def test_bpe_on_any_text(library, own, texts):
     assert own.encode(texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert own.counts(texts) == [len(x) for x in own.encode(texts)]
 
