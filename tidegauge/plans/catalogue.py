@@ -632,14 +632,15 @@ def _grid_sql() -> str:
     return f"""WITH t AS (SELECT o_totalprice AS y, (o_orderstatus = 'O')::INT AS x, {FOLD_SQL.format(key='o_orderkey')} AS fold FROM orders), p AS ({rows}), e AS ({each}),
     s AS (SELECT candidate, score, avg(v) AS value FROM e GROUP BY ALL), n AS (SELECT candidate, coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 0.0) AS k FROM s WINDOW w AS (PARTITION BY score)),
     b AS (SELECT candidate FROM (SELECT candidate, sqrt(avg(k * k)) AS rms FROM n GROUP BY candidate) ORDER BY rms DESC, candidate LIMIT 1)
-    SELECT s.candidate, score, round(value, 6) AS value, s.candidate = b.candidate AS best FROM s, b"""
+    SELECT s.candidate, score, round(value, 6) + 0.0 AS value, s.candidate = b.candidate AS best FROM s, b"""
 
 
 def _searched(spark, d, grid: dict, features: list[str], df: DataFrame) -> DataFrame:
     from pyspark.ml.regression import DecisionTreeRegressor
 
     got = ml.tune(DecisionTreeRegressor(seed=17), grid, df, features, "o_totalprice", ["o_orderkey"], scoring=["r2", "neg_mean_absolute_error"], refit=False)
-    return rounded(spark.createDataFrame([(c, k, v, c == got.best) for c, k, v in got.rows], "candidate int, score string, value double, best boolean"))
+    out = rounded(spark.createDataFrame([(c, k, v, c == got.best) for c, k, v in got.rows], "candidate int, score string, value double, best boolean"))
+    return out.withColumn("value", F.col("value") + 0.0)  # no minus zero
 
 
 @query("q_grid_search", _grid_sql())
