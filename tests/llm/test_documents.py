@@ -485,6 +485,38 @@ def test_misspelt_passages_have_the_place_and_similarity_of_their_characters():
         assert abs(start - len(hosts[r])) <= 2 and abs(length - 35) <= 3
 
 
+def misspell(rnd, text, share=0.16):
+    return "".join("q" if c != " " and rnd.random() < share else c for c in text)
+
+
+def test_misspelt_passages_are_found_however_many_items_hold_their_grams(monkeypatch):
+    rnd = random.Random(8)
+    words = vocabulary(rnd)
+    own, other = ([rnd.choice(words) for _ in range(35)] for _ in range(2))
+    copies = [" ".join(own)] * 7
+    near = [" ".join([*other[:k], f"z{k}", *other[k + 1 :]]) for k in range(9)]
+    periodic = " ".join(["tra la li lo lum"] * 9)
+    items = [*copies, *near, periodic]
+    texts = [" ".join([*rnd.sample(words, 20), misspell(rnd, t), *rnd.sample(words, 20)]) for t in (copies[0], near[0], periodic)]
+    want = {(0, i) for i in range(7)} | {(1, i) for i in range(7, 16)} | {(2, 16)}
+    for told, common in ((1 << 20, 64), (1, 64), (300, 4)):  # stretches, and grams left out with their share of the need
+        monkeypatch.setattr(D, "TOLD", told, raising=False)
+        monkeypatch.setattr(D, "COMMON", common, raising=False)
+        got = {(r, i) for r, i, *_ in D.Index(list(range(17)), items).matches(*flat(pa.array(texts * 3, pa.string())))}
+        assert got == {(r + 3 * k, i) for r, i in want for k in range(3)}
+
+
+def test_misspelt_passages_are_found_where_other_items_are():
+    rnd = random.Random(9)
+    words = vocabulary(rnd)
+    own = [rnd.choice(words) for _ in range(36)]
+    text = misspell(rnd, " ".join(own), 0.12)
+    short = [" ".join(text.split()[k : k + 4]) for k in range(0, 36, 4)]  # stand in the text as they are, all over the passage
+    like = " ".join(w if k % 7 else "other" for k, w in enumerate(text.split()))  # an item that is found by its words there
+    got = {i: (distance, n) for _, i, distance, n, *_ in D.Index(list(range(11)), [" ".join(own), *short, like]).matches(*flat(pa.array([f"before {text} after"], pa.string())))}
+    assert set(got) == set(range(11)) and got[0][0] > D.allowed(36) and got[10][0] <= D.allowed(36)
+
+
 def test_walks_are_as_long_as_the_items():
     rnd = random.Random(5)
     words = vocabulary(rnd)

@@ -19,7 +19,8 @@ Windows that can't match are skipped before they are walked: ``d`` edits leave a
 ``n - g + 1 - g d`` grams of ``g`` words, an exact bound, so a window with fewer grams of a class isn't
 walked by words. By characters a window is walked if it has a ``CHAR_SHARE`` of one item's grams of eight
 characters, all telling about the same place where the item would begin, which is no guarantee but
-a small part of what so many edits leave.
+a small part of what so many edits leave. Every gram counts, however many items hold it, and wherever
+other items are found: what is left uncounted of an item's commonest grams is taken off what it needs.
 
 Every item that collides with a window of a document is verified by Myers' bit-parallel edit distance,
 by words over all places of the document that have enough of the item's own grams: distance,
@@ -56,8 +57,10 @@ RATIO, GRAM = 1.25, 3
 BY_WORDS, BY_CHARS = (14, 3, 5), (32, 6, 8)
 #: Hits of eight characters that a window needs, as a share of the item's length.
 CHAR_SHARE, CHAR_GRAM = 0.1, 8
-#: Eight characters that the items have at more places than this tell none of them.
-MOST_HOLDERS = 4
+#: Eight characters at more places than this aren't counted for an item as long as fewer than half of those it needs are left out; it needs as many less.
+COMMON = 64
+#: Hits are told apart by items in stretches of the text with about so many (hit, place in an item).
+TOLD = 1 << 20
 #: Characters by which the places may differ where an item would begin, told by its grams in one window.
 BAND = 48
 BITMAP_BITS, WALKED = 22, 2048
@@ -87,6 +90,11 @@ def char_grams(chars: np.ndarray) -> np.ndarray:
     return np.ndarray(shape=(max(0, len(chars) - CHAR_GRAM + 1),), dtype="<u8", buffer=np.ascontiguousarray(chars), strides=(1,)) if len(chars) >= CHAR_GRAM else np.zeros(0, np.uint64)
 
 
+def four_grams(chars: np.ndarray) -> np.ndarray:
+    """The four characters from each place as one number: ``d`` edits of n characters leave ``n - 3 - 4 d`` of them."""
+    return np.ndarray(shape=(max(0, len(chars) - 3),), dtype="<u4", buffer=np.ascontiguousarray(chars), strides=(1,)) if len(chars) >= 4 else np.zeros(0, np.uint32)
+
+
 def allowed(n: int, similarity: float = SIMILARITY) -> int:
     """The largest edit distance at which an item of n letters counts as found."""
     return int((1 - similarity) * n + 1e-9)
@@ -233,7 +241,13 @@ class Index:
         by_chars: dict[int, list[int]] = {}
         pieces: dict[tuple[int, bool], list[tuple[int, int, int]]] = {}
         every = char_grams(chars)
+        #: the items of the same words as an earlier one, by that one, which is searched for all
+        self.twins: dict[int, list[int]] = {}
+        earlier: dict[bytes, int] = {}
         for i, k in enumerate(kept):
+            if earlier.setdefault(self.chars[i], i) != i:
+                self.twins.setdefault(earlier[self.chars[i]], []).append(i)
+                continue
             n = int(cut[k + 1] - cut[k])
             d = allowed(n, similarity)
             if n <= SHORT:
@@ -262,13 +276,21 @@ class Index:
         pairs = [(every[x : y - CHAR_GRAM + 1], np.full(y - x - CHAR_GRAM + 1, i), np.arange(y - x - CHAR_GRAM + 1)) for i, (x, y) in enumerate(span) if i in self.char_grams]
         gram, holder, place = (np.concatenate([np.zeros(0, kind), *z]) for kind, z in zip((np.uint64, np.int64, np.int64), zip(*pairs, strict=True) if pairs else ((), (), ()), strict=True))
         each, which, n = np.unique(gram, return_inverse=True, return_counts=True)
-        rare = n[which] <= MOST_HOLDERS
-        order = np.argsort(which[rare], kind="stable")
-        self.chars_of = Grams([each[n <= MOST_HOLDERS]])
-        self.holder, self.holder_place = holder[rare][order], place[rare][order]
-        self.holders_cut = np.concatenate(([0], np.cumsum(n[n <= MOST_HOLDERS])))
-        self.char_need = np.maximum(3, (CHAR_SHARE * np.bincount(self.holder, minlength=len(kept))).astype(np.int64))
+        held = np.bincount(holder, minlength=len(kept))
+        need = np.maximum(3, (CHAR_SHARE * held).astype(np.int64))
+        order = np.lexsort((-n[which], holder))  # by item, the commonest first
+        nth = np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held)
+        left = np.zeros(len(order), dtype=bool)
+        left[order] = (n[which[order]] > COMMON) & (nth < np.minimum(need // 2, need - 3)[holder[order]])
+        self.char_need = need - np.bincount(holder[left], minlength=len(kept))
+        gram, holder, place = gram[~left], holder[~left], place[~left]
+        order = np.argsort(gram, kind="stable")
+        self.holder, self.holder_place = holder[order], place[order]
+        each, n = np.unique(gram, return_counts=True)
+        self.chars_of = Grams([each])
+        self.holders_cut = np.concatenate(([0], np.cumsum(n)))
         self.letter = letter
+        self.fours: dict[int, np.ndarray] = {}
 
     def group(self, items: list[int], size: int, grams: dict[int, np.ndarray], letters: np.ndarray, first: np.ndarray, last: np.ndarray, least: int, how: tuple[int, int, int]) -> Group:
         own = np.array(items, dtype=np.int64)
@@ -348,62 +370,101 @@ class Index:
                     if near[0] <= d:
                         keep(r, i, near)
         self.misspelt(h, cut, chars, starts, ends, row, found, keep)
+        found |= {(r, twin): x for (r, i), x in found.items() for twin in self.twins.get(i, ())}
         for (r, i), (score, end, length, distance) in sorted(found.items()):
             yield r, i, distance, len(self.words[i]), end - length - int(cut[r]), length, round(score, 6)
 
-    def misspelt(self, h: np.ndarray, cut: np.ndarray, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, found: dict, keep) -> None:
-        """Matches by characters, for rows and items without one by words."""
-        known, own = dict(found), char_grams(chars)
+    def char_places(self, chars: np.ndarray, starts: np.ndarray, cut: np.ndarray, row: np.ndarray, found: dict) -> np.ndarray:
+        """word * items + item, ascending, of the words at which enough of an item's characters tell that it begins; none of ``found``'s rows and items."""
+        own, n = char_grams(chars), len(self.ids)
         hits = self.chars_of.hits(own)
         if not len(hits):
-            return
-        at_word = np.searchsorted(starts, hits, side="right") - 1
-        covered = np.zeros(len(h) + 1, dtype=np.int64)  # words of matches that are known
-        for _, end, length, _ in known.values():
-            covered[end - length] += 1
-            covered[end] -= 1
-        free = np.cumsum(covered)[at_word] == 0
-        hits, at_word = hits[free], at_word[free]
-        # each hit of each item that has the gram, by its diagonal: where the item would begin
+            return np.zeros(0, np.int64)
         gram = np.searchsorted(self.chars_of.all, own[hits])
+        of = row[np.searchsorted(starts, hits, side="right") - 1]
         count = np.diff(self.holders_cut)[gram]
-        entry = np.repeat(self.holders_cut[:-1][gram] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        item, diagonal = self.holder[entry], np.repeat(hits, count) - self.holder_place[entry]
-        key = np.repeat(row[at_word], count) * len(self.ids) + item
-        order = np.lexsort((diagonal, key))
-        key, diagonal, item = key[order], diagonal[order], item[order]
-        last = np.arange(len(key)) + self.char_need[item] - 1
-        first = np.flatnonzero(last < len(key))
-        last = last[first]
-        ok = (key[last] == key[first]) & (diagonal[last] - diagonal[first] <= BAND)
-        if not ok.any():
+        upto = np.concatenate(([0], np.cumsum(count)))
+        known = np.sort(np.array([r * n + i for r, i in found], dtype=np.int64))
+        longest = int(self.holder_place.max()) + 1
+        least = int(self.char_need[self.holder].min())
+        reach, span, out, x = longest + BAND, len(chars) + longest + 2 * BAND, [np.zeros(0, np.int64)], 0
+        while x < len(hits):
+            # all hits of a window are within reach, so stretches overlap by that much
+            z = max(int(np.searchsorted(upto, upto[x] + TOLD)), int(np.searchsorted(hits, hits[x] + 2 * reach)))
+            z = min(z, len(hits))
+            # each hit at each place of each item, by row, item and diagonal (where the item would begin)
+            c = count[x:z]
+            entry = np.repeat(self.holders_cut[:-1][gram[x:z]] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            told = (np.repeat(of[x:z], c) * n + self.holder[entry]) * span + np.repeat(hits[x:z], c) - self.holder_place[entry] + longest
+            told.sort()
+            first = np.flatnonzero(told[least - 1 :] - told[: max(0, len(told) - least + 1)] <= BAND)
+            last = first + self.char_need[told[first] // span % n] - 1
+            first, last = first[last < len(told)], last[last < len(told)]
+            ok = told[last] - told[first] <= BAND
+            first, last = told[first[ok]], told[last[ok]]
+            if len(known):
+                ok = ~member(known, first // span)
+                first, last = first[ok], last[ok]
+            if len(first):
+                new = np.ones(len(first), dtype=bool)
+                new[1:] = first[1:] - last[:-1] > BAND
+                at = np.flatnonzero(new)
+                key, lo = first[at] // span, first[at] % span - longest - BAND // 2
+                hi = last[np.append(at[1:], len(last)) - 1] - key * span - longest + BAND // 2
+                r = key // n
+                w = np.maximum(np.searchsorted(starts, lo), cut[r])
+                m = np.maximum(np.minimum(np.searchsorted(starts, hi, side="right"), cut[r + 1]) - w, 0)
+                out.append((np.repeat(w - (np.cumsum(m) - m), m) + np.arange(m.sum())) * n + np.repeat(key % n, m))
+            if z == len(hits):
+                break
+            x = int(np.searchsorted(hits, hits[z] - reach))
+        return np.unique(np.concatenate(out))
+
+    def alike(self, i: int, text: np.ndarray, d: int) -> list[tuple[int, int]]:
+        """The stretches of a text in which any window within ``d`` edits of the item's characters lies, by the four-grams that are left."""
+        m = len(self.chars[i])
+        least = m - 3 - 4 * d
+        if least < 1:
+            return [(0, len(text))]
+        if i not in self.fours:
+            self.fours[i] = np.unique(four_grams(np.frombuffer(self.chars[i], np.uint8)))
+        hits = np.flatnonzero(member(self.fours[i], four_grams(text)))
+        lo, hi = dense_places(hits, np.zeros(len(hits), np.int64), least, m + d - 3)
+        return list(zip(np.maximum(lo, 0).tolist(), np.minimum(hi + m + d, len(text)).tolist(), strict=True))
+
+    def misspelt(self, h: np.ndarray, cut: np.ndarray, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, found: dict, keep) -> None:
+        """Matches by characters, for rows and items without one by words."""
+        code = self.char_places(chars, starts, cut, row, found)
+        if not len(code):
             return
-        lo, hi, key = diagonal[first[ok]] - BAND // 2, diagonal[last[ok]] + BAND // 2, key[first[ok]]
-        r = key // len(self.ids)
-        x = np.maximum(np.searchsorted(starts, lo), cut[r])
-        n = np.maximum(np.minimum(np.searchsorted(starts, hi, side="right"), cut[r + 1]) - x, 0)
-        pairs = np.unique(np.stack([np.repeat(x - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(key % len(self.ids), n)], axis=1), axis=0)
-        letters, code = self.letter[chars], pairs[:, 0] * len(self.ids) + pairs[:, 1]
+        step = len(chars) // BAND + 3
+        letters, places, items = self.letter[chars], code // len(self.ids), code % len(self.ids)
         for group in self.by_chars:
-            words = np.unique(pairs[np.isin(pairs[:, 1], group.items), 0])
+            words = np.unique(places[np.isin(items, group.items)])
             if not len(words):
                 continue
-            seen = [words[w] * len(self.ids) + items for w, items in group.collisions(letters, starts[words], ends[cut[1:][row[words]] - 1])]
-            seen = np.intersect1d(np.concatenate(seen), code)
-            for r, i, spot in np.unique(np.stack([row[seen // len(self.ids)], seen % len(self.ids), starts[seen // len(self.ids)] // BAND], axis=1), axis=0).tolist():
-                if (r, i) in known:
-                    continue
+            seen = [words[w] * len(self.ids) + own for w, own in group.collisions(letters, starts[words], ends[cut[1:][row[words]] - 1])]
+            seen = np.unique(np.concatenate([x[member(code, x)] for x in seen]))
+            if not len(seen):
+                continue
+            own = row[seen // len(self.ids)] * len(self.ids) + seen % len(self.ids)
+            spots = np.unique(own * step + starts[seen // len(self.ids)] // BAND)
+            cuts = np.flatnonzero(np.diff(spots, prepend=-2) > 1)  # spots next to each other are one stretch
+            for x, z in zip(spots[cuts].tolist(), spots[np.append(cuts[1:], len(spots)) - 1].tolist(), strict=True):
+                r, i = divmod(x // step, len(self.ids))
                 item = self.chars[i]
                 m, d = len(item), allowed(len(item), self.similarity)
-                a, b = max(int(starts[cut[r]]), BAND * spot - d), min(int(ends[cut[r + 1] - 1]), BAND * (spot + 1) + m + d)
-                text = chars[a:b].tobytes()
-                edits, end = best_match(item, text)
-                if edits > d:
-                    continue
-                length = best_match(item[::-1], text[:end][::-1])[1]
-                w, z = (int(np.searchsorted(starts, a + q, side="right")) - 1 for q in (end - length, max(end - 1, 0)))
-                w = max(w, int(cut[r]))
-                keep(r, i, (best_match(self.words[i], h[w : z + 1].tolist())[0], z + 1, z + 1 - w), 1 - edits / m)
+                a, b = max(int(starts[cut[r]]), BAND * (x % step) - d), min(int(ends[cut[r + 1] - 1]), BAND * (z % step + 1) + m + d)
+                for first, beyond in self.alike(i, chars[a:b], d):
+                    first += a
+                    text = chars[first : a + beyond].tobytes()
+                    edits, end = best_match(item, text)
+                    if edits > d:
+                        continue
+                    length = best_match(item[::-1], text[:end][::-1])[1]
+                    w, v = (int(np.searchsorted(starts, first + q, side="right")) - 1 for q in (end - length, max(end - 1, 0)))
+                    w = max(w, int(cut[r]))
+                    keep(r, i, (best_match(self.words[i], h[w : v + 1].tolist())[0], v + 1, v + 1 - w), 1 - edits / m)
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", similarity: float = SIMILARITY, part_bytes: int = PART_BYTES) -> Iterator[Index]:
