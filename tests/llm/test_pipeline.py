@@ -129,3 +129,15 @@ def test_written_tables_can_be_removed(spark, tmp_path):
     assert scratch.text_bytes(spark.createDataFrame([("é",), (None,), ("ab",)], "t string"), "t") == 4 + 3 * 16
     assert scratch.text_bytes(spark.createDataFrame([], "t string"), "t") == 0
     assert scratch.parts_for(0, 10) == 17 and scratch.parts_for(1000, 10) == 101 and scratch.parts_for(10**18, 1) == (1 << 22) + 1
+
+
+def test_misspelt_items_go_however_many_items_are_like_them(spark, tmp_path):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(300)]
+    item = [rnd.choice(words) for _ in range(30)]
+    like = [" ".join([*item[:k], f"z{k}", *item[k + 1 :]]) for k in range(8)]
+    text = "".join("q" if c != " " and rnd.random() < 0.16 else c for c in " ".join(item))
+    rows = [(1, " ".join(["before", text, "after"])), (2, " ".join(rnd.choice(words) for _ in range(60))), (3, None)]
+    for name, items in (("copies", [" ".join(item)] * 6), ("like", like)):
+        spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        assert {r.doc_id for r in P.benchmark_decontamination(spark, frame(spark, rows), str(tmp_path / name)).collect()} == {2, 3}
