@@ -4,7 +4,9 @@ import hashlib
 import json
 import random
 import re
+import resource
 import time
+import tracemalloc
 from html.parser import HTMLParser
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm import bpe, chat, pii, quality, toxicity
 from tidegauge.llm import html_wrappers as H
 from tidegauge.llm.queries import tokenizer_path
-from tidegauge.llm.textbatch import code_points, flat, slices, word_hashes, words
+from tidegauge.llm.textbatch import code_points, flat, give_back, slices, word_hashes, words
 
 TEXTS = ["", " ", "hello world", "It's   they'll\n\n\t x", "<|endoftext|>a<|endoftext|><|endoftext|>", "aaaaaaaaaaaa", "日本語 ½² é", "a\x1cb\x85c d 　", "x" * 5000, "no  space ", "\x00﻿"]
 
@@ -63,6 +65,30 @@ def test_bpe_memory_is_bounded(monkeypatch):
     assert own.digests(TEXTS) == want and len(own.ids_of) < 100
 
 
+def test_bpe_slices_are_small_beside_a_worker(own):
+    rnd = random.Random(6)
+    vocab = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rnd.choices(vocab, k=8000)) for _ in range(100)]
+    want, column = own.digests(texts), pa.array(texts, pa.string())
+    tracemalloc.start()
+    got = [x for _, part in bpe.text_slices(column) for x in own.digests(part)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and peak < 28 << 20
+
+
+def test_workers_give_freed_memory_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+
+    held = [bytes(2000) for _ in range(100_000)]
+    full = resident()
+    held = held[::500]  # what stays lies all over the heap
+    give_back()
+    assert full - resident() > 120 << 20 and len(held) == 200
+
+
 @pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}, {"added_tokens": [{"id": 0, "content": "x", "lstrip": True}]}])
 def test_other_files_than_byte_level_bpe_are_refused(change):
     spec = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}

@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .textbatch import give_back
+
 #: The published GPT-2 pre-tokenizer pattern of byte-level tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The characters with Unicode's White_Space property, as a class of ``re``.
@@ -41,7 +43,7 @@ CACHE_WORDS = 400_000
 #: A vocabulary file may have so many bytes, for it is shipped to every executor.
 MOST_BYTES = 64 << 20
 #: Characters that are encoded together; a longer text is encoded alone.
-SLICE_CHARS = 5 << 20
+SLICE_CHARS = 1 << 20
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -391,10 +393,12 @@ def roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     shipped = ship(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own = codec_of(shipped)
         for b in batches:
             for at, texts in text_slices(b.column(1)):
                 n, ids, decoded = zip(*own.digests(texts), strict=True)
+                give_back()
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(texts)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                     names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import IS_BREAK, LOWER, flat, gram_hashes, mix, runs, slices, word_hashes
+from .textbatch import IS_BREAK, LOWER, flat, give_back, gram_hashes, mix, runs, slices, word_hashes
 
 SIMILARITY = 0.8
 #: Items of so many words at most are searched exactly, by their pieces.
@@ -503,6 +503,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", similar
         place = docs.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            give_back()
             for b in batches:
                 for first, last, buf, off in slices(b.column(place)):
                     hit = {r for r, *_ in index.matches(buf, off)}
