@@ -43,7 +43,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes what is left."""
     reachable(spark)
-    return bpe.roundtrip(docs, tokenizer_path())
+    return bpe.roundtrip(docs, tokenizer_path(), lean=True)
 
 
 STAGES = [

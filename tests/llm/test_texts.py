@@ -65,16 +65,18 @@ def test_bpe_memory_is_bounded(monkeypatch):
     assert own.digests(TEXTS) == want and len(own.ids_of) < 100
 
 
-def test_bpe_slices_are_small_beside_a_worker(own):
+def test_lean_bpe_has_the_same_results_in_less_memory(spark, own):
     rnd = random.Random(6)
     vocab = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(2000)]
     texts = [" ".join(rnd.choices(vocab, k=8000)) for _ in range(100)]
     want, column = own.digests(texts), pa.array(texts, pa.string())
     tracemalloc.start()
-    got = [x for _, part in bpe.text_slices(column) for x in own.digests(part)]
+    got = [x for _, part in bpe.text_slices(column, bpe.LEAN_CHARS) for x in own.digests(part)]
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got == want and peak < 28 << 20
+    rows = spark.createDataFrame(list(enumerate(texts[:30])), "doc_id long, text string").repartition(1)
+    assert sorted(tuple(r)[1:] for r in bpe.roundtrip(rows, tokenizer_path(), lean=True).collect()) == sorted(want[:30])
 
 
 def test_workers_give_freed_memory_back():
