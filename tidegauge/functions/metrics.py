@@ -50,6 +50,11 @@ def medae(yt: Column, yp: Column) -> Column:
 
 #: For groups beyond a task's memory: what to take which exact quantile of.
 medae.quantile = (lambda yt, yp: F.abs(yt.cast("double") - yp.cast("double")), 0.5)
+#: For windows: what to take the mean of.
+accuracy.mean = lambda yt, yp: _both(yt, yp, (yt == yp).cast("double"))
+mse.mean = lambda yt, yp: (yt.cast("double") - yp.cast("double")) * (yt.cast("double") - yp.cast("double"))
+mae.mean = lambda yt, yp: F.abs(yt.cast("double") - yp.cast("double"))
+neg_mae.mean = lambda yt, yp: -mae.mean(yt, yp)
 
 
 def r2(yt: Column, yp: Column) -> Column:
@@ -58,9 +63,16 @@ def r2(yt: Column, yp: Column) -> Column:
 
 def log_loss(yt: Column, yp: Column, eps: float = 1e-15) -> Column:
     """Binary cross-entropy of probabilities, clipped away from 0 and 1."""
+    return -F.avg(_log_likelihood(yt, yp, eps))
+
+
+def _log_likelihood(yt: Column, yp: Column, eps: float = 1e-15) -> Column:
     p = F.least(F.greatest(yp.cast("double"), F.lit(eps)), F.lit(1 - eps))
     y = yt.cast("double")
-    return -F.avg(y * F.ln(p) + (1 - y) * F.ln(1 - p))
+    return y * F.ln(p) + (1 - y) * F.ln(1 - p)
+
+
+log_loss.mean = lambda yt, yp: -_log_likelihood(yt, yp)
 
 
 def opaque(fn: Callable[[np.ndarray, np.ndarray], float]) -> Metric:
