@@ -253,5 +253,5 @@ def rolling_mean(df: DataFrame, name: str, on: str, window: str, center: bool =
     lo, hi = time_bounds(length, center, closed)
     by = [f"g{k}" for k in range(len(partition_by or []))]
     rows = df.select(row_of(df), micros(df, on).alias("k"), col(name).alias("v"), *[col(c).alias(g) for g, c in zip(by, partition_by or [], strict=True)]).where("k IS NOT NULL")
-    got = windowed(rows, "k", lo, hi, lambda w: [F.avg("v").over(w).alias("m")], bucket_length(rows, "k", length), by)
+    got = windowed(rows, "k", lo, hi, lambda w: [], bucket_length(rows, "k", length), by, {"m": (F.col("v"), None)})
     return got.select(*[own(c) for c in df.columns if c != out], F.col("m").alias(out))
