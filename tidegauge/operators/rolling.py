@@ -195,16 +195,18 @@ def windowed(df: DataFrame, key: str, lo: int, hi: int, aggs: Callable[[object],
 
 def rolling_met(
     met_dat: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred", on: str = "DateTime", roll_kwargs: dict | None = None,
-    roll_metric: object = None, partition_by: list[str] | None = None, native: bool = True,
+    roll_metric: object = None, partition_by: list[str] | None = None, native: bool = True, ties: list[str] | None = None,
 ) -> DataFrame:
     """One row for each window: the metrics, then ``on`` (and ``partition_by``, whose groups roll apart).
 
     ``roll_kwargs``: window (rows, or a length of time), center, closed, step; partial windows
     count, ``min_periods`` has no effect, ``win_type`` is refused. ``roll_metric``: an aggregate of two
-    columns, a list or a dictionary of such; with ``native=False`` functions of two arrays.
+    columns, a list or a dictionary of such; with ``native=False`` functions of two arrays. ``ties``: what
+    orders rows of equal ``on`` in windows of rows and for ``step``, as the columns say and before the values do.
     """
     groups = partition_by or []
-    require(met_dat, [on, y_true, y_pred, *groups])
+    ties = ties or []
+    require(met_dat, [on, y_true, y_pred, *groups, *ties])
     kw = dict(roll_kwargs or {"center": True})
     if kw.get("win_type"):
         raise ValueError("weighted windows are not supported: metrics have no weights")
@@ -212,7 +214,8 @@ def rolling_met(
     window = kw.get("window", "60min" if timed else 10)
     metrics = _metrics(met_dat, y_true, roll_metric, native)
     by = [f"g{k}" for k in range(len(groups))]
-    df = met_dat.select(col(on).alias("on"), col(y_true).alias("t"), col(y_pred).alias("p"), *[col(c).alias(g) for g, c in zip(by, groups, strict=True)], micros(met_dat, on).alias("k"))
+    df = met_dat.select(col(on).alias("on"), col(y_true).alias("t"), col(y_pred).alias("p"), *[col(c).alias(g) for g, c in zip(by, groups, strict=True)], micros(met_dat, on).alias("k"), *[col(c).alias(f"o{k}") for k, c in enumerate(ties)])
+    order = ["k", *[f"o{k}" for k in range(len(ties))], "t", "p"]
     in_time = not isinstance(window, int)
     if in_time and not timed:
         raise ValueError("a window of time needs a time column")
@@ -223,7 +226,7 @@ def rolling_met(
         bucket = bucket_length(df, key, length)
     else:
         lo, hi = row_bounds(int(window), bool(kw.get("center")), kw.get("closed"))
-        df = _numbered_by(df, by)
+        df = _numbered_by(df, by, order)
         key, bucket = "rn", max(LEAST_ROWS, WINDOWS * int(window))
 
     taken = {f"m{k}": x for k, m in enumerate(metrics.values()) if (x := _taken(m, F.col("t"), F.col("p"))) is not None}
@@ -233,15 +236,15 @@ def rolling_met(
 
     out = windowed(df, key, lo, hi, aggs, bucket, by, taken) if lo <= hi else df.select("*", *aggs(None))
     if kw.get("step"):
-        out = (_numbered_by(out, by) if in_time else out).where((F.col("rn") - 1) % int(kw["step"]) == 0)
+        out = (_numbered_by(out, by, order) if in_time else out).where((F.col("rn") - 1) % int(kw["step"]) == 0)
     return out.select(*[F.col(f"m{k}").alias(n) for k, n in enumerate(metrics)], F.col("on").alias(on), *[F.col(g).alias(c) for g, c in zip(by, groups, strict=True)])
 
 
-def _numbered_by(df: DataFrame, by: list[str]) -> DataFrame:
-    """Row numbers in order of ``k``, from 1 in each group of ``by``."""
+def _numbered_by(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Row numbers in ``order``, from 1 in each group of ``by``."""
     if not by:
-        return numbered(df, "k", "t", "p", out="rn")
-    r = numbered(df, *by, "k", "t", "p", out="all")
+        return numbered(df, *order, out="rn")
+    r = numbered(df, *by, *order, out="all")
     first = r.groupBy(*[F.col(c).alias(f"of_{c}") for c in by]).agg(F.min("all").alias("first"))
     same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by]
     return r.join(first, same).withColumn("rn", F.col("all") - F.col("first") + 1).drop("all", "first", *[f"of_{c}" for c in by])

@@ -370,11 +370,10 @@ PRED_SQL = "p AS (SELECT ts, value AS y_true, lag(value) OVER (ORDER BY ts) AS y
 
 
 def predicted(spark, d):
-    """Events with the value before as the prediction."""
-    e = read(spark, d, "events").select("ts", F.col("value").alias("y_true")).withColumn("_o", F.unix_micros(F.col("ts").cast("timestamp")))
-
-    r = nearest_known(ranged(e, "_o"), ["_o"], F.struct("y_true"), "_p", strictly=True)
-    return r.select("ts", "y_true", F.col("_p.y_true").alias("y_pred")).where("y_pred IS NOT NULL")
+    """Events with the value before as the prediction; of one time in order of ``event_id``, which their windows keep."""
+    e = read(spark, d, "events").select("ts", "event_id", F.col("value").alias("y_true")).withColumn("_o", F.unix_micros(F.col("ts").cast("timestamp")))
+    r = nearest_known(ranged(e, "_o", "event_id"), ["_o", "event_id"], F.struct("y_true"), "_p", strictly=True)
+    return r.select("ts", "event_id", "y_true", F.col("_p.y_true").alias("y_pred")).where("y_pred IS NOT NULL")
 
 
 MAE_SQL, MSE_SQL = "round(avg(abs(y_true - y_pred)) OVER w + 1e-10, 6)", "round(avg((y_true - y_pred) * (y_true - y_pred)) OVER w + 1e-8, 4)"
@@ -388,7 +387,7 @@ def _roll(name: str, frame: str, cols: dict[str, str], kwargs: dict | None, metr
 
     @query(name, f"{inner} SELECT {names}, ts FROM o" + (f" WHERE (rn - 1) % {every} = 0" if every else ""))
     def _(spark, d):
-        out = rolling.rolling_met(predicted(spark, d), on="ts", roll_kwargs=kwargs, roll_metric=metric)
+        out = rolling.rolling_met(predicted(spark, d), on="ts", roll_kwargs=kwargs, roll_metric=metric, ties=["event_id"])
         return rounded(out.select(*[(schema.col(c) + step(digits)).alias(c) for c in cols], "ts"), digits)
 
 
