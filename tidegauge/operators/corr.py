@@ -3,15 +3,19 @@
 Pearson is one masked aggregate over one scan, whatever the number of subsets: partial sums on
 the executors and one row in the end. Spearman ranks all combinations of feature, target and subset
 together, by counts of distinct values in one ordered pass; Kendall counts pairs in sorted blocks.
-A method of the user's own gets both whole columns in one worker, for that is what it asks for.
+A method of the user's own gets both whole columns in one worker, for that is what it asks for: they come in packed
+pieces and lie in files there, which the method sees as arrays, so memory doesn't grow with the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,15 +133,51 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     return one.select(F.col("n").cast("long").alias("n"), F.try_divide(up, F.sqrt((pairs_all - F.col("tx")) * (pairs_all - F.col("ty")))).alias("r"))
 
 
-def _opaque(method: Callable, x: Column, y: Column) -> Column:
-    """A user's method of two arrays, over the rows where both are known."""
+def packed(x: np.ndarray) -> bytes:
+    """Doubles byte by byte (the first of all, then the second ...), compressed: whole or few values take little."""
+    return pa.compress(x.astype("<f8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
 
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series) -> float:
-        ok = a.notna() & b.notna()
-        return float(method(a[ok].to_numpy(), b[ok].to_numpy())) if ok.sum() > 1 else None
 
-    return run(x, y)
+def unpacked(b: bytes, n: int) -> np.ndarray:
+    flat = pa.decompress(b, decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(8, n).T).view("<f8").ravel()
+
+
+def own_method(df: DataFrame, wanted: list[tuple[str, str, Column | None]], method: Callable) -> DataFrame:
+    """(combo, n, r) of a user's method of two arrays, over the rows where both are known; no row for a combination without such rows.
+
+    The arrays are those of files in the worker's scratch folder (changes the method makes to them stay in memory).
+    """
+    columns, combos = [], len(wanted)
+    for k, (f, y, cond) in enumerate(wanted):
+        x, t = value(df, f), value(df, y)
+        known = x.isNotNull() & t.isNotNull() & (F.lit(True) if cond is None else F.coalesce(cond, F.lit(False)))
+        columns += [F.when(known, x).alias(f"x{k}"), F.when(known, t).alias(f"y{k}")]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(combos):
+                x, y = batch[f"x{k}"].drop_null().to_numpy(), batch[f"y{k}"].drop_null().to_numpy()
+                if len(x):
+                    yield pa.RecordBatch.from_pydict({"combo": pa.array([k], pa.int32()), "n": pa.array([len(x)], pa.int64()), "x": pa.array([packed(x)], pa.binary()), "y": pa.array([packed(y)], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scratch = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        with tempfile.TemporaryDirectory(prefix="tidegauge-", dir=scratch if os.path.isdir(scratch) else None) as folder:
+            sizes: dict[int, int] = {}
+            for batch in batches:
+                for piece in batch.to_pylist():
+                    for side in "xy":
+                        with open(f"{folder}/{piece['combo']}{side}", "ab") as f:
+                            unpacked(piece[side], piece["n"]).tofile(f)
+                    sizes[piece["combo"]] = sizes.get(piece["combo"], 0) + piece["n"]
+            for k, n in sizes.items():
+                a, b = (np.memmap(f"{folder}/{k}{side}", dtype="<f8", mode="c", shape=(n,)).view(np.ndarray) for side in "xy")
+                r = float(method(a, b)) if n > 1 else None
+                yield pa.RecordBatch.from_pydict({"combo": pa.array([k], pa.int32()), "n": pa.array([n], pa.int64()), "r": pa.array([None if r is None or np.isnan(r) else r], pa.float64())})
+
+    pieces = df.select(*columns).mapInArrow(pack, "combo int, n long, x binary, y binary")
+    return pieces.repartition(combos, "combo").mapInArrow(run, "combo int, n long, r double")
 
 
 def correlations(df: DataFrame, f_col: list[str], y_col: list[str], conditions: list[tuple[str, Column]], method: str | Callable = "pearson") -> DataFrame:
@@ -145,17 +185,15 @@ def correlations(df: DataFrame, f_col: list[str], y_col: list[str], conditions:
     spark = df.sparkSession
     wanted = [(f, y, name, cond) for name, cond in [("All", None), *conditions] for f in f_col for y in y_col]
     schema = "feature string, target string, subset string, n long, r double"
-    if callable(method) or (method == "pearson" and len(wanted) <= WIDE):
+    if method == "pearson" and len(wanted) <= WIDE:
         # one aggregate: (n, r) of every combination
         aggs = []
         for f, y, _, cond in wanted:
             x, t = value(df, f), value(df, y)
             if cond is not None:
                 x, t = F.when(cond, x), F.when(cond, t)
-            n = F.count(F.when(x.isNotNull() & t.isNotNull(), 1))
-            aggs += [n, _opaque(method, x, t) if callable(method) else pearson(x, t)]
-        counts = aggs[0::2]
-        one = df.agg(*[a.alias(f"c{k}") for k, a in enumerate(aggs)]) if not callable(method) else df.agg(*[a.alias(f"c{2 * k + 1}") for k, a in enumerate(aggs[1::2])]).join(F.broadcast(df.agg(*[a.alias(f"c{2 * k}") for k, a in enumerate(counts)])))
+            aggs += [F.count(F.when(x.isNotNull() & t.isNotNull(), 1)), pearson(x, t)]
+        one = df.agg(*[a.alias(f"c{k}") for k, a in enumerate(aggs)])
         rows = [F.struct(F.lit(f).alias("feature"), F.lit(y).alias("target"), F.lit(s).alias("subset"), F.col(f"c{2 * k}").alias("n"), F.col(f"c{2 * k + 1}").cast("double").alias("r")) for k, (f, y, s, _) in enumerate(wanted)]
         return one.select(F.inline(F.array(*rows))) if rows else spark.createDataFrame([], schema)
     if method == "pearson":
@@ -170,10 +208,13 @@ def correlations(df: DataFrame, f_col: list[str], y_col: list[str], conditions:
             part = own.select(F.inline(F.array(*rows)))
             out = part if out is None else out.union(part)
         return out
-    if method not in ("spearman", "kendall"):
+    if not callable(method) and method not in ("spearman", "kendall"):
         raise ValueError(f"unknown method {method!r}")
-    if method == "spearman":
-        got = spearman(df, [(f, y, cond) for f, y, _, cond in wanted])
+    if callable(method) and not wanted:
+        return spark.createDataFrame([], schema)
+    if method != "kendall":
+        combos = [(f, y, cond) for f, y, _, cond in wanted]
+        got = own_method(df, combos, method) if callable(method) else spearman(df, combos)
         names = spark.createDataFrame([(k, f, y, name) for k, (f, y, name, _) in enumerate(wanted)], "combo int, feature string, target string, subset string")
         return F.broadcast(names).join(got, "combo", "left").select("feature", "target", "subset", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "r")
     out = None
