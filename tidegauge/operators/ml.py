@@ -19,6 +19,9 @@ from .sample import fold_of, subsample
 
 FEATURES = "features"
 
+#: Rows one task of a fit has, on average: estimators keep their table by the partitions it comes in.
+ROWS_A_TASK = 250_000
+
 
 def assembled(df: DataFrame, f_col: list[str], out: str) -> DataFrame:
     """Adds the feature vector; rows with undefined features are refused by the assembler."""
@@ -35,6 +38,14 @@ def inputs(df: DataFrame, f_col: list[str], y_col: str, more: dict[str, Column]
     return assembled(rows, names, FEATURES).select(FEATURES, "target", *more), FEATURES, "target"
 
 
+def dealt(data: DataFrame) -> DataFrame:
+    """All rows of the table, in more partitions where it has too few for its rows."""
+    rows = data.count()
+    if rows <= ROWS_A_TASK * max(1, data.rdd.getNumPartitions()):
+        return data
+    return data.repartition(-(-rows // ROWS_A_TASK))
+
+
 def seeded(estimator: Estimator, random_state: int) -> tuple[Estimator, int]:
     """The estimator's own seed wins if it is set and not 0, else it gets ``random_state``."""
     if estimator.hasParam("seed"):
@@ -106,7 +117,7 @@ def tune(
     """
     metrics = scorers(estimator, scoring)
     data, vector, label = inputs(df, f_col, y_col, {"fold": fold_of(df, key, cv, random_state)})
-    data.cache()
+    data = dealt(data).cache()
     result = GridResult(grid(grid_param))
     target = {"featuresCol": vector, "labelCol": label}
     means: dict[tuple[int, str], float | None] = {}
@@ -149,7 +160,7 @@ def train(
         chosen = found.params[found.best]
     data, vector, label = inputs(df, f_col, y_col)
     own = estimator.copy({estimator.getParam(k): v for k, v in {"featuresCol": vector, "labelCol": label, **chosen}.items()})
-    return own.fit(data)
+    return own.fit(dealt(data))
 
 
 def predict(model: Model, df: DataFrame, f_col: list[str], y_col: str) -> DataFrame:
